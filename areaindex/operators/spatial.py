@@ -8,6 +8,8 @@ per edge is ever shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def polygon_measures(polys: DataFrame) -> DataFrame:
     )
 
 
-def bounds(polys: DataFrame) -> DataFrame:
-    """Bounding box of a whole set of polygons; one row."""
-    return polys.agg(
+def bounds(polys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bounding box of all polygons, or of each group of them."""
+    return polys.groupBy(*by).agg(
         F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"),
         F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
     )
@@ -171,6 +173,16 @@ def neighbours(polys: DataFrame, id_col: str = "area_code") -> DataFrame:
     )
 
 
+def within_distance(polys: DataFrame, mask: DataFrame, reach: float, id_col: str = "area_code") -> DataFrame:
+    """Ids of polygons that meet the mask or lie at most ``reach`` away from it."""
+    grown = mask.select("edges", *[(F.col(c) - reach).alias(c) for c in BOX[:2]],
+                        *[(F.col(c) + reach).alias(c) for c in BOX[2:]])
+    left = polys.select(id_col, F.col("edges").alias("a_edges"), *BOX)
+    pairs = _box_pairs(left, grown.withColumnRenamed("edges", "b_edges"))
+    a, b = F.col("a_edges"), F.col("b_edges")
+    return pairs.where(G.polygons_touch(a, b) | (G.polygon_gap(a, b) <= reach)).select(id_col).distinct()
+
+
 def _shared() -> Column:
     return G.shared_area(
         F.col("a_edges"), F.col("b_edges"),
