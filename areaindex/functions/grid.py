@@ -27,18 +27,18 @@ def cell_index(v: Column, level: Column) -> Column:
 
 
 def cells_covered(xmin: Column, ymin: Column, xmax: Column, ymax: Column, level: Column) -> Column:
-    """array<struct<level,cx,cy>> of the cells that a box touches at ``level``."""
+    """array<struct<cell_level,cell_x,cell_y>> of the cells that a box touches at ``level``."""
     columns = F.sequence(cell_index(xmin, level), cell_index(xmax, level))
     rows = F.sequence(cell_index(ymin, level), cell_index(ymax, level))
     return F.flatten(F.transform(columns, lambda cx: F.transform(
-        rows, lambda cy: F.struct(level.alias("level"), cx.alias("cx"), cy.alias("cy"))
+        rows, lambda cy: F.struct(level.alias("cell_level"), cx.alias("cell_x"), cy.alias("cell_y"))
     )))
 
 
 def cells_of_point(x: Column, y: Column, levels: Sequence[int]) -> Column:
     """The cell of a point at each of ``levels``."""
     return F.transform(F.array(*[F.lit(int(i)) for i in levels]), lambda lv: F.struct(
-        lv.alias("level"), cell_index(x, lv).alias("cx"), cell_index(y, lv).alias("cy")
+        lv.alias("cell_level"), cell_index(x, lv).alias("cell_x"), cell_index(y, lv).alias("cell_y")
     ))
 
 
@@ -53,10 +53,10 @@ def levels_in(df: DataFrame, level: Column) -> list[int]:
 
 
 def explode_cells(df: DataFrame, cells: Column) -> DataFrame:
-    """One row per cell, with columns level, cx, cy."""
+    """One row per cell, with columns cell_level, cell_x, cell_y."""
     return df.withColumn("__cell", F.explode(cells)).select(
-        "*", "__cell.level", "__cell.cx", "__cell.cy"
+        "*", "__cell.*"
     ).drop("__cell")
 
 
-CELL = ["level", "cx", "cy"]
+CELL = ["cell_level", "cell_x", "cell_y"]

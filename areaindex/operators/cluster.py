@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,16 +16,23 @@ from areaindex.operators.weights import pca
 
 
 def kmeans_labels(
-    df: DataFrame, cols: Sequence[str], k: int, inits: int = 10, seed: int = 42, out: str = "cluster"
+    df: DataFrame, cols: Sequence[str], k: int, inits: int = 10, seed: int = 42, out: str = "cluster",
+    parallel: int = 5,
 ) -> DataFrame:
-    """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down."""
+    """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down.
+
+    Up to ``parallel`` runs share the cluster at a time, over one cached input.
+    """
     prepared = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(df)
     features = prepared.select("__v").persist()
+
+    @inheritable_thread_target(df.sparkSession)
+    def fit(i: int):
+        return KMeans(k=k, featuresCol="__v", predictionCol="__c", seed=seed + i).fit(features)
+
     try:
-        models = [
-            KMeans(k=k, featuresCol="__v", predictionCol="__c", seed=seed + i).fit(features)
-            for i in range(inits)
-        ]
+        with ThreadPool(min(parallel, inits)) as pool:
+            models = pool.map(fit, range(inits))
     finally:
         features.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areaindex.functions.clean import clip_to, matching_columns, non_empty_columns
+from areaindex.functions.clean import clip_to, matching_columns
 from areaindex.session import checkpointed
 
 # Indicators to impute by name.
@@ -190,27 +190,36 @@ def _ridge(cross: np.ndarray, target: int):
     return mean[target] - weights @ mean[others], weights, cov, mean[others], 1.0 / noise
 
 
+def _literal(values: np.ndarray) -> str:
+    """Nested array literal. It is folded to one constant, which generated code
+    refers to rather than contains, so it need not be compiled again per visit."""
+    if values.ndim == 0:
+        return f"double('{float(values)!r}')"
+    return f"array({', '.join(_literal(v) for v in values)})"
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def _posterior(cols: Sequence[str], centre: Mapping[str, float], target: str, models) -> tuple[Column, Column]:
     """Predictive mean and sd as columns; ``models`` holds one regression per run."""
     others = [c for c in cols if c != target]
-    x = [F.col(c) - F.lit(centre[c]) for c in others]
-
-    def per_run(value) -> Column:
-        return F.array(*[F.lit(float(value(m))) for m in models])[F.col("imputation_run")]
-
-    mean = reduce(add, [
-        x[i] * per_run(lambda m, i=i: m[1][i]) for i in range(len(others))
-    ], per_run(lambda m: m[0])) + F.lit(centre[target])
-    variance = per_run(lambda m: m[4])
-    factors = [np.linalg.cholesky(m[2] + 1e-18 * np.eye(len(others))) for m in models]
-    for j in range(len(others)):
-        along = reduce(add, [
-            (x[i] - per_run(lambda m, i=i: m[3][i]))
-            * F.array(*[F.lit(float(f[i, j])) for f in factors])[F.col("imputation_run")]
-            for i in range(j, len(others))
-        ])
-        variance = variance + along * along
-    return mean, F.sqrt(variance)
+    x = F.array(*[F.col(c) for c in others])
+    middle = np.array([centre[c] for c in others])
+
+    def per_run(values) -> Column:
+        return F.expr(_literal(np.array(values)))[F.col("imputation_run")]
+
+    starts = [m[0] - m[1] @ middle + centre[target] for m in models]
+    mean = _dot(x, per_run([m[1] for m in models])) + per_run(starts)
+    # The variance is noise + |L' (x - mean)|**2, with L L' the coefficient covariance.
+    factors = [np.linalg.cholesky(m[2] + 1e-18 * np.eye(len(others))).T for m in models]
+    offsets = [f @ (m[3] + middle) for f, m in zip(factors, models)]
+    along = F.zip_with(
+        F.transform(per_run(factors), lambda row: _dot(x, row)), per_run(offsets), lambda v, at: v - at
+    )
+    return mean, F.sqrt(per_run([m[4] for m in models]) + _dot(along, along))
 
 
 def impute_chained(
@@ -228,12 +237,12 @@ def impute_chained(
     and seed, not on partitions. Columns without any value stay as they are.
     ``bounds`` and rounding (``whole``) apply to every row at the end.
     """
-    cols = non_empty_columns(df, cols)
     base = df.withColumns({c: F.col(c).cast("double") for c in cols})
     facts = base.agg(
         *[F.avg(c).alias(f"m_{c}") for c in cols],
         *[F.count_if(F.col(c).isNull()).alias(f"g_{c}") for c in cols],
     ).first()
+    cols = [c for c in cols if facts[f"m_{c}"] is not None]
     centre = {c: facts[f"m_{c}"] for c in cols}
     visits = sorted([c for c in cols if facts[f"g_{c}"]], key=lambda c: (facts[f"g_{c}"], cols.index(c)))
     run_ids = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
@@ -250,22 +259,33 @@ def impute_chained(
             .withColumns({c: F.coalesce(F.col(c), F.lit(centre[c])) for c in cols})
             .withColumn("imputation_run", run_ids)
         )
+        lows = {c: min_value.get(c) if isinstance(min_value, Mapping) else min_value for c in visits}
+        sampled = {
+            low: truncated_normal(F.col("__mean"), F.col("__sd"), F.col("__u"), low) for low in set(lows.values())
+        }
+        sums = {c: _products(cols, centre, "p", ~F.col(f"__gap_{c}")) for c in visits}
+        cached: list[DataFrame] = []
         for sweep in range(sweeps):
             for target in visits:
-                observed = ~F.col(f"__gap_{target}")
-                sums = state.groupBy("imputation_run").agg(*_products(cols, centre, "p", observed)).collect()
-                part = {r["imputation_run"]: _matrix(r, "p", size) for r in sums}
+                rows = state.groupBy("imputation_run").agg(*sums[target]).collect()
+                part = {r["imputation_run"]: _matrix(r, "p", size) for r in rows}
                 models = [_ridge(fixed + part.get(r, 0.0), cols.index(target) + 1) for r in range(runs)]
                 mean, sd = _posterior(cols, centre, target, models)
-                bits = F.xxhash64(*[F.col(k) for k in key], F.lit(target), F.lit(sweep),
-                                  F.col("imputation_run"), F.lit(seed))
-                u = (F.pmod(bits, F.lit(2 ** 52)).cast("double") + 0.5) / F.lit(float(2 ** 52))
-                low = min_value.get(target) if isinstance(min_value, Mapping) else min_value
-                draw = truncated_normal(mean, sd, u, low)
-                # Later visits read these draws, so they are stored before the next pass.
-                state = checkpointed(
-                    state.withColumn(target, F.when(~observed, draw).otherwise(F.col(target)))
+                # One text for what changes per visit, which keeps it out of generated code too.
+                visit = F.lit(f"{target}|{sweep}|{seed}")
+                bits = F.xxhash64(*[F.col(k) for k in key], visit, F.col("imputation_run"))
+                uniform = (F.pmod(bits, F.lit(2 ** 52)).cast("double") + 0.5) / F.lit(float(2 ** 52))
+                drawn = F.when(F.col(f"__gap_{target}"), sampled[lows[target]]).otherwise(F.col(target))
+                # The next visit reads these draws: its pass over them also fills the cache.
+                state = (
+                    state.withColumns({"__mean": mean, "__sd": sd, "__u": uniform})
+                    .withColumn(target, drawn).drop("__mean", "__sd", "__u").persist()
                 )
+                cached.append(state)
+            state = checkpointed(state)
+            for frame in cached:
+                frame.unpersist()
+            cached.clear()
         result = result.unionByName(state.drop(*[f"__gap_{c}" for c in visits]))
     elif visits:
         only = visits[0]

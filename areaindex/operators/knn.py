@@ -39,7 +39,7 @@ def _blocks(levels: list[int]):
         return cells_covered(x - half, y - half, x + half, y + half, lv)
 
     root = F.array(F.struct(
-        F.lit(levels[-1]).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")
+        F.lit(levels[-1]).alias("cell_level"), F.lit(0).cast("long").alias("cell_x"), F.lit(0).cast("long").alias("cell_y")
     ))
     return F.concat(*[block(level) for level in levels[:-1]], root)
 
@@ -77,9 +77,9 @@ def knn_join(
     root = levels[-1]
 
     # k points of every cell, as an array; the root cell stands for the whole plane.
-    at_root = F.col("level") == root
+    at_root = F.col("cell_level") == root
     cells = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), levels)).withColumns({
-        "cx": F.when(at_root, 0).otherwise(F.col("cx")), "cy": F.when(at_root, 0).otherwise(F.col("cy")),
+        "cell_x": F.when(at_root, 0).otherwise(F.col("cell_x")), "cell_y": F.when(at_root, 0).otherwise(F.col("cell_y")),
     })
     in_cell = Window.partitionBy(*part, *CELL).orderBy("__pid", "x", "y")
     samples = (
@@ -93,10 +93,16 @@ def knn_join(
 
     # The k-th nearest sample of a block bounds the search, where a block has k.
     # At the root there may be fewer points than k: then the farthest bounds it.
-    gaps = F.sort_array(F.flatten(F.collect_list(F.transform("sample", gap))))
-    by_level = around.join(samples, CELL).groupBy(*part, "qx", "qy", "level").agg(gaps.alias("gaps"))
-    kth = F.coalesce(F.try_element_at("gaps", F.lit(k)), F.when(at_root, F.array_max("gaps")))
-    reach = by_level.groupBy(*part, "qx", "qy").agg(F.min(kth).alias("reach"))
+    # A place has up to four cells per level and k samples per cell.
+    found = F.collect_list(F.struct(F.col("cell_level").alias("level"), F.transform("sample", gap).alias("gaps")))
+
+    def kth(level: int):
+        gaps = F.flatten(F.transform(F.filter("found", lambda f: f["level"] == level), lambda f: f["gaps"]))
+        nearest = F.try_element_at(F.sort_array(gaps), F.lit(k))
+        return F.coalesce(nearest, F.array_max(gaps)) if level == root else nearest
+
+    reach = around.join(samples, CELL).groupBy(*part, "qx", "qy").agg(found.alias("found"))
+    reach = reach.select(*part, "qx", "qy", F.array_min(F.array(*[kth(i) for i in levels])).alias("reach"))
     # A hair more than the bound itself, so that rounding cannot lose a point.
     reach = reach.withColumn("reach", F.col("reach") * (1 + 1e-9) + 1e-9)
 
@@ -107,7 +113,7 @@ def knn_join(
     boxes = F.when(
         F.col("__level") < root, cells_covered(x - r, y - r, x + r, y + r, F.col("__level"))
     ).otherwise(F.array(F.struct(
-        F.lit(root).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")
+        F.lit(root).alias("cell_level"), F.lit(0).cast("long").alias("cell_x"), F.lit(0).cast("long").alias("cell_y")
     )))
     search = explode_cells(reach, boxes).drop("__level")
     near = search.join(cells, [*part, *CELL])

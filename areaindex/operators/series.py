@@ -52,7 +52,7 @@ def annualise(
     """
     stamped = df.select(
         area, F.year(ts).alias("year"),
-        F.shiftleft(F.lit(1), F.month(ts) - 1).alias("__month"),
+        F.call_function("shiftleft", F.lit(1), F.month(ts) - 1).alias("__month"),
     )
     yearly = stamped.groupBy(area, "year").agg(
         F.count(F.lit(1)).alias("raw_count"), F.bit_or("__month").alias("__months")

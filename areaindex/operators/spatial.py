@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from areaindex.functions import geometry as G
 from areaindex.functions.grid import CELL, box_level, cells_covered, cells_of_point, explode_cells, levels_in
 from areaindex.operators.knn import knn_join
+from areaindex.session import checkpointed
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -87,13 +88,14 @@ def _nearest_reach(polys: DataFrame, id_col: str, points: DataFrame, point_id: s
         id_col, F.col("edges")[0]["x1"].alias("x"), F.col("edges")[0]["y1"].alias("y")
     )
     reach = knn_join(vertex, points, k=1, scale=1.0, query_id=id_col, point_id=point_id)
+    # Stored, because choosing the cell sizes and the join itself both read it.
     grown = polys.join(reach.select(id_col, F.col("distance").alias("__reach")), id_col)
     # A hair more than the bound itself, so that rounding cannot lose the point.
     slack = F.col("__reach") * (1 + 1e-9) + 1e-9
-    return grown.withColumns({
+    return checkpointed(grown.withColumns({
         "xmin": F.col("xmin") - slack, "ymin": F.col("ymin") - slack,
         "xmax": F.col("xmax") + slack, "ymax": F.col("ymax") + slack,
-    })
+    }))
 
 
 def nearest_points(polys: DataFrame, points: DataFrame, id_col: str, point_id: str) -> DataFrame:
@@ -117,7 +119,10 @@ def mean_in_or_nearest(
 ) -> DataFrame:
     """Mean value of the points inside each polygon, else of the nearest point(s)."""
     inside = points_in_polygons(points.select("x", "y", value), polys.select(id_col, "edges", *BOX))
-    means = inside.groupBy(id_col).agg(F.avg(value).alias(value), F.count(value).alias("points"))
+    # One row per polygon, stored: the points are then joined only once.
+    means = checkpointed(
+        inside.groupBy(id_col).agg(F.avg(value).alias(value), F.count(value).alias("points"))
+    )
     without = polys.select(id_col, "edges", *BOX).join(means.select(id_col), id_col, "left_anti")
     near = nearest_points(without, points.select(point_id, "x", "y", value), id_col, point_id)
     fallback = near.groupBy(id_col).agg(F.avg(value).alias(value), F.lit(0).cast("long").alias("points"))
@@ -148,9 +153,9 @@ def _box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     pairs = file(a, "a", b_levels).join(file(b, "b", a_levels), CELL)
     left, low = F.greatest("a_xmin", "b_xmin"), F.greatest("a_ymin", "b_ymin")
     meet = (left <= F.least("a_xmax", "b_xmax")) & (low <= F.least("a_ymax", "b_ymax"))
-    side = F.pow(F.lit(2.0), F.col("level"))
-    here = (F.floor(left / side) == F.col("cx")) & (F.floor(low / side) == F.col("cy"))
-    coarser_of_both = F.col("level") == F.greatest("__la", "__lb")
+    side = F.pow(F.lit(2.0), F.col("cell_level"))
+    here = (F.floor(left / side) == F.col("cell_x")) & (F.floor(low / side) == F.col("cell_y"))
+    coarser_of_both = F.col("cell_level") == F.greatest("__la", "__lb")
     return pairs.where(coarser_of_both & meet & here).drop(*CELL, "__la", "__lb")
 
 
@@ -218,11 +223,10 @@ def restrict_to(
     polys: DataFrame, mask: DataFrame, id_col: str = "area_code", mask_id: str = "id"
 ) -> DataFrame:
     """Polygons that meet the mask, with the area that lies within it."""
-    met = intersecting(polys, mask, id_col, mask_id).select(F.col("a_id").alias(id_col)).distinct()
-    within = overlap_area(polys, mask, id_col, mask_id).groupBy(F.col("a_id").alias(id_col)).agg(
-        F.sum("overlap").alias("area_within")
-    )
-    return polys.join(met, id_col, "left_semi").join(within, id_col, "left").na.fill(0.0, ["area_within"])
+    left, right = _sides(polys, id_col, mask, mask_id)
+    met = _box_pairs(left, right).where(G.polygons_touch(F.col("a_edges"), F.col("b_edges")))
+    within = met.groupBy(F.col("a_id").alias(id_col)).agg(F.sum(_shared()).alias("area_within"))
+    return polys.join(within, id_col)
 
 
 def _nearest_polygons(child: DataFrame, parent: DataFrame, child_id: str, parent_id: str) -> DataFrame:
@@ -259,13 +263,14 @@ def assign_parent(
         (F.col("overlap") >= F.col("area") * (1 - tolerance)).alias("within"),
         G.contains_point(F.col("b_edges"), F.col("cx"), F.col("cy")).alias("central"),
     )
-    found = pairs.groupBy(F.col("a_id").alias(child_id)).agg(
+    # One row per child, stored: the pairs are then measured only once.
+    found = checkpointed(pairs.groupBy(F.col("a_id").alias(child_id)).agg(
         F.min(F.when(F.col("within"), F.col("b_id"))).alias("__within"),
         F.min(F.when(F.col("central"), F.col("b_id"))).alias("__central"),
         F.min_by(
             F.when(F.col("overlap") > 0, F.col("b_id")), F.struct(-F.round("overlap", 6), F.col("b_id"))
         ).alias("__largest"),
-    ).withColumn("__found", F.coalesce("__within", "__central", "__largest")).where("__found IS NOT NULL")
+    ).withColumn("__found", F.coalesce("__within", "__central", "__largest")).where("__found IS NOT NULL"))
     rest = child.select(child_id, "edges", *BOX).join(found, child_id, "left_anti")
     rule = (
         F.when(F.col("__within").isNotNull(), "within")

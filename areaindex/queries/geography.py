@@ -85,7 +85,7 @@ polys AS (
 def _edges_sql(name: str, source: str, key: str) -> str:
     sides = [(1, 2), (2, 3), (3, 4), (4, 1)]
     return f"{name} AS (" + " UNION ALL ".join(
-        f"SELECT {key} AS k, x{a} AS ax, y{a} AS ay, x{b} AS bx, y{b} AS by FROM {source}" for a, b in sides
+        f"SELECT {key} AS k, x{a} AS ax, y{a} AS ay, x{b} AS zx, y{b} AS zy FROM {source}" for a, b in sides
     ) + ")"
 
 
@@ -113,8 +113,8 @@ def _inside_sql(p: str = "p", q: str = "q") -> str:
 _MEASURES_SQL = """measures AS (
   SELECT area_code, sum(c) / 2 AS area, any_value(x0) + sum(sx * c) / (3 * sum(c)) AS cx,
          any_value(y0) + sum(sy * c) / (3 * sum(c)) AS cy
-  FROM (SELECT area_code, xmin AS x0, ymin AS y0, (ax - xmin) * (by - ymin) - (bx - xmin) * (ay - ymin) AS c,
-               ax + bx - 2 * xmin AS sx, ay + by - 2 * ymin AS sy FROM pe JOIN polys ON area_code = k) GROUP BY 1)"""
+  FROM (SELECT area_code, xmin AS x0, ymin AS y0, (ax - xmin) * (zy - ymin) - (zx - xmin) * (ay - ymin) AS c,
+               ax + zx - 2 * xmin AS sx, ay + zy - 2 * ymin AS sy FROM pe JOIN polys ON area_code = k) GROUP BY 1)"""
 
 
 @query("polygon_measures", f"""WITH {_POLYS_SQL}, {_edges_sql("pe", "polys", "area_code")}, {_MEASURES_SQL}
@@ -133,7 +133,7 @@ def bounds_by_mid(spark, sf):
 
 
 @query("edge_table", f"""WITH {_POLYS_SQL}, {_edges_sql("pe", "polys", "area_code")}
-SELECT k AS area_code, count(*) AS edges, round(sum(sqrt(pow(bx - ax, 2) + pow(by - ay, 2))), 6) AS outline
+SELECT k AS area_code, count(*) AS edges, round(sum(sqrt(pow(zx - ax, 2) + pow(zy - ay, 2))), 6) AS outline
 FROM pe GROUP BY 1""")
 def edge_table(spark, sf):
     edges = spatial.edge_table(area_polygons(spark, sf), "area_code")
@@ -164,10 +164,10 @@ def locate_point(spark, sf):
 
 def _gap_sql(px: str, py: str, e: str = "e") -> str:
     t = (
-        f"greatest(0, least(1, (({px} - {e}.ax) * ({e}.bx - {e}.ax) + ({py} - {e}.ay) * ({e}.by - {e}.ay)) "
-        f"/ (pow({e}.bx - {e}.ax, 2) + pow({e}.by - {e}.ay, 2))))"
+        f"greatest(0, least(1, (({px} - {e}.ax) * ({e}.zx - {e}.ax) + ({py} - {e}.ay) * ({e}.zy - {e}.ay)) "
+        f"/ (pow({e}.zx - {e}.ax, 2) + pow({e}.zy - {e}.ay, 2))))"
     )
-    return f"sqrt(pow({px} - {e}.ax - {t} * ({e}.bx - {e}.ax), 2) + pow({py} - {e}.ay - {t} * ({e}.by - {e}.ay), 2))"
+    return f"sqrt(pow({px} - {e}.ax - {t} * ({e}.zx - {e}.ax), 2) + pow({py} - {e}.ay - {t} * ({e}.zy - {e}.ay), 2))"
 
 
 @query("mean_in_or_nearest", f"""WITH {_POLYS_SQL}, {_edges_sql("pe", "polys", "area_code")},
@@ -191,7 +191,7 @@ def _apart_sql(strict: bool) -> str:
 
     def beyond(e: str, corners: str) -> str:
         return " AND ".join(
-            f"({e}.bx - {e}.ax) * ({corners}.y{i} - {e}.ay) - ({e}.by - {e}.ay) * ({corners}.x{i} - {e}.ax) {op} 0"
+            f"({e}.zx - {e}.ax) * ({corners}.y{i} - {e}.ay) - ({e}.zy - {e}.ay) * ({corners}.x{i} - {e}.ax) {op} 0"
             for i in (1, 2, 3, 4)
         )
 
@@ -229,10 +229,10 @@ _OVERLAP_SQL = """ov AS (SELECT a, b, sum(CASE WHEN r > l THEN s * (r - l) *
       ELSE (pow(hl - gl, 2) + pow(hr - gr, 2)) / (abs(hl - gl) + abs(hr - gr)) END) / 2) / 2 ELSE 0 END) AS overlap
   FROM (SELECT *, eay + (l - eax) * (eby - eay) / (ebx - eax) AS hl, eay + (r - eax) * (eby - eay) / (ebx - eax) AS hr,
                fay + (l - fax) * (fby - fay) / (fbx - fax) AS gl, fay + (r - fax) * (fby - fay) / (fbx - fax) AS gr
-        FROM (SELECT a, b, e.ax AS eax, e.ay AS eay, e.bx AS ebx, e.by AS eby, f.ax AS fax, f.ay AS fay, f.bx AS fbx, f.by AS fby,
-                     greatest(least(e.ax, e.bx), least(f.ax, f.bx)) AS l, least(greatest(e.ax, e.bx), greatest(f.ax, f.bx)) AS r,
-                     CASE WHEN (e.ax > e.bx) = (f.ax > f.bx) THEN 1 ELSE -1 END AS s
-              FROM cand JOIN ea e ON e.k = a JOIN eb f ON f.k = b WHERE e.ax <> e.bx AND f.ax <> f.bx)) GROUP BY 1, 2)"""
+        FROM (SELECT a, b, e.ax AS eax, e.ay AS eay, e.zx AS ebx, e.zy AS eby, f.ax AS fax, f.ay AS fay, f.zx AS fbx, f.zy AS fby,
+                     greatest(least(e.ax, e.zx), least(f.ax, f.zx)) AS l, least(greatest(e.ax, e.zx), greatest(f.ax, f.zx)) AS r,
+                     CASE WHEN (e.ax > e.zx) = (f.ax > f.zx) THEN 1 ELSE -1 END AS s
+              FROM cand JOIN ea e ON e.k = a JOIN eb f ON f.k = b WHERE e.ax <> e.zx AND f.ax <> f.zx)) GROUP BY 1, 2)"""
 
 
 @query("overlap_area", f"""WITH {_POLYS_SQL}, {_PARENTS_SQL},
@@ -257,7 +257,7 @@ def restrict_to_mask(spark, sf):
 cover AS (SELECT (p_partkey * 7919) % 4001 AS u, (p_partkey * 104729) % {_HEIGHT} AS v, 20 + (p_partkey * 31) % 120 AS w,
                  20 + (p_partkey * 37) % 90 AS h FROM part)
 SELECT area_code, round(coalesce(sum((least(x0 + 100, u + w) - greatest(x0, u)) * (least(y0 + 100, v + h) - greatest(y0, v)))
-  / 100.0::DOUBLE, 0), 6) AS coverage_pct
+  FILTER (WHERE u IS NOT NULL) / 100.0::DOUBLE, 0), 6) AS coverage_pct
 FROM plots LEFT JOIN cover ON u < x0 + 100 AND u + w > x0 AND v < y0 + 100 AND v + h > y0 GROUP BY 1""")
 def coverage_pct(spark, sf):
     k = F.col("area_code")

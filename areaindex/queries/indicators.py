@@ -473,7 +473,8 @@ def stream_counts(spark, sf):
 
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf}/events.parquet"
-    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern the path may name a file or a folder of files.
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     counts = monthly_counts_stream(feed, "user_id", "ts", "event_type", "2 days", unit="day")
     write_counts(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{folder}/out").withColumn(

@@ -144,7 +144,8 @@ _DECILES_SQL = """p AS (
 @query("deciles_reversed", f"""WITH {METRICS_SQL},
 v AS (SELECT area_code AS k, top_code AS g, CASE WHEN area_code % 7 <> 0 THEN balance END AS x FROM metrics),
 {_DECILES_SQL.format(part="PARTITION BY g")}
-SELECT v.k AS area_code, CAST(10 - len(list_filter(range(1, 10), j -> (r - 1) * 10 > (n - 1) * j)) AS INT) AS decile
+SELECT v.k AS area_code,
+  CASE WHEN r IS NOT NULL THEN CAST(10 - len(list_filter(range(1, 10), lambda j: (r - 1) * 10 > (n - 1) * j)) AS INT) END AS decile
 FROM v LEFT JOIN p ON v.k = p.k""")
 def deciles_reversed(spark, sf):
     value = F.when(F.col("area_code") % 7 != 0, F.col("balance"))
@@ -155,7 +156,7 @@ def deciles_reversed(spark, sf):
 @query("deciles_whole_pool", f"""WITH v AS (
   SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS x FROM lineitem),
 {_DECILES_SQL.format(part="")}
-SELECT k, CAST(10 - len(list_filter(range(1, 10), j -> (r - 1) * 10 > (n - 1) * j)) AS INT) AS decile FROM p""")
+SELECT k, CAST(10 - len(list_filter(range(1, 10), lambda j: (r - 1) * 10 > (n - 1) * j)) AS INT) AS decile FROM p""")
 def deciles_whole_pool(spark, sf):
     items = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity"
