@@ -145,6 +145,20 @@ def _shift(lat: Column, lon: Column, source, target, parameters) -> Column:
     return _let(point, lambda p: _let(cartesian(p), lambda c: _let(turned(c), angles)))
 
 
+def to_grid(lon: Column, lat: Column) -> Column:
+    """struct<x, y> in metres from longitude and latitude in degrees."""
+    moved = _shift(F.radians(lat), F.radians(lon), GRS80, AIRY, TO_GRID)
+    return _let(moved, lambda p: airy_to_grid(p["lat"], p["lon"]))
+
+
+def rings_to_grid(rings: Column) -> Column:
+    """Rings in degrees (x is the longitude) to rings in metres."""
+    return F.transform(rings, lambda r: F.struct(
+        r["is_hole"].alias("is_hole"),
+        F.transform(r["pts"], lambda p: to_grid(p["x"], p["y"])).alias("pts"),
+    ))
+
+
 def project(df: DataFrame, x: str, y: str, src: str = "grid", dst: str = "latlon") -> DataFrame:
     """Add latitude/longitude in degrees (``latlon``), or x/y in metres (``grid``).
 
@@ -159,9 +173,7 @@ def project(df: DataFrame, x: str, y: str, src: str = "grid", dst: str = "latlon
             "latitude": F.degrees("__g.lat"), "longitude": F.degrees("__g.lon"),
         }).drop("__g")
     if (src, dst) == ("latlon", "grid"):
-        moved = _shift(F.radians(y), F.radians(x), GRS80, AIRY, TO_GRID)
-        flat = _let(moved, lambda p: airy_to_grid(p["lat"], p["lon"]))
-        return df.withColumn("__g", flat).withColumns({
+        return df.withColumn("__g", to_grid(F.col(x), F.col(y))).withColumns({
             "easting": F.col("__g.x"), "northing": F.col("__g.y"),
         }).drop("__g")
     raise ValueError(f"no transformation from {src} to {dst}")

@@ -10,25 +10,42 @@ from pyspark.sql import functions as F
 
 from areaindex.functions.grid import CELL, cell_index, cells_covered, cells_of_point, explode_cells, level_for
 
-_SPARE_LEVELS = 4
+_DEEPEST = 24
+_CELL_POINTS = 64
 
 
-def _grid_levels(places: DataFrame, k: int) -> list[int]:
-    """Cell sizes from "some points per cell" up to "everything in one cell".
+def _grid_levels(points: DataFrame, part: list[str], k: int) -> list[int]:
+    """Cell sizes from "few points in any cell" up to "everything in one cell".
 
-    One pass over the points. The finest size follows from their density, with
-    some levels to spare for clusters; the last level holds all of them.
+    The finest size is the first at which even the fullest cell holds no more
+    than some dozens of points, so a dense cluster deepens the grid. Points are
+    counted in the finest cells first, and only occupied cells are then rolled
+    up; the sizes only steer the work, never the result.
     """
-    row = places.agg(
-        F.count(F.lit(1)).alias("n"),
+    row = points.agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
     ).first()
-    if not row["n"]:
+    if row["x0"] is None:
         return [0]
-    extent = max(row["x1"] - row["x0"], row["y1"] - row["y0"], 2.0 ** -20)
+    extent = max(row["x1"] - row["x0"], row["y1"] - row["y0"], 2.0 ** -10)
     top = math.ceil(math.log2(extent)) + 1
-    depth = max(1, math.ceil(math.log(max(row["n"] / k, 1), 4)) + _SPARE_LEVELS)
-    return list(range(top - depth, top + 1))
+    bottom = top - _DEEPEST
+    deepest = points.select(
+        *part, cell_index(F.col("x"), F.lit(bottom)).alias("cx"), cell_index(F.col("y"), F.lit(bottom)).alias("cy")
+    ).groupBy(*part, "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(_DEEPEST))).alias("step")
+    rolled = deepest.select(*part, "cx", "cy", "n", steps)
+
+    def coarser(c: str):
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("step"))).alias(c)
+
+    rolled = rolled.select(*part, "step", coarser("cx"), coarser("cy"), "n")
+    fullest = (
+        rolled.groupBy(*part, "step", "cx", "cy").agg(F.sum("n").alias("n"))
+        .groupBy("step").agg(F.max("n").alias("n")).collect()
+    )
+    enough = [r["step"] for r in fullest if r["n"] <= max(_CELL_POINTS, 8 * k)]
+    return list(range(bottom + max(enough, default=1), top + 1))
 
 
 def _blocks(levels: list[int]):
@@ -73,7 +90,7 @@ def knn_join(
         points.withColumn("__r", F.row_number().over(same_place)).where(F.col("__r") <= k).drop("__r")
     )
     places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
-    levels = _grid_levels(points, k)
+    levels = _grid_levels(points, part, k)
     root = levels[-1]
 
     # k points of every cell, as an array; the root cell stands for the whole plane.

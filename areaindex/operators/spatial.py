@@ -61,11 +61,11 @@ def _in_box(x: Column, y: Column) -> Column:
     return x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
 
 
-def _points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pairs of a point (x, y) and a box holding it; each pair once."""
+def _points_in_boxes(points: DataFrame, boxes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a point (x, y) and a box holding it; each pair once. Columns ``on`` must agree."""
     levels = levels_in(boxes, box_level(boxes))
     located = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), levels))
-    return located.join(_box_cells(boxes), CELL).where(_in_box(F.col("x"), F.col("y"))).drop(*CELL)
+    return located.join(_box_cells(boxes), [*on, *CELL]).where(_in_box(F.col("x"), F.col("y"))).drop(*CELL)
 
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,7 +78,9 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, keep: tuple[str, ...
     return inside.drop("edges", *[c for c in BOX if c not in keep])
 
 
-def _nearest_reach(polys: DataFrame, id_col: str, points: DataFrame, point_id: str) -> DataFrame:
+def _nearest_reach(
+    polys: DataFrame, id_col: str, points: DataFrame, point_id: str, by: str | None = None
+) -> DataFrame:
     """Polygons with a box grown by a distance within which a point is certain to lie.
 
     The first vertex belongs to the polygon, so the point nearest to that
@@ -86,10 +88,11 @@ def _nearest_reach(polys: DataFrame, id_col: str, points: DataFrame, point_id: s
     """
     vertex = polys.select(
         id_col, F.col("edges")[0]["x1"].alias("x"), F.col("edges")[0]["y1"].alias("y")
-    )
-    reach = knn_join(vertex, points, k=1, scale=1.0, query_id=id_col, point_id=point_id)
+    ).dropDuplicates([id_col])
+    part = [by] if by else []
+    reach = knn_join(vertex, points, k=1, by=by, scale=1.0, query_id=id_col, point_id=point_id)
     # Stored, because choosing the cell sizes and the join itself both read it.
-    grown = polys.join(reach.select(id_col, F.col("distance").alias("__reach")), id_col)
+    grown = polys.join(reach.select(id_col, *part, F.col("distance").alias("__reach")), [id_col, *part])
     # A hair more than the bound itself, so that rounding cannot lose the point.
     slack = F.col("__reach") * (1 + 1e-9) + 1e-9
     return checkpointed(grown.withColumns({
@@ -98,34 +101,46 @@ def _nearest_reach(polys: DataFrame, id_col: str, points: DataFrame, point_id: s
     }))
 
 
-def nearest_points(polys: DataFrame, points: DataFrame, id_col: str, point_id: str) -> DataFrame:
+def nearest_points(
+    polys: DataFrame, points: DataFrame, id_col: str, point_id: str, by: str | None = None
+) -> DataFrame:
     """For each polygon, the point or points nearest to it (0 inside); ties stay.
 
+    With ``by``, a column of both frames, only points of the same value count.
     Adds ``distance``.
     """
-    reach = _nearest_reach(polys, id_col, points.select(point_id, "x", "y"), point_id)
-    pairs = _points_in_boxes(points, reach)
+    part = [by] if by else []
+    reach = _nearest_reach(polys, id_col, points.select(point_id, *part, "x", "y"), point_id, by)
+    pairs = _points_in_boxes(points, reach, part)
     x, y = F.col("x"), F.col("y")
     away = F.when(G.contains_point(F.col("edges"), x, y), F.lit(0.0)).otherwise(
         G.outline_distance(F.col("edges"), x, y)
     )
     measured = pairs.withColumn("distance", F.round(away, 9)).drop("edges", "__reach", *BOX)
-    closest = Window.partitionBy(id_col).orderBy("distance")
+    closest = Window.partitionBy(id_col, *part).orderBy("distance")
     return measured.withColumn("__r", F.rank().over(closest)).where("__r = 1").drop("__r")
 
 
 def mean_in_or_nearest(
     points: DataFrame, polys: DataFrame, value: str, id_col: str = "area_code", point_id: str = "id",
+    by: str | None = None,
 ) -> DataFrame:
-    """Mean value of the points inside each polygon, else of the nearest point(s)."""
-    inside = points_in_polygons(points.select("x", "y", value), polys.select(id_col, "edges", *BOX))
+    """Mean value of the points inside each polygon, else of the nearest point(s).
+
+    With ``by`` (such as the year of a reading) once per value of that column.
+    """
+    part = [by] if by else []
+    shapes = polys.select(id_col, "edges", *BOX)
+    inside = points_in_polygons(points.select(*part, "x", "y", value), shapes)
     # One row per polygon, stored: the points are then joined only once.
     means = checkpointed(
-        inside.groupBy(id_col).agg(F.avg(value).alias(value), F.count(value).alias("points"))
+        inside.groupBy(id_col, *part).agg(F.avg(value).alias(value), F.count(value).alias("points"))
     )
-    without = polys.select(id_col, "edges", *BOX).join(means.select(id_col), id_col, "left_anti")
-    near = nearest_points(without, points.select(point_id, "x", "y", value), id_col, point_id)
-    fallback = near.groupBy(id_col).agg(F.avg(value).alias(value), F.lit(0).cast("long").alias("points"))
+    if by:
+        shapes = shapes.withColumn(by, F.explode(points.agg(F.collect_set(by)).scalar()))
+    without = shapes.join(means.select(id_col, *part), [id_col, *part], "left_anti")
+    near = nearest_points(without, points.select(point_id, *part, "x", "y", value), id_col, point_id, by)
+    fallback = near.groupBy(id_col, *part).agg(F.avg(value).alias(value), F.lit(0).cast("long").alias("points"))
     return means.unionByName(fallback)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaindex.functions.geometry import RINGS_TYPE
+from areaindex.functions.projection import rings_to_grid
 from areaindex.operators.spatial import BOX, polygons_from_rings, within_distance
 from areaindex.sources.tables import require_columns
 
@@ -27,10 +28,11 @@ def _rings(parts: F.Column) -> F.Column:
 
 def read_geojson(
     spark: SparkSession, path: str, id_col: str, name_col: str | None = None, lines: bool = True,
+    degrees: bool = False,
 ) -> DataFrame:
     """Polygons of a GeoJSON file: columns id_col, name_col, edges and the bounding box.
 
-    With ``lines`` there is one feature per line and the file is read in
+    Coordinates in ``degrees`` become grid metres on the way. With ``lines`` there is one feature per line and the file is read in
     parallel; otherwise it is one feature collection.
     """
     if lines:
@@ -44,9 +46,10 @@ def read_geojson(
     )
     names = [id_col, *([name_col] if name_col else [])]
     fields = [F.col("properties")[n].alias(n) for n in names]
-    return polygons_from_rings(
-        features.select(*fields, _rings(parts).alias("rings")).where(F.col("rings").isNotNull())
-    )
+    shaped = features.select(*fields, _rings(parts).alias("rings")).where(F.col("rings").isNotNull())
+    if degrees:
+        shaped = shaped.withColumn("rings", rings_to_grid(F.col("rings")))
+    return polygons_from_rings(shaped)
 
 
 def _decode(data: bytes) -> list[dict]:
