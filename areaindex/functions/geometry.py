@@ -164,7 +164,7 @@ def polygon_gap(a: Column, b: Column) -> Column:
     return F.least(a_to_b, b_to_a)
 
 
-def shared_area(a: Column, b: Column, base_x: Column, base_y: Column) -> Column:
+def shared_area(a: Column, b: Column, base_y: Column) -> Column:
     """Area common to two polygons, of any shape.
 
     With counter-clockwise shells a polygon is the signed sum of the trapezoids
@@ -191,7 +191,6 @@ def shared_area(a: Column, b: Column, base_x: Column, base_y: Column) -> Column:
         apart = F.when(u * v >= 0, F.abs(u) + F.abs(v)).otherwise(bent) / 2
         return F.when(width > 0, sign(e) * sign(f) * width * (both - apart) / 2).otherwise(F.lit(0.0))
 
-    total = F.aggregate(slanted_a, F.lit(0.0), lambda acc, e: acc + F.aggregate(
+    return F.aggregate(slanted_a, F.lit(0.0), lambda acc, e: acc + F.aggregate(
         slanted_b, F.lit(0.0), lambda inner, f: inner + under_lower(e, f)
     ))
-    return F.greatest(total, F.lit(0.0))

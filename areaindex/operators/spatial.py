@@ -204,10 +204,12 @@ def within_distance(polys: DataFrame, mask: DataFrame, reach: float, id_col: str
 
 
 def _shared() -> Column:
-    return G.shared_area(
-        F.col("a_edges"), F.col("b_edges"),
-        F.least("a_xmin", "b_xmin"), F.least("a_ymin", "b_ymin"),
-    )
+    """Common area of a pair; what is within rounding error of nothing is nothing."""
+    base = F.least("a_ymin", "b_ymin")
+    total = G.shared_area(F.col("a_edges"), F.col("b_edges"), base)
+    width = F.least(F.col("a_xmax") - F.col("a_xmin"), F.col("b_xmax") - F.col("b_xmin"))
+    noise = width * (F.greatest("a_ymax", "b_ymax") - base) * 1e-12
+    return F.transform(F.array(total), lambda v: F.when(v > noise, v).otherwise(F.lit(0.0)))[0]
 
 
 def overlap_area(a: DataFrame, b: DataFrame, a_id: str = "area_code", b_id: str | None = None) -> DataFrame:
