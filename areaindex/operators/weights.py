@@ -211,7 +211,8 @@ def composite(
     per indicator. Pillars take ``names`` by position; ``"dominant"`` names each
     after its heaviest indicator. A component that no indicator belongs to has
     no pillar, and its weight is missing from the total, which is reported as
-    ``weight_total``. A missing indicator makes the scores NULL.
+    ``weight_total``. A missing indicator makes the scores NULL. Column names
+    ignore case, so an indicator named like a pillar moves to ``<name>_indicator``.
     """
     rows = [r.asDict() for r in weights.collect()] if isinstance(weights, DataFrame) else list(weights)
     rows.sort(key=lambda r: (r["component"], r.get("ord", 0)))
@@ -227,12 +228,15 @@ def composite(
         return f"RC{component}_score"
 
     scores = {
-        label(c): reduce(add, [F.col(r["indicator"]) * F.lit(float(r["weight"])) for r in members])
+        f"__pillar{c}": reduce(add, [F.col(r["indicator"]) * F.lit(float(r["weight"])) for r in members])
         for c, members in pillars.items()
     }
     shares = {label(c): float(members[0]["component_weight"]) for c, members in pillars.items()}
+    taken = {name.lower() for name in shares}
+    aside = {c: f"{c}_indicator" for c in df.columns if c.lower() in taken}
     return (
-        df.withColumns(scores)
+        df.withColumns(scores).withColumnsRenamed(aside)
+        .withColumnsRenamed({f"__pillar{c}": label(c) for c in pillars})
         .withColumn(out, reduce(add, [F.col(f"`{c}`") * F.lit(w) for c, w in shares.items()]))
         .withColumn("weight_total", F.lit(float(sum(shares.values()))))
     )

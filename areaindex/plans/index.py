@@ -92,8 +92,8 @@ def built(scores: DataFrame, components: int = 5) -> Index:
     loadings = weights.rotated_loadings(stored.sparkSession, weights.pca(stored, cols), components)
     table = weights.indicator_weights(loadings)
     named = weights.composite(stored, table, weights.PILLAR_NAMES, "Final_CI_Score")
-    pillars = [c for c in named.columns if c not in stored.columns and c not in ("Final_CI_Score", "weight_total")]
-    return Index(stored, loadings, table, named.select("area_code", "year", "Final_CI_Score", *pillars, *cols))
+    kept = [c for c in named.columns if c in cols or c not in (*stored.columns, "weight_total", "Final_CI_Score")]
+    return Index(stored, loadings, table, named.select("area_code", "year", "Final_CI_Score", *kept))
 
 
 def dashboard_table(
