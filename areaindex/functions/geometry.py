@@ -15,6 +15,11 @@ EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 RINGS_TYPE = "array<struct<is_hole:boolean,pts:array<struct<x:double,y:double>>>>"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _edge(p: Column, q: Column) -> Column:
     return F.struct(
         p["x"].cast("double").alias("x1"), p["y"].cast("double").alias("y1"),
@@ -32,16 +37,17 @@ def _total(items: Column, term) -> Column:
 
 def ring_edges(pts: Column, is_hole: Column) -> Column:
     """Directed edges of one ring; closes it if needed and drops points repeated in a row."""
-    closed = F.concat(pts, F.slice(pts, 1, 1))
-    pairs = F.zip_with(
-        F.slice(closed, 1, F.size(closed) - 1), F.slice(closed, 2, F.size(closed) - 1), _edge
-    )
-    edges = F.filter(pairs, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
-    turned = F.transform(edges, lambda e: F.struct(
-        e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")
-    ))
-    wrong = (_total(edges, _cross) < 0) != F.coalesce(is_hole, F.lit(False))
-    return F.when(wrong, turned).otherwise(edges)
+    following = F.concat(F.slice(pts, 2, F.size(pts)), F.slice(pts, 1, 1))
+    pairs = F.filter(F.zip_with(pts, following, _edge), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+
+    def oriented(edges: Column) -> Column:
+        turned = F.transform(edges, lambda e: F.struct(
+            e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")
+        ))
+        wrong = (_total(edges, _cross) < 0) != F.coalesce(is_hole, F.lit(False))
+        return F.when(wrong, turned).otherwise(edges)
+
+    return let(pairs, oriented)
 
 
 def rings_to_edges(rings: Column) -> Column:
@@ -49,18 +55,11 @@ def rings_to_edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, lambda r: ring_edges(r["pts"], r["is_hole"])))
 
 
-def _lowest(edges: Column, a: str, b: str) -> Column:
-    return F.array_min(F.transform(edges, lambda e: F.least(e[a], e[b])))
-
-
-def _highest(edges: Column, a: str, b: str) -> Column:
-    return F.array_max(F.transform(edges, lambda e: F.greatest(e[a], e[b])))
-
-
 def bounding_box(edges: Column) -> dict[str, Column]:
+    """Outlines are closed, so the start points of the edges are all the vertices."""
     return {
-        "xmin": _lowest(edges, "x1", "x2"), "ymin": _lowest(edges, "y1", "y2"),
-        "xmax": _highest(edges, "x1", "x2"), "ymax": _highest(edges, "y1", "y2"),
+        "xmin": F.array_min(edges["x1"]), "ymin": F.array_min(edges["y1"]),
+        "xmax": F.array_max(edges["x1"]), "ymax": F.array_max(edges["y1"]),
     }
 
 

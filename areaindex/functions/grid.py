@@ -8,6 +8,7 @@ whatever its size, and no cell size has to be tuned to the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,23 @@ def box_level(df: DataFrame) -> Column:
     return level_for(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
 
 
-def levels_in(df: DataFrame, level: Column) -> list[int]:
-    """Levels in use. A level is a power of two, so there are some dozens at most."""
-    rows = df.select(level.alias("level")).where(F.col("level").isNotNull()).distinct().collect()
-    return sorted(r["level"] for r in rows)
+@dataclass(frozen=True)
+class Extent:
+    """What one pass over polygons tells: levels in use, rows, and bytes once filed by cell."""
+
+    levels: list[int]
+    rows: int
+    filed_bytes: int
+
+
+def measure(df: DataFrame, level: Column, edges: str) -> Extent:
+    """A level is a power of two, so there are some dozens of them at most."""
+    found = df.groupBy(level.alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size(edges)).alias("edges")
+    ).where(F.col("level").isNotNull()).collect()
+    rows, points = sum(r["n"] for r in found), sum(r["edges"] for r in found)
+    # Up to four cells each; an edge is a struct of four doubles.
+    return Extent(sorted(r["level"] for r in found), rows, 4 * (100 * rows + 48 * points))
 
 
 def explode_cells(df: DataFrame, cells: Column) -> DataFrame:

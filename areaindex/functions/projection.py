@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areaindex.functions.geometry import let
+
 # Semi-axes of the Airy 1830 and GRS80 ellipsoids (metres).
 AIRY = (6377563.396, 6356256.909)
 GRS80 = (6378137.0, 6356752.314140)
@@ -32,10 +34,6 @@ def _sq(ellipsoid: tuple[float, float]) -> float:
     return 1 - (b * b) / (a * a)
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _arc(lat: Column) -> Column:
     """Developed meridional arc from the true origin."""
     a, b = AIRY
@@ -85,7 +83,7 @@ def grid_to_airy(east: Column, north: Column) -> Column:
             (F.lit(LON0) + x * d - xi * d ** 3 + xii * d ** 5 - xiia * d ** 7).alias("lon"),
         )
 
-    return _let(foot, lambda lat: _let(F.struct(lat.alias("lat"), _curvature(lat).alias("c")), at))
+    return let(foot, lambda lat: let(F.struct(lat.alias("lat"), _curvature(lat).alias("c")), at))
 
 
 def airy_to_grid(lat: Column, lon: Column) -> Column:
@@ -105,7 +103,7 @@ def airy_to_grid(lat: Column, lon: Column) -> Column:
             (_arc(lat) + NORTH0 + ii * d ** 2 + iii * d ** 4 + iiia * d ** 6).alias("y"),
         )
 
-    return _let(F.struct(lat.alias("lat"), (lon - LON0).alias("d"), _curvature(lat).alias("c")), at)
+    return let(F.struct(lat.alias("lat"), (lon - LON0).alias("d"), _curvature(lat).alias("c")), at)
 
 
 def _shift(lat: Column, lon: Column, source, target, parameters) -> Column:
@@ -142,13 +140,13 @@ def _shift(lat: Column, lon: Column, source, target, parameters) -> Column:
         return F.struct(lat2.alias("lat"), F.atan2(c["y"], c["x"]).alias("lon"))
 
     point = F.struct(lat.alias("lat"), lon.alias("lon"))
-    return _let(point, lambda p: _let(cartesian(p), lambda c: _let(turned(c), angles)))
+    return let(point, lambda p: let(cartesian(p), lambda c: let(turned(c), angles)))
 
 
 def to_grid(lon: Column, lat: Column) -> Column:
     """struct<x, y> in metres from longitude and latitude in degrees."""
     moved = _shift(F.radians(lat), F.radians(lon), GRS80, AIRY, TO_GRID)
-    return _let(moved, lambda p: airy_to_grid(p["lat"], p["lon"]))
+    return let(moved, lambda p: airy_to_grid(p["lat"], p["lon"]))
 
 
 def rings_to_grid(rings: Column) -> Column:
@@ -168,7 +166,7 @@ def project(df: DataFrame, x: str, y: str, src: str = "grid", dst: str = "latlon
     if (src, dst) == ("grid", "latlon"):
         back = tuple(-v for v in TO_GRID)
         airy = grid_to_airy(F.col(x).cast("double"), F.col(y).cast("double"))
-        moved = _let(airy, lambda p: _shift(p["lat"], p["lon"], AIRY, GRS80, back))
+        moved = let(airy, lambda p: _shift(p["lat"], p["lon"], AIRY, GRS80, back))
         return df.withColumn("__g", moved).withColumns({
             "latitude": F.degrees("__g.lat"), "longitude": F.degrees("__g.lon"),
         }).drop("__g")

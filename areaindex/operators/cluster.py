@@ -17,7 +17,7 @@ from areaindex.operators.weights import pca
 
 def kmeans_labels(
     df: DataFrame, cols: Sequence[str], k: int, inits: int = 10, seed: int = 42, out: str = "cluster",
-    parallel: int = 5,
+    parallel: int = 10,
 ) -> DataFrame:
     """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down.
 

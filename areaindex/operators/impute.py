@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areaindex.functions.clean import clip_to, matching_columns
+from areaindex.functions.geometry import let
 from areaindex.session import checkpointed
 
 # Indicators to impute by name.
@@ -97,11 +98,6 @@ def _horner(x: Column, coefficients: Sequence[float]) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def normal_cdf(x: Column) -> Column:
     def upper_tail(z: Column) -> Column:
         t = 1 / (1 + F.lit(_CDF_SCALE) * z)
@@ -128,10 +124,10 @@ def truncated_normal(mean: Column, sd: Column, u: Column, low: float | None) ->
     def draw(s: Column) -> Column:
         below = normal_cdf((F.lit(low) - s["m"]) / s["s"])
         share = F.least(below + s["u"] * (1 - below), F.lit(1 - 1e-12))
-        value = _let(share, lambda p: F.greatest(F.lit(low), s["m"] + s["s"] * normal_quantile(p)))
+        value = let(share, lambda p: F.greatest(F.lit(low), s["m"] + s["s"] * normal_quantile(p)))
         return F.when(s["m"] <= low, F.lit(low)).when(s["s"] <= 0, s["m"]).otherwise(value)
 
-    return _let(F.struct(mean.alias("m"), sd.alias("s"), u.alias("u")), draw)
+    return let(F.struct(mean.alias("m"), sd.alias("s"), u.alias("u")), draw)
 
 
 def imputable_columns(df: DataFrame) -> list[str]:
@@ -253,11 +249,13 @@ def impute_chained(
     if visits and len(cols) > 1:
         size = len(cols) + 1
         fixed = _matrix(full.agg(*_products(cols, centre, "p")).first(), "p", size)
+        # Visited many times over, so the rows are spread evenly first.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         state = checkpointed(
             base.where(gap)
             .withColumns({f"__gap_{c}": F.col(c).isNull() for c in visits})
             .withColumns({c: F.coalesce(F.col(c), F.lit(centre[c])) for c in cols})
-            .withColumn("imputation_run", run_ids)
+            .withColumn("imputation_run", run_ids).repartition(tasks, *key, "imputation_run")
         )
         lows = {c: min_value.get(c) if isinstance(min_value, Mapping) else min_value for c in visits}
         sampled = {

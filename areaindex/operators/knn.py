@@ -5,20 +5,23 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaindex.functions.grid import CELL, cell_index, cells_covered, cells_of_point, explode_cells, level_for
+from areaindex.session import checkpointed, join_measured
 
 _DEEPEST = 24
-_CELL_POINTS = 64
+_CELL_POINTS = 16
 
 
-def _grid_levels(points: DataFrame, part: list[str], k: int) -> list[int]:
-    """Cell sizes from "few points in any cell" up to "everything in one cell".
+def _grid_levels(points: DataFrame, part: list[str], k: int) -> tuple[list[int], int]:
+    """Levels of the grid and number of points.
+
+    Cell sizes run from "few points in any cell" up to "everything in one cell".
 
     The finest size is the first at which even the fullest cell holds no more
-    than some dozens of points, so a dense cluster deepens the grid. Points are
+    than a few points, so a dense cluster deepens the grid. Points are
     counted in the finest cells first, and only occupied cells are then rolled
     up; the sizes only steer the work, never the result.
     """
@@ -26,7 +29,7 @@ def _grid_levels(points: DataFrame, part: list[str], k: int) -> list[int]:
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
     ).first()
     if row["x0"] is None:
-        return [0]
+        return [0], 0
     extent = max(row["x1"] - row["x0"], row["y1"] - row["y0"], 2.0 ** -10)
     top = math.ceil(math.log2(extent)) + 1
     bottom = top - _DEEPEST
@@ -42,23 +45,28 @@ def _grid_levels(points: DataFrame, part: list[str], k: int) -> list[int]:
     rolled = rolled.select(*part, "step", coarser("cx"), coarser("cy"), "n")
     fullest = (
         rolled.groupBy(*part, "step", "cx", "cy").agg(F.sum("n").alias("n"))
-        .groupBy("step").agg(F.max("n").alias("n")).collect()
+        .groupBy("step").agg(F.max("n").alias("n"), F.sum("n").alias("total")).collect()
     )
-    enough = [r["step"] for r in fullest if r["n"] <= max(_CELL_POINTS, 8 * k)]
-    return list(range(bottom + max(enough, default=1), top + 1))
+    enough = [r["step"] for r in fullest if r["n"] <= max(_CELL_POINTS, 4 * k)]
+    return list(range(bottom + max(enough, default=1), top + 1)), fullest[0]["total"]
 
 
-def _blocks(levels: list[int]):
+def _blocks(levels: list[int]) -> Column:
     """The cells within half a cell side of a place at each level, and the root cell."""
-    def block(level: int):
-        half, lv = F.lit(2.0 ** level / 2), F.lit(level)
-        x, y = F.col("qx"), F.col("qy")
-        return cells_covered(x - half, y - half, x + half, y + half, lv)
+    x, y = F.col("qx"), F.col("qy")
+
+    def block(level: Column) -> Column:
+        half = F.pow(F.lit(2.0), level) / 2
+        return cells_covered(x - half, y - half, x + half, y + half, level)
+
+    sized = F.transform(F.array(*[F.lit(level) for level in levels[:-1]]), block)
+    return F.concat(F.flatten(sized), _root(levels)) if len(levels) > 1 else _root(levels)
+
 
-    root = F.array(F.struct(
-        F.lit(levels[-1]).alias("cell_level"), F.lit(0).cast("long").alias("cell_x"), F.lit(0).cast("long").alias("cell_y")
-    ))
-    return F.concat(*[block(level) for level in levels[:-1]], root)
+def _root(levels: list[int]) -> Column:
+    """One pseudo-cell that holds every point."""
+    zero = F.lit(0).cast("long")
+    return F.array(F.struct(F.lit(levels[-1]).alias("cell_level"), zero.alias("cell_x"), zero.alias("cell_y")))
 
 
 def knn_join(
@@ -86,17 +94,21 @@ def knn_join(
         F.col(query_id), F.col("x").cast("double"), F.col("y").cast("double")
     ).na.drop("any", subset=["x", "y"])
     same_place = Window.partitionBy(*part, "x", "y").orderBy("__pid")
-    points = (
+    # Stored, because measuring the grid and both joins read it.
+    points = checkpointed(
         points.withColumn("__r", F.row_number().over(same_place)).where(F.col("__r") <= k).drop("__r")
     )
-    places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
-    levels = _grid_levels(points, part, k)
+    levels, count = _grid_levels(points, part, k)
+    filed_bytes = count * len(levels) * 100
     root = levels[-1]
+    # Kept by place from here to the end, in as many tasks as a shuffle has.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct().repartition(tasks, "qx", "qy")
 
     # k points of every cell, as an array; the root cell stands for the whole plane.
     at_root = F.col("cell_level") == root
     cells = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), levels)).withColumns({
-        "cell_x": F.when(at_root, 0).otherwise(F.col("cell_x")), "cell_y": F.when(at_root, 0).otherwise(F.col("cell_y")),
+        c: F.when(at_root, 0).otherwise(F.col(c)) for c in ("cell_x", "cell_y")
     })
     in_cell = Window.partitionBy(*part, *CELL).orderBy("__pid", "x", "y")
     samples = (
@@ -105,35 +117,26 @@ def knn_join(
     )
     around = explode_cells(places, _blocks(levels))
 
-    def gap(p):
-        return F.sqrt((p["x"] - F.col("qx")) ** 2 + (p["y"] - F.col("qy")) ** 2)
-
-    # The k-th nearest sample of a block bounds the search, where a block has k.
-    # At the root there may be fewer points than k: then the farthest bounds it.
-    # A place has up to four cells per level and k samples per cell.
-    found = F.collect_list(F.struct(F.col("cell_level").alias("level"), F.transform("sample", gap).alias("gaps")))
-
-    def kth(level: int):
-        gaps = F.flatten(F.transform(F.filter("found", lambda f: f["level"] == level), lambda f: f["gaps"]))
-        nearest = F.try_element_at(F.sort_array(gaps), F.lit(k))
-        return F.coalesce(nearest, F.array_max(gaps)) if level == root else nearest
-
-    reach = around.join(samples, CELL).groupBy(*part, "qx", "qy").agg(found.alias("found"))
-    reach = reach.select(*part, "qx", "qy", F.array_min(F.array(*[kth(i) for i in levels])).alias("reach"))
+    # The k-th nearest sample of a block bounds the search, where a block has k;
+    # a block has up to four cells. At the root there may be fewer points than
+    # k: then the farthest bounds it.
+    gap = F.transform("sample", lambda p: (p["x"] - F.col("qx")) ** 2 + (p["y"] - F.col("qy")) ** 2)
+    blocks = join_measured(around, samples, CELL, filed_bytes).groupBy(*part, "qx", "qy", "cell_level").agg(
+        F.sort_array(F.flatten(F.collect_list(gap))).alias("gaps")
+    )
+    kth = F.coalesce(F.try_element_at("gaps", F.lit(k)), F.when(at_root, F.element_at("gaps", -1)))
+    reach = blocks.groupBy(*part, "qx", "qy").agg(F.sqrt(F.min(kth)).alias("reach"))
     # A hair more than the bound itself, so that rounding cannot lose a point.
     reach = reach.withColumn("reach", F.col("reach") * (1 + 1e-9) + 1e-9)
 
     wanted = F.least(F.greatest(level_for(F.col("reach")), F.lit(levels[0])), F.lit(root))
     reach = reach.withColumn("__level", wanted)
     r, x, y = F.col("reach"), F.col("qx"), F.col("qy")
-    # At the root level one pseudo-cell holds every point.
     boxes = F.when(
         F.col("__level") < root, cells_covered(x - r, y - r, x + r, y + r, F.col("__level"))
-    ).otherwise(F.array(F.struct(
-        F.lit(root).alias("cell_level"), F.lit(0).cast("long").alias("cell_x"), F.lit(0).cast("long").alias("cell_y")
-    )))
+    ).otherwise(_root(levels))
     search = explode_cells(reach, boxes).drop("__level")
-    near = search.join(cells, [*part, *CELL])
+    near = join_measured(search, cells, [*part, *CELL], filed_bytes)
     dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
     near = near.withColumn("__d", F.sqrt(dx * dx + dy * dy)).where(F.col("__d") <= F.col("reach"))
     nearest = Window.partitionBy(*part, "qx", "qy").orderBy("__d", "__pid")

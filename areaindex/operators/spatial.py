@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaindex.functions import geometry as G
-from areaindex.functions.grid import CELL, box_level, cells_covered, cells_of_point, explode_cells, levels_in
+from areaindex.functions.grid import CELL, box_level, cells_covered, cells_of_point, explode_cells, measure
 from areaindex.operators.knn import knn_join
-from areaindex.session import checkpointed
+from areaindex.session import checkpointed, join_measured, spread
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -63,9 +63,10 @@ def _in_box(x: Column, y: Column) -> Column:
 
 def _points_in_boxes(points: DataFrame, boxes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of a point (x, y) and a box holding it; each pair once. Columns ``on`` must agree."""
-    levels = levels_in(boxes, box_level(boxes))
-    located = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), levels))
-    return located.join(_box_cells(boxes), [*on, *CELL]).where(_in_box(F.col("x"), F.col("y"))).drop(*CELL)
+    extent = measure(boxes, box_level(boxes), "edges")
+    located = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), extent.levels))
+    found = join_measured(located, _box_cells(boxes), [*on, *CELL], extent.filed_bytes)
+    return found.where(_in_box(F.col("x"), F.col("y"))).drop(*CELL)
 
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -155,7 +156,13 @@ def _box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     a = a.withColumn("__la", box_level(a))
     b = b.withColumn("__lb", box_level(b))
-    a_levels, b_levels = levels_in(a, F.col("__la")), levels_in(b, F.col("__lb"))
+    a_extent, b_extent = measure(a, F.col("__la"), "a_edges"), measure(b, F.col("__lb"), "b_edges")
+    # Geometry tests follow the join, in the tasks of the larger side.
+    a_larger = a_extent.filed_bytes >= b_extent.filed_bytes
+    if a_larger:
+        a = spread(a, a_extent.rows, *BOX)
+    else:
+        b = spread(b, b_extent.rows, *BOX)
 
     def file(df: DataFrame, side: str, others: list[int]) -> DataFrame:
         own = F.col(f"__l{side}")
@@ -165,7 +172,11 @@ def _box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         cells = F.flatten(F.transform(levels, lambda lv: cells_covered(*box, lv)))
         return explode_cells(df, cells).withColumnsRenamed({c: f"{side}_{c}" for c in BOX})
 
-    pairs = file(a, "a", b_levels).join(file(b, "b", a_levels), CELL)
+    sides = file(a, "a", b_extent.levels), file(b, "b", a_extent.levels)
+    large, small = sides if a_larger else sides[::-1]
+    copies = 1 + len(a_extent.levels if a_larger else b_extent.levels)
+    small_bytes = copies * (b_extent if a_larger else a_extent).filed_bytes
+    pairs = join_measured(large, small, CELL, small_bytes)
     left, low = F.greatest("a_xmin", "b_xmin"), F.greatest("a_ymin", "b_ymin")
     meet = (left <= F.least("a_xmax", "b_xmax")) & (low <= F.least("a_ymax", "b_ymax"))
     side = F.pow(F.lit(2.0), F.col("cell_level"))
@@ -209,7 +220,7 @@ def _shared() -> Column:
     total = G.shared_area(F.col("a_edges"), F.col("b_edges"), base)
     width = F.least(F.col("a_xmax") - F.col("a_xmin"), F.col("b_xmax") - F.col("b_xmin"))
     noise = width * (F.greatest("a_ymax", "b_ymax") - base) * 1e-12
-    return F.transform(F.array(total), lambda v: F.when(v > noise, v).otherwise(F.lit(0.0)))[0]
+    return G.let(total, lambda v: F.when(v > noise, v).otherwise(F.lit(0.0)))
 
 
 def overlap_area(a: DataFrame, b: DataFrame, a_id: str = "area_code", b_id: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from areaindex.functions.projection import project
 from areaindex.operators import spatial
 from areaindex.queries.base import areas, query, rounded, table
 from areaindex.queries.services import place
+from areaindex.session import checkpointed
 
 
 def _point(x, y):
@@ -21,9 +22,10 @@ def _point(x, y):
 
 
 def _polygons(df, corners, clockwise):
+    """Polygon rows, written once and read from there, as boundaries are."""
     pts = F.array(*[_point(x, y) for x, y in corners])
     ring = F.struct(F.lit(False).alias("is_hole"), F.when(clockwise, F.reverse(pts)).otherwise(pts).alias("pts"))
-    return spatial.polygons_from_rings(df.withColumn("rings", F.array(ring)))
+    return checkpointed(spatial.polygons_from_rings(df.withColumn("rings", F.array(ring))))
 
 
 def area_polygons(spark, sf):

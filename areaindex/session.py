@@ -37,6 +37,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """Give a small table as many partitions as a shuffle has.
+
+    Work that costs much per row and few bytes, such as geometry, would stay in
+    the few tasks that a small file or a coalesced shuffle yields. Large tables
+    arrive in many partitions and are left as they are.
+    """
+    if rows > SMALL_ROWS:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def join_measured(large: DataFrame, small: DataFrame, on: Sequence[str], small_bytes: int) -> DataFrame:
+    """Join with a side whose size was measured: broadcast up to a bound, sort-merge beyond.
+
+    For exploded frames, which the planner takes to be as small as before the
+    explode and would broadcast at any size.
+    """
+    if small_bytes <= BROADCAST_BYTES:
+        return large.join(F.broadcast(small), list(on))
+    return large.join(small.hint("merge"), list(on))
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; keeps the left key columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
