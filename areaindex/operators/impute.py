@@ -194,28 +194,28 @@ def _literal(values: np.ndarray) -> str:
     return f"array({', '.join(_literal(v) for v in values)})"
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def _posterior(cols: Sequence[str], centre: Mapping[str, float], target: str, models) -> tuple[Column, Column]:
-    """Predictive mean and sd as columns; ``models`` holds one regression per run."""
+    """Predictive mean and sd as columns; ``models`` holds one regression per run.
+
+    The variance is noise + |L' (x - mean)|**2, with L L' the coefficient covariance.
+    """
     others = [c for c in cols if c != target]
-    x = F.array(*[F.col(c) for c in others])
     middle = np.array([centre[c] for c in others])
+    factors = [np.linalg.cholesky(m[2] + 1e-18 * np.eye(len(others))).T for m in models]
 
-    def per_run(values) -> Column:
-        return F.expr(_literal(np.array(values)))[F.col("imputation_run")]
+    def per_run(values) -> str:
+        return f"{_literal(np.array(values))}[imputation_run]"
 
-    starts = [m[0] - m[1] @ middle + centre[target] for m in models]
-    mean = _dot(x, per_run([m[1] for m in models])) + per_run(starts)
-    # The variance is noise + |L' (x - mean)|**2, with L L' the coefficient covariance.
-    factors = [np.linalg.cholesky(m[2] + 1e-18 * np.eye(len(others))).T for m in models]
-    offsets = [f @ (m[3] + middle) for f, m in zip(factors, models)]
-    along = F.zip_with(
-        F.transform(per_run(factors), lambda row: _dot(x, row)), per_run(offsets), lambda v, at: v - at
-    )
-    return mean, F.sqrt(per_run([m[4] for m in models]) + _dot(along, along))
+    def dot(a: str, b: str) -> str:
+        return f"aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0D, (total, v) -> total + v)"
+
+    x = f"array({', '.join(f'`{c}`' for c in others)})"
+    start = per_run([m[0] - m[1] @ middle + centre[target] for m in models])
+    mean = f"{dot(x, per_run([m[1] for m in models]))} + {start}"
+    offsets = per_run([f @ (m[3] + middle) for f, m in zip(factors, models)])
+    along = f"zip_with(transform({per_run(factors)}, line -> {dot(x, 'line')}), {offsets}, (v, at) -> v - at)"
+    noise = per_run([m[4] for m in models])
+    return F.expr(mean), F.expr(f"sqrt({noise} + aggregate({along}, 0D, (total, v) -> total + v * v))")
 
 
 def impute_chained(

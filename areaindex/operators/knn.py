@@ -101,8 +101,9 @@ def knn_join(
     levels, count = _grid_levels(points, part, k)
     filed_bytes = count * len(levels) * 100
     root = levels[-1]
-    # Kept by place from here to the end, in as many tasks as a shuffle has.
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A place becomes dozens of rows below, so places go to twice the partitions
+    # of a plain shuffle, and a count given here is not coalesced away.
+    tasks = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct().repartition(tasks, "qx", "qy")
 
     # k points of every cell, as an array; the root cell stands for the whole plane.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from areaindex.functions.clean import row_mean, row_sum
 from areaindex.operators.ordering import GROUP_LIMIT, medians, with_position
-from areaindex.session import join_null_safe, one_row
+from areaindex.session import checkpointed, join_null_safe, one_row
 
 
 def make_grid(
@@ -169,11 +169,12 @@ def cascade_fill(
     """Fill by the median of each group level in turn, then of everything, then zero.
 
     Each level sees what the levels before it filled in. The result is cut to
-    a whole number.
+    a whole number. The input is read some times per level, so it is stored first.
     """
     out = df.withColumn(col, F.col(col).cast("double"))
     if zero_is_missing:
         out = out.withColumn(col, F.nullif(F.col(col), F.lit(0.0)))
+    out = checkpointed(out)
     for group in groups:
         out = fill_group_median(out, [group], [col], limit)
     overall = one_row(medians(out, [col], (), limit)).getField(col)
