@@ -236,3 +236,14 @@ def test_projection_example_and_round_trip(spark):
     assert london["latitude"] == pytest.approx(51.50, abs=.01) and london["longitude"] == pytest.approx(-.128, abs=.01)
     with pytest.raises(ValueError):
         project(pts, "e", "n", "grid", "grid")
+
+
+def test_results_do_not_depend_on_the_join_strategy(spark, monkeypatch):
+    from areaindex import session
+
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(session, "SMALL_ROWS", -1)
+    rng = np.random.default_rng(6)
+    check_knn(spark, as_rows(rng.integers(0, 30, (120, 2))), as_rows(rng.random((60, 2)) * 40 - 5), 3)
+    test_points_in_polygons(spark)
+    test_neighbours_and_touching(spark)
