@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import rules
+from areaindex.llm import minhash, rules
 from areaindex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,35 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rules.verdict("base")).alias("base_failed"), rules.verdict("v2").alias("kept"), "failed",
     )
+
+
+@query("op5_minmax_dedup", """
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w]
+                                      ELSE list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) END) AS s
+  FROM texts WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+rare AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) AS place
+  FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY s) AS f FROM shingles)),
+prefixes AS (SELECT doc_id, s, n FROM rare JOIN sizes USING (doc_id) WHERE place <= n - (80 * n + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb
+  FROM prefixes a JOIN prefixes b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (
+  SELECT a, b, na, nb, count(*) AS i
+  FROM pairs JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND x.s = y.s GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (na + nb - i)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  WITH RECURSIVE r(node, seen) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN edges e ON e.a = r.seen)
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN reach ON node = doc_id LEFT JOIN sizes USING (doc_id)""")
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
