@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import decontam, minhash, packing, rules
+from areaindex.llm import decontam, licenses, minhash, packing, rules
 from areaindex.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,49 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)""")
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def _license_sql() -> str:
+    from areaindex.llm.license_rules import RULES
+
+    values = ", ".join(
+        f"({i}, '{r.keyword}', '^({r.pattern})( |$)', '{r.label}', {r.priority}, CAST({r.score} AS DOUBLE))"
+        for i, r in enumerate(RULES)
+    )
+    reach = ", ".join(
+        f"max(CASE WHEN priority <= {p} THEN stop END) OVER before AS reach{p}" for p in (1, 2, 3)
+    )
+    return rf"""
+WITH rules(rule, keyword, pattern, label, priority, score) AS (VALUES {values}),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(0, len(w))) AS place FROM docs),
+marked AS (
+  SELECT doc_id, place, keyword, pattern, rule, label, priority, score,
+         array_to_string(list_slice(w, place + 1, place + {licenses.REACH}), ' ') AS context
+  FROM places JOIN rules ON keyword = w[place + 1]),
+found AS (
+  SELECT doc_id, place AS start, place + len(string_split(regexp_extract(context, pattern, 1), ' ')) AS stop,
+         rule, label, priority, score
+  FROM marked WHERE regexp_matches(context, pattern)),
+reached AS (
+  SELECT *, {reach} FROM found WINDOW before AS (
+    PARTITION BY doc_id ORDER BY start, stop DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kept AS (
+  SELECT * FROM reached
+  WHERE priority = 0 OR stop > coalesce(CASE priority WHEN 1 THEN reach1 WHEN 2 THEN reach2 ELSE reach3 END, -1)),
+judged AS (
+  SELECT doc_id, count(*) FILTER (priority = 0) AS n_base, min(start) FILTER (priority = 0) AS first_word,
+         max(start) FILTER (priority = 0) AS last_word, max(score) AS score,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (priority = 0)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM docs LEFT JOIN judged USING (doc_id)"""
+
+
+@query("op9_license_rules", _license_sql())
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
