@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import decontam, licenses, minhash, packing, rules, warc
+from areaindex.llm import decontam, licenses, minhash, packing, pii, rules, warc
 from areaindex.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,9 @@ def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ident").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), "refers_to",
     )
+
+
+@query("op1_bilstm_pii")
+def op1_bilstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
