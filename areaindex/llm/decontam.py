@@ -8,9 +8,9 @@ where the window would lie, and length and position bounds drop what would not
 fit. What remains is confirmed word by word.
 
 Three passes over the texts: corpus counts of the benchmark's words, candidates,
-confirmation of the documents that have candidates. Only counts, candidates and
-matches are shuffled while they are small; beyond a measured size the texts with
-candidates are joined by their key.
+confirmation of the documents that have candidates. Candidates grow with the
+corpus, so texts meet them in a shuffle by document, once; what is filed per
+window is broadcast while its measured size allows.
 
 Defined results: a NULL or empty text has no words, no hits and is clean; items
 without words have no window; documents are told apart by id and text, so rows
@@ -107,10 +107,8 @@ def overlap(
     candidates = written(
         found.where("NOT is_end").select("row", "item_id", "start", "length", "segment").distinct(), "candidates"
     )
-    n_candidates, width = candidates.agg(F.count(F.lit(1)), F.sum(F.size("segment"))).first()
-    n_candidates, bytes_of = n_candidates or 0, 64 * (n_candidates or 0) + 24 * (width or 0)
     named = candidates.select("row").distinct()
-    held = join_measured(texts.select("row", "text"), named, ["row"], 24 * n_candidates).select("row", words(F.col("text")).alias("words"))
+    held = texts.select("row", "text").join(named.hint("merge"), "row", "left_semi").select("row", words(F.col("text")).alias("words"))
 
     def matching(first: Column, length: Column) -> Column:
         """Starts, within the document, of the windows of a segment that stand there whole."""
@@ -121,7 +119,7 @@ def overlap(
         )
 
     matches = (
-        join_measured(held, candidates, ["row"], bytes_of)
+        held.join(candidates.hint("merge"), "row")
         .select("row", "item_id", "length", F.col("start").alias("base"), matching(F.col("start"), F.col("length")).alias("at"))
         .select("row", "item_id", "length", "base", F.explode("at").alias("i"))
         .select("row", "item_id", (F.col("base") + F.col("i")).alias("start"), (F.col("base") + F.col("i") + F.col("length")).alias("stop"))
