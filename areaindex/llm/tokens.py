@@ -1,7 +1,8 @@
 """Token ids of whole texts, with a cache of word pieces.
 
-Most words of a corpus repeat, so encoding each once and looking it up is
-several times faster than running the merges on every text. Texts with a
+Pieces never cross white space and most words of a corpus repeat, so encoding
+each word once and looking it up is several times faster than running the merges
+on every text. Texts with a
 character outside the range where splitting is plain go through the tokenizer
 as they are; the ids are the same either way.
 """
@@ -15,7 +16,7 @@ import numpy as np
 from areaindex.llm.common import per_process
 
 #: Words kept before the cache starts anew; bounds a worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 # Characters for which the fast path holds, and the pieces that
 # the tokenizer's own split gives on them, in lower case.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-~¡-ÿ]")
@@ -39,15 +40,16 @@ class WordPieces:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words in one call; every word ends in one piece with the end mark."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+        """Encode new words in one call; every piece of them ends in one id with the end mark."""
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) != len(words):
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        pieces = np.cumsum([len(_PIECE.findall(w)) for w in words])
+        if len(stops) != pieces[-1]:
             raise ValueError("the tokenizer does not mark word ends")
         packed, start = ids.astype("<u4").tobytes(), 0
-        for word, stop in zip(words, stops):
+        for word, stop in zip(words, stops[pieces - 1].tolist()):
             self.known[word] = packed[4 * start : 4 * stop]
             start = stop
 
@@ -57,20 +59,15 @@ class WordPieces:
         if _UNUSUAL.search(text) or "<|" in text:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        pieces = _PIECE.findall(text.lower())
-        found = list(map(self.known.get, pieces))
+        words = text.lower().split()
+        found = list(map(self.known.get, words))
         if None in found:
-            missing = list({w for w, ids in zip(pieces, found) if ids is None})
+            missing = list({w for w, ids in zip(words, found) if ids is None})
             self._learn(missing)
-            found = list(map(self.known.get, pieces))
-            if None in found:  # the cache was emptied on the way
-                self._learn(list({w for w, ids in zip(pieces, found) if ids is None}))
-                found = [self.known[w] if w in self.known else self._single(w) for w in pieces]
+            fresh = self.known
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
         return b"".join(found)
 
-    def _single(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
 
 def word_pieces(path: str) -> WordPieces:
     """The worker's encoder for a vocabulary file."""
