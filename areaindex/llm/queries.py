@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import decontam, licenses, minhash, packing, pii, rules, warc
+from areaindex.llm import decontam, langid, licenses, minhash, packing, pii, rules, warc
 from areaindex.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,3 +210,8 @@ def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_bilstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+@query("op7_crf_language")
+def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
