@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import decontam, langid, licenses, minhash, packing, pii, rules, warc
+from areaindex.llm import decontam, langid, licenses, minhash, packing, pii, quality, rules, warc
 from areaindex.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,8 @@ def op1_bilstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_crf_language")
 def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_site_quality")
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
