@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import decontam, langid, licenses, minhash, packing, pii, quality, rules, warc
-from areaindex.llm.common import table, written
+from areaindex.llm import decontam, langid, licenses, minhash, packing, pii, quality, rules, token_rollup, warc
+from areaindex.llm.common import scratch_path, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,3 +220,25 @@ def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_site_quality")
 def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_token_rollup")
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are loaded under two tokenizers, copies of a text deleted, counts revised to hold an
+    end token, and the load is sent once more, as after a failure."""
+    docs = table(spark, sf_dir, "documents")
+    counts = written(
+        token_rollup.count_tokens(docs, {"words-1": None, "word_bpe_49k-1": vocabulary("word_bpe_49k.json")}), "counts"
+    )
+    digest = docs.select(F.col("doc_id").alias("doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = written(digest.join(first, "digest").where("doc <> first").select("doc"), "copies")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup"), kind)
+    load = counts.withColumn("action", F.lit(token_rollup.INSERT))
+    rollup.apply("load", load)
+    rollup.apply("copies", counts.join(copies, "doc").withColumn("action", F.lit(token_rollup.DELETE)))
+    kept = counts.where("version = 'word_bpe_49k-1'").join(copies, "doc", "left_anti")
+    rollup.apply("end-token", kept.withColumns({"action": F.lit(token_rollup.REVISE), "n_tokens": F.col("n_tokens") + 1}))
+    rollup.apply("load", load)
+    return rollup.totals()
