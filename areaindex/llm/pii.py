@@ -205,14 +205,12 @@ def train(texts: list[str], epochs: int = 8, hidden: int = 24) -> BiLstmCrf:
 
 
 def sample_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", count: int = SAMPLE_TEXTS, width: int = 600) -> list[str]:
-    """A bounded sample for training: excerpts, around an anchor where there is one, of the texts first by hash of the id."""
-    value = col(text).cast("string")
-    anchor = F.greatest(F.regexp_instr(value, F.lit("[0-9@]")) - width // 2, F.lit(1))
-    chosen = (
-        docs.where(col(text).isNotNull()).select(F.xxhash64(col(key)).alias("h"), value.alias("t"))
-        .orderBy("h", F.length("t"), "t").limit(count)
-    )
-    return [r[0] for r in chosen.select(F.substring(F.col("t"), F.greatest(F.regexp_instr("t", F.lit("[0-9@]")) - width // 2, F.lit(1)), F.lit(width))).collect()]
+    """A bounded sample for training: excerpts of texts chosen by hash, around an anchor where there is one."""
+    rows = docs.where(col(text).isNotNull()).select(F.xxhash64(col(key), F.length(col(text))).alias("h"), col(text).cast("string").alias("t"))
+    rate = min(1.0, count / max(1, docs.count()))
+    start = F.greatest(F.regexp_instr("t", F.lit("[0-9@]")) - width // 2, F.lit(1))
+    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000).select("h", F.substring("t", start, F.lit(width)).alias("t"))
+    return [r[1] for r in sorted(map(tuple, chosen.limit(2 * count).collect()))]
 
 
 # --- decoding ------------------------------------------------------------------
