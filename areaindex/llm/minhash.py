@@ -15,7 +15,8 @@ copies of one text costs one comparison per member. Links are confirmed on the f
 read from the texts in blocks of one leader and a few dozen members.
 
 Defined results: a document without words has no shingles, is alone in its
-component and kept; a document with fewer words than a shingle has its whole
+component and kept; rows without an id are compared with nothing and all kept; a
+document with fewer words than a shingle has its whole
 sequence as the one shingle; the smallest id represents a component; rows that
 repeat an id are taken as one document and are returned once; an empty table
 gives no rows; further input columns are not read.
@@ -264,7 +265,12 @@ def near_duplicates(
     Documents are linked when their sets of ``shingle`` consecutive words share
     at least ``percent`` of their union; components are what links reach.
     """
-    sketch = written(sketches(docs, key, text, shingle).dropDuplicates(["doc"]), "sketches")
+    raw = written(sketches(docs, key, text, shingle), "raw")
+    named = F.col("doc").isNotNull()
+    nameless = raw.where(~named).withColumns({"digest": F.lit(None).cast("string"), "bands": F.lit(None).cast("array<bigint>")})
+    single = raw.where(named).groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").isEmpty()
+    every = raw if single and nameless.isEmpty() else written(raw.where(named).dropDuplicates(["doc"]).unionByName(nameless), "sketches")
+    sketch = every.where(named)
     sets = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc").alias("node"))
     sets = written(sets, "sets")
     nodes = sketch.join(sets.select(F.col("node").alias("doc")), "doc").withColumnRenamed("n_shingles", "n")
@@ -300,9 +306,20 @@ def near_duplicates(
 
     classes = sets.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return (
-        sketch.select("doc", "n_shingles", "digest").join(classes, "digest", "left")
+        every.select("doc", "n_shingles", "digest").join(classes, "digest", "left")
         .select(
             F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"),
-            (F.coalesce("component_id", "doc") == F.col("doc")).alias("kept"),
+            F.coalesce("component_id", "doc").eqNullSafe(F.col("doc")).alias("kept"),
         )
     )
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, with all columns; rows without an id all stay."""
+    judged = near_duplicates(docs, key, text, shingle, percent)
+    gone = written(judged.where("NOT kept").select(col(key)), "duplicates")
+    rest = docs.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])
+    again = written(docs.where(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), "repeated")
+    if again.isEmpty():
+        return rest
+    return rest.join(again, key, "left_anti").unionByName(rest.join(again, key, "left_semi").dropDuplicates([key]))

@@ -187,4 +187,4 @@ def keep_good(
 ) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     rejected = written(judge(docs, labels, key, text, host, path, label, threshold).where("NOT kept").select(col(key)).distinct(), "rejected")
-    return docs.join(rejected, key, "left_anti")
+    return docs.join(rejected, key, "left_anti").select(*[col(c) for c in docs.columns])
