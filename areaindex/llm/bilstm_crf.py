@@ -124,7 +124,7 @@ class BiLstmCrf:
         np.add.at(d_step, (y[:-1].ravel(), y[1:].ravel()), -1)
         return float((z - gold).mean()), d_emit / batch, d_step / batch, d_first / batch
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 48, rate: float = 0.015, seed: int = 3) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 24, rate: float = 0.03, seed: int = 3) -> list[float]:
         """Adam over (windows, length) classes and tags; the mean loss of each epoch."""
         rng, losses, count = np.random.default_rng(seed), [], 0
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}

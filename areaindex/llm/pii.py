@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 WINDOW, STRIDE = 128, 64
 #: Texts that labelled windows may come from, and windows to train on: the sample's bounds.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 900
+SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 1000
 MIN_SCORE = 2.0
 _DECODE = 256
 _ANCHOR = re.compile("[0-9@]")
@@ -198,7 +198,7 @@ def training_windows(texts: list[str], windows: int = SAMPLE_WINDOWS, seed: int
     return np.stack(x), np.stack(y)
 
 
-def train(texts: list[str], epochs: int = 8, hidden: int = 24) -> BiLstmCrf:
+def train(texts: list[str], epochs: int = 10, hidden: int = 24) -> BiLstmCrf:
     model = BiLstmCrf(2 * len(KINDS) + 1, hidden)
     model.fit(*training_windows(texts), epochs=epochs)
     return model
