@@ -96,6 +96,8 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
+        if not self.model.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
         token_lists = [t.lower().split() if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.clear()
@@ -112,7 +114,7 @@ class Labeller:
                 lengths.append(len(ids))
                 parts.append(ids)
         out = [(UNKNOWN, 0.0)] * len(texts)
-        if rows and self.model.labels:
+        if rows:
             shares = self.model.posteriors(self.table[np.concatenate(parts)], lengths)
             for i, p in zip(rows, shares):
                 mean = p.mean(axis=0)

@@ -20,7 +20,7 @@ class Rule:
 
 
 _SCORES = {0: 0.9, 1: 1.0, 2: 0.75, 3: 0.4}
-_V = "(?:version |v )?"
+_V = "(?:version |v ?)?"
 
 # The base phrases.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))

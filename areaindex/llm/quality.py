@@ -135,8 +135,8 @@ def judge(
     table = written(measured(docs, key, text, host, path), "measured")
     known = labels.where(col(label).isin(0, 1)).groupBy(col(key).alias("key")).agg(F.min(col(label)).cast("double").alias("label"))
     known = written(known, "labels")
-    counts = {r[0]: r[1] for r in known.groupBy("label").agg(F.count(F.lit(1))).collect()}
     labelled = written(table.join(known, "key", "left"), "labelled")
+    counts = {r[0]: r[1] for r in labelled.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1))).collect()}
     if len(counts) < 2:
         return table.select(
             F.col("key").alias(key), *[F.lit(0.5).alias(c) for c in ("p_document", "p_host", "p_path", "p_quality")], F.lit(True).alias("kept")

@@ -1,0 +1,133 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from areaindex.llm import pii
+from areaindex.llm.bilstm_crf import BiLstmCrf, character_classes
+
+
+def brute(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 16, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 8, 15)):
+        for m in re.finditer(pattern, t):
+            number = re.sub("[^0-9]", "", m.group())
+            if low <= len(number) <= high and (kind == "phone" or pii.luhn(number)):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(0)
+    for pool in ("ab.@+-1 2(09%", "0123456789 -", "+12 (.)-9", "a@b.c1.é\n"):
+        for _ in range(8000):
+            t = "".join(rng.choices(pool, k=rng.randint(0, 45)))
+            assert pii.base_spans(t) == brute(t), repr(t)
+    assert pii.base_spans("mail a@b.co, 4111 1111 1111 1111, 0010.0.00000255.1")[1:] == [("ip", 34, 51), ("card", 13, 32)]
+
+
+@pytest.mark.parametrize("text", ["9" * 150_000, "a" * 150_000 + "@", "1." * 60_000, "+" + "1 " * 60_000, "@" * 100_000, "+1" * 50_000])
+def test_long_runs_stay_linear(text):
+    import time
+    start = time.time()
+    pii.base_spans(text)
+    assert time.time() - start < 5
+
+
+def test_gradients_agree_with_differences():
+    rng = np.random.default_rng(2)
+    model = BiLstmCrf(3, hidden=4, classes=6, seed=1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y = rng.integers(0, 6, (2, 7)), rng.integers(0, 3, (2, 7))
+
+    def loss():
+        return model._crf(model._forward(x, False)[0], y.T)[0]
+    emit, *way = model._forward(x, True)
+    _, d_emit, d_step, d_first = model._crf(emit, y.T)
+    grads = model._backward(d_emit, *way)
+    grads["step"], grads["first"] = d_step, d_first
+    for name, g in grads.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in g.shape)
+            kept = model.p[name][at]
+            model.p[name][at] = kept + 1e-3
+            up = loss()
+            model.p[name][at] = kept - 1e-3
+            down = loss()
+            model.p[name][at] = kept
+            assert abs((up - down) / 2e-3 - g[at]) < 2e-3, (name, at)
+
+
+def test_decoding_is_the_best_path():
+    import itertools
+    rng, model = np.random.default_rng(4), BiLstmCrf(3, hidden=4, classes=6)
+    x = rng.integers(0, 6, (5, 6))
+    emit, tags = model._forward(x, False)[0], model.decode(x)[0]
+    for row in range(5):
+        def score(path):
+            return model.p["first"][path[0]] + sum(emit[t, row, p] for t, p in enumerate(path)) + sum(model.p["step"][a, b] for a, b in zip(path, path[1:]))
+        assert score(tags[row]) == pytest.approx(max(map(score, itertools.product(range(3), repeat=6))), abs=1e-4)
+
+
+def test_reconcile_takes_the_best_set_and_joins_cut_spans():
+    assert pii.reconcile([(0, 0, 10, 3.0, False), (1, 5, 20, 5.0, False), (2, 18, 30, 3.0, False)]) == [(0, 0, 10, 3.0), (2, 18, 30, 3.0)]
+    assert [s[:3] for s in pii.reconcile([(4, 100, 128, 9.0, True), (4, 100, 150, 20.0, True), (4, 140, 190, 12.0, True)])] == [(4, 100, 190)]
+    assert pii.reconcile([]) == [] and pii.reconcile([(0, 1, 2, -1.0, False)]) == []
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train(["the quick brown fox jumps over lazy dogs and runs far away from it all " * 8] * 40)
+
+
+def test_network_on_held_out_spans(model):
+    """Values and windows that training has not seen: most are found whole, and hardly any others."""
+    rng = np.random.default_rng(77)
+    texts, truth = [], []
+    for i in range(300):
+        kind = pii.KINDS[i % 5]
+        value = pii._generated(kind, rng)
+        before = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "version 2.0", "12:30"], int(rng.integers(0, 40))))
+        texts.append(f"{before} {value} lorem ipsum")
+        truth.append((kind, len(before) + 1, len(before) + 1 + len(value)))
+    found = pii.added_spans(model, texts, [[] for _ in texts])
+    right = [t in f for t, f in zip(truth, found)]
+    assert np.mean(right) >= 0.8 and np.mean([r for t, r in zip(truth, right) if t[0] != "secret"]) >= 0.85
+    assert np.mean([len(f) > 1 for f in found]) < 0.05
+
+
+def test_skipped_windows_could_add_nothing(model):
+    text = "plain words without any anchor at all " * 20 + "call (443) 555-5793 now " + "more plain words " * 30
+    every = []
+    for start in pii.window_starts(len(text)):
+        x = np.zeros((1, pii.WINDOW), np.int64)
+        part = character_classes(text[start:start + pii.WINDOW])
+        x[0, :len(part)] = part
+        tags, lead = model.decode(x)
+        every += pii._window_spans(tags[0], lead[0], start, len(part), start + pii.WINDOW >= len(text))
+    with_anchor = [s for s in pii.reconcile(every) if pii._ANCHOR.search(text, s[1], s[2]) and s[3] >= pii.MIN_SCORE]
+    want = [(pii.KINDS[k], a, b) for k, a, b, _ in with_anchor if pii.plausible(pii.KINDS[k], text[a:b])]
+    assert pii.added_spans(model, [text], [[]])[0] == want
+
+
+def test_detect_and_redact(spark, make_docs, model):
+    text = "write to ann.lee@mail.example.com or +1 (443) 555-5793, ip 10.0.0.1, card 4111 1111 1111 1111"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, "é 10.0.0.1"), (4, "nothing here"), (5, "x " * 60_000 + "a@b.co")]
+    got = pii.detect(make_docs(rows), model=model).collect()
+    assert len(got) == len(rows)
+    first = [r for r in got if r.doc_id == 1]
+    assert first[0] == first[1] and [first[0][f"n_{k}"] for k in pii.BASE_KINDS] == [1, 1, 1, 1]
+    assert all(set(filter(None, r.base.split(","))) <= set(r.spans.split(",")) for r in got)
+    assert next(r for r in got if r.doc_id == 5).base == "email:120000:120006"
+    assert next(r for r in got if r.doc_id is None).base == "ip:2:10"
+    masked = {(r.doc_id, r.text) for r in pii.redact(make_docs(rows), model=model).collect()}
+    assert (1, "write to <EMAIL> or <PHONE>, ip <IP>, card <CARD>") in masked
+    assert {(2, None), (3, ""), (4, "nothing here"), (None, "é <IP>")} <= masked
+    assert pii.redact(make_docs(rows), model=model).columns == make_docs(rows).columns
+    assert pii.detect(make_docs([]), model=model).count() == 0 and pii.sample_texts(make_docs([])) == []
+
+
+def test_masks_of_overlapping_spans_become_one():
+    assert pii.masked("0123456789", [("ip", 2, 5), ("card", 4, 8), ("phone", 2, 3)]) == "01<IP>89"
