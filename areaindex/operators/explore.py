@@ -30,6 +30,12 @@ LOWER_IS_BETTER = {
     "avg_distance_to_childcare_km": True,
     "avg_childcare_quality_score": False,
     "total_childcare_places_nearby": False,
+    "population": False,
+    "latest_median_house_price": True,
+    "IMD_Decile": True,
+    "Income_Decile": True,
+    "Employment_Decile": True,
+    "Health_Decile": True,
 }
 
 
@@ -37,8 +43,13 @@ def rank_areas(
     df: DataFrame, indicator: str, n: int, key: str, top: bool = True,
     lower_is_better: bool | None = None, within: Column | None = None,
 ) -> DataFrame:
-    """Best (or worst) ``n`` areas by an indicator; areas without a value come last either way."""
-    low = LOWER_IS_BETTER.get(indicator, False) if lower_is_better is None else lower_is_better
+    """Best (or worst) ``n`` areas by an indicator; areas without a value come last either way.
+
+    The direction is the catalogue's; an indicator outside it needs one.
+    """
+    if lower_is_better is None and indicator not in LOWER_IS_BETTER:
+        raise ValueError(f"say whether a low value of {indicator} is the good one")
+    low = LOWER_IS_BETTER[indicator] if lower_is_better is None else lower_is_better
     if within is not None:
         df = df.where(within)
     value = F.col(f"`{indicator}`")

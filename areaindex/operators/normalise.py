@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.operators.ordering import GROUP_LIMIT, average_rank, quantiles, with_position
+from areaindex.operators.ordering import average_rank, quantiles, with_position
 from areaindex.session import join_null_safe, one_row
 
 # Score name -> (raw column, whether a low raw value is good).
@@ -27,7 +27,7 @@ SCORE_SPEC = {
 
 def winsor_minmax(
     df: DataFrame, spec: Mapping[str, tuple[str, bool]], lo: float = 0.025, hi: float = 0.975,
-    digits: int = 2, by: Sequence[str] = (), limit: int = GROUP_LIMIT,
+    digits: int = 2, by: Sequence[str] = (),
 ) -> DataFrame:
     """Clip each column to its ``lo``/``hi`` quantiles and scale it to 0-100.
 
@@ -37,7 +37,7 @@ def winsor_minmax(
     """
     spec = {out: (c, invert) for out, (c, invert) in spec.items() if c in df.columns}
     cols = list(dict.fromkeys(c for c, _ in spec.values()))
-    bounds = quantiles(df, cols, [lo, hi], by, limit)
+    bounds = quantiles(df, cols, [lo, hi], by)
     if by:
         bounds = bounds.select(*by, F.struct(*cols).alias("__bounds"))
         bounded = join_null_safe(df, bounds, list(by), "left")
@@ -90,11 +90,11 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def winsor_bounds(
-    df: DataFrame, cols: Sequence[str], lo: float = 0.025, hi: float = 0.975, limit: int = GROUP_LIMIT
+    df: DataFrame, cols: Sequence[str], lo: float = 0.025, hi: float = 0.975
 ) -> DataFrame:
     """Clipping bounds, quartiles and the number of values outside the bounds, per column."""
     levels = [lo, 0.25, 0.5, 0.75, hi]
-    found = quantiles(df, cols, levels, (), limit)
+    found = quantiles(df, cols, levels, ())
     counted = df.withColumn("__q", one_row(found)).agg(*[
         F.struct(
             F.lit(c).alias("indicator"),
@@ -108,13 +108,13 @@ def winsor_bounds(
 
 def percentile_rank(
     df: DataFrame, col: str, by: Sequence[str] = (), lower_is_better: bool = False,
-    out: str = "percentile", limit: int = GROUP_LIMIT,
+    out: str = "percentile",
 ) -> DataFrame:
     """Ascending average rank as a share of the values present, in percent.
 
     With ``lower_is_better`` the reading is turned round: 100 minus the share.
     """
-    ranked = average_rank(df, col, by, True, "__rank", limit)
+    ranked = average_rank(df, col, by, True, "__rank")
     sizes = df.groupBy(*by).agg(F.count(col).alias("__present"))
     if by:
         ranked = join_null_safe(ranked, sizes, list(by), "left")
@@ -126,7 +126,7 @@ def percentile_rank(
 
 def deciles(
     df: DataFrame, col: str, tie: Sequence[str], by: Sequence[str] = (), out: str = "decile",
-    groups: int = 10, limit: int = GROUP_LIMIT,
+    groups: int = 10,
 ) -> DataFrame:
     """Decile 10 for the lowest values down to 1 for the highest.
 
@@ -139,7 +139,7 @@ def deciles(
         F.count(F.lit(1)).alias("__count"), (F.min(col) < F.max(col)).alias("__varies")
     )
     order = [F.col(col), *[F.col(t) for t in tie]]
-    placed = with_position(valued, order, by, "__place", limit)
+    placed = with_position(valued, order, by, "__place")
     if by:
         placed = join_null_safe(placed, pool, list(by))
     else:

@@ -1,16 +1,21 @@
 """Exact positions, ranks and quantiles that do not depend on one task holding a group.
 
-Every entry point first measures the largest group. Up to ``limit`` rows per
-group a plain window or ``percentile`` is used. Above it the rows are range
-partitioned on (group, order), so a hot group is spread over many slices; each
-slice is numbered on its own and shifted by the sizes of the slices before it.
-The sliced rows are checkpointed, because the slice of a row must not change
-when a lost executor makes Spark read it again.
+Ranks and quantiles work on the number of rows per distinct value, so a value
+that a third of all rows share is one row. The values are cut into slices at
+approximate quantiles, which a scalar subquery finds; each slice of a group is
+numbered on its own and shifted by the sizes of the slices before it. The slice
+is a function of the value, so it is the same wherever it is computed.
+
+Positions need an order over several columns. Rows are range partitioned on
+(group, order), numbered slice by slice and shifted the same way. The sliced
+rows are checkpointed, because the slice of a row must not change when a lost
+executor makes Spark read it again.
+
+There is one plan at every size, and positions are always ``long``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,149 +23,129 @@ from pyspark.sql import functions as F
 
 from areaindex.session import checkpointed, join_null_safe
 
-GROUP_LIMIT = 2_000_000
-_SLICE = "__slice"
+_SLICE, _COUNT, _BEFORE, _LESS = "__slice", "__n", "__before", "__less"
+_EARLIER = (Window.unboundedPreceding, -1)
 
 
-def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """Total rows and rows of the largest group."""
-    if not by:
-        total = df.count()
-        return total, total
-    row = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    )
-    return int(row["total"] or 0), int(row["largest"] or 0)
-
-
-def _window(by: Sequence[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+def _slices(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column], total: int, limit: int) -> DataFrame:
-    slices = max(2, math.ceil(4 * total / limit))
-    ranged = df.repartitionByRange(slices, *[F.col(b) for b in by], *order)
-    return checkpointed(ranged.withColumn(_SLICE, F.spark_partition_id()))
-
-
-def _with_offsets(sliced: DataFrame, by: Sequence[str], weight: Column, out: str) -> DataFrame:
+def _with_offsets(
+    sliced: DataFrame, by: Sequence[str], weight: Column, ascending: bool = True
+) -> DataFrame:
     """Add the total weight of all earlier slices of the same group."""
     keys = [*by, _SLICE]
-    before = _window(by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col(_SLICE).asc() if ascending else F.col(_SLICE).desc()
+    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(place).rowsBetween(*_EARLIER)
     offsets = (
         sliced.groupBy(*keys).agg(F.sum(weight).alias("__w"))
-        .withColumn(out, F.coalesce(F.sum("__w").over(before), F.lit(0)))
+        .withColumn(_BEFORE, F.coalesce(F.sum("__w").over(window), F.lit(0)))
         .drop("__w")
     )
     return join_null_safe(sliced, offsets, keys)
 
 
 def with_position(
-    df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "position",
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "position"
 ) -> DataFrame:
-    """1-based row number inside each group; ``order`` must identify a row."""
-    total, largest = group_sizes(df, by)
-    if largest <= limit:
-        return df.withColumn(out, F.row_number().over(_window(by).orderBy(*order)))
-    sliced = _with_offsets(_sliced(df, by, order, total, limit), by, F.lit(1), "__before")
+    """1-based row number inside each group, as long; ``order`` must identify a row."""
+    ranged = df.repartitionByRange(_slices(df), *[F.col(b) for b in by], *order)
+    sliced = _with_offsets(checkpointed(ranged.withColumn(_SLICE, F.spark_partition_id())), by, F.lit(1))
     local = Window.partitionBy(*by, _SLICE).orderBy(*order)
     return (
-        sliced.withColumn(out, (F.row_number().over(local) + F.col("__before")).cast("long"))
-        .drop(_SLICE, "__before")
+        sliced.withColumn(out, (F.row_number().over(local) + F.col(_BEFORE)).cast("long"))
+        .drop(_SLICE, _BEFORE)
     )
 
 
-def _value_positions(
-    df: DataFrame, value: str, by: Sequence[str], ascending: bool, limit: int
-) -> DataFrame:
+def _value_positions(df: DataFrame, value: str, by: Sequence[str], ascending: bool) -> DataFrame:
     """(by, value, __n rows with the value, __less rows ordered before it)."""
+    valued = df.where(F.col(value).isNotNull())
+    slices = _slices(df)
+    levels = [i / slices for i in range(1, slices)]
+    cuts = valued.agg(F.percentile_approx(F.col(value), levels, 1000)).scalar()
     counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        valued.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_COUNT))
+        .withColumn("__cuts", cuts)
+        .withColumn(_SLICE, F.size(F.filter("__cuts", lambda cut: cut < F.col(value)))).drop("__cuts")
     )
-    order = [F.col(value).asc() if ascending else F.col(value).desc()]
-    total, largest = group_sizes(counts, by)
-    earlier = (Window.unboundedPreceding, -1)
-    if largest <= limit:
-        window = _window(by).orderBy(*order).rowsBetween(*earlier)
-        return counts.withColumn("__less", F.coalesce(F.sum("__n").over(window), F.lit(0)))
-    sliced = _with_offsets(_sliced(counts, by, order, total, limit), by, F.col("__n"), "__before")
-    window = Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(*earlier)
+    sliced = _with_offsets(counts, by, F.col(_COUNT), ascending)
+    order = F.col(value).asc() if ascending else F.col(value).desc()
+    window = Window.partitionBy(*by, _SLICE).orderBy(order).rowsBetween(*_EARLIER)
     return (
-        sliced.withColumn("__less", F.coalesce(F.sum("__n").over(window), F.lit(0)) + F.col("__before"))
-        .drop(_SLICE, "__before")
+        sliced.withColumn(_LESS, F.coalesce(F.sum(_COUNT).over(window), F.lit(0)) + F.col(_BEFORE))
+        .drop(_SLICE, _BEFORE)
     )
 
 
 def average_rank(
-    df: DataFrame, value: str, by: Sequence[str] = (), ascending: bool = False,
-    out: str = "rank", limit: int = GROUP_LIMIT,
+    df: DataFrame, value: str, by: Sequence[str] = (), ascending: bool = False, out: str = "rank"
 ) -> DataFrame:
     """Rank with tied values sharing the mean of their positions; NULL has no rank."""
-    _, largest = group_sizes(df, by)
-    if largest <= limit:
-        column = F.col(value)
-        order = column.asc_nulls_last() if ascending else column.desc_nulls_last()
-        window = _window(by).orderBy(order)
-        peers = window.rangeBetween(Window.currentRow, Window.currentRow)
-        rank = F.rank().over(window) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0)
-        return df.withColumn(out, F.when(column.isNotNull(), rank))
     positions = (
-        _value_positions(df, value, by, ascending, limit)
-        .withColumn(out, F.col("__less") + (F.col("__n") + 1) / F.lit(2.0))
-        .drop("__n", "__less")
+        _value_positions(df, value, by, ascending)
+        .withColumn(out, F.col(_LESS) + (F.col(_COUNT) + 1) / F.lit(2.0))
+        .drop(_COUNT, _LESS)
     )
     return join_null_safe(df, positions, [*by, value], "left")
 
 
+def average_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rank_") -> DataFrame:
+    """``average_rank`` of several numeric columns at once, highest first, as ``prefix`` and the column's name.
+
+    All columns are ranked in one pass; ranking one after the other would
+    repeat the plan of the first in that of each later one.
+    """
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("__name"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(cols)
+    ])).alias("__cell")).select("__cell.__name", "__cell.__value")
+    rank = F.col(_LESS) + (F.col(_COUNT) + 1) / F.lit(2.0)
+    ranks = _value_positions(long, "__value", ["__name"], False).select("__name", "__value", rank.alias("__rank"))
+    for i, c in enumerate(cols):
+        own = ranks.where(F.col("__name") == i).select(F.col("__value").alias("__key"), F.col("__rank").alias(f"{prefix}{c}"))
+        df = df.join(own, F.col(c).cast("double") == F.col("__key"), "left").drop("__key")
+    return df
+
+
 def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linear-interpolation quantiles: one row per group, one array per column.
 
     Groups without a value get NULL. With no ``by`` the result is one row.
     """
-    _, largest = group_sizes(df, by)
-    if largest <= limit:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*by).agg(*[F.percentile(F.col(c), levels).alias(c) for c in cols])
-
     long = df.select(
         *by, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols
+            F.struct(F.lit(i).alias("__name"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(cols)
         ])).alias("__cell"),
-    ).select(*by, F.col("__cell.name").alias("__name"), F.col("__cell.value").alias("__value"))
+    ).select(*by, "__cell.__name", "__cell.__value")
     keys = [*by, "__name"]
-    placed = _value_positions(long, "__value", keys, True, limit)
-    sizes = placed.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    placed = _value_positions(long, "__value", keys, True)
+    sizes = placed.groupBy(*keys).agg(F.sum(_COUNT).alias("__total"))
     placed = join_null_safe(placed, sizes, keys)
 
     def at(index: Column) -> Column:
-        hit = (F.col("__less") <= index) & (index < F.col("__less") + F.col("__n"))
+        hit = (F.col(_LESS) <= index) & (index < F.col(_LESS) + F.col(_COUNT))
         return F.max(F.when(hit, F.col("__value")))
 
-    picks, values = [], []
+    picks, values = [F.first("__total").alias("__size")], []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("__total") - 1)
         picks += [at(F.floor(position)).alias(f"__lo{i}"), at(F.ceil(position)).alias(f"__hi{i}")]
-        share = F.lit(float(p)) * (F.first("__total") - 1)
-        picks.append((share - F.floor(share)).alias(f"__f{i}"))
-        values.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}"))
+        share = F.lit(float(p)) * (F.col("__size") - 1)
+        part = share - F.floor(share)
+        values.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * part)
     per_name = placed.groupBy(*keys).agg(*picks).select(*keys, F.array(*values).alias("__q"))
     found = per_name.groupBy(*by).agg(*[
-        F.max(F.when(F.col("__name") == c, F.col("__q"))).alias(c) for c in cols
+        F.max(F.when(F.col("__name") == i, F.col("__q"))).alias(c) for i, c in enumerate(cols)
     ])
     if not by:
         return found
     return join_null_safe(df.select(*by).distinct(), found, list(by), "left")
 
 
-def medians(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), limit: int = GROUP_LIMIT
-) -> DataFrame:
+def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Median per group, as plain columns."""
-    found = quantiles(df, cols, [0.5], by, limit)
+    found = quantiles(df, cols, [0.5], by)
     return found.withColumns({c: F.element_at(F.col(c), 1) for c in cols})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaindex.functions.clean import row_mean, row_sum
-from areaindex.operators.ordering import GROUP_LIMIT, medians, with_position
+from areaindex.operators.ordering import medians, with_position
 from areaindex.session import checkpointed, join_null_safe, one_row
 
 
@@ -112,7 +112,6 @@ def latest_snapshot(df: DataFrame, ts: str) -> DataFrame:
 
 def rollup(
     df: DataFrame, keys: Sequence[str], aggs: Mapping[str, str], zero_fill: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Mean, sum or median per group of those columns that exist.
 
@@ -124,7 +123,7 @@ def rollup(
     middle = [c for c, how in present.items() if how == "median"]
     out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
     if middle:
-        out = join_null_safe(out, medians(df, middle, keys, limit), list(keys), "left")
+        out = join_null_safe(out, medians(df, middle, keys), list(keys), "left")
     for c in zero_fill:
         if c in present:
             out = out.withColumn(c, F.bround(F.coalesce(F.col(c), F.lit(0.0)), 0).cast("int"))
@@ -151,10 +150,10 @@ def fill_within(
 
 
 def fill_group_median(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str], limit: int = GROUP_LIMIT
+    df: DataFrame, group: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
     """Replace NULL by the median of the group."""
-    middle = medians(df, cols, group, limit).withColumnsRenamed({c: f"__m_{c}" for c in cols})
+    middle = medians(df, cols, group).withColumnsRenamed({c: f"__m_{c}" for c in cols})
     out = join_null_safe(df, middle, list(group), "left")
     return (
         out.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in cols})
@@ -164,7 +163,6 @@ def fill_group_median(
 
 def cascade_fill(
     df: DataFrame, col: str, groups: Sequence[str], zero_is_missing: bool = True,
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Fill by the median of each group level in turn, then of everything, then zero.
 
@@ -176,16 +174,15 @@ def cascade_fill(
         out = out.withColumn(col, F.nullif(F.col(col), F.lit(0.0)))
     out = checkpointed(out)
     for group in groups:
-        out = fill_group_median(out, [group], [col], limit)
-    overall = one_row(medians(out, [col], (), limit)).getField(col)
+        out = fill_group_median(out, [group], [col])
+    overall = one_row(medians(out, [col], ())).getField(col)
     return out.withColumn(col, F.coalesce(F.col(col), overall, F.lit(0.0)).cast("int"))
 
 
 def running_number(
     df: DataFrame, partition: Sequence[str], order: Sequence[str], out: str = "neighbourhood_num",
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    return with_position(df, [F.col(o) for o in order], partition, out, limit)
+    return with_position(df, [F.col(o) for o in order], partition, out)
 
 
 # Which service columns feed which summary column, and how.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.functions.clean import row_mean
-from areaindex.operators.ordering import GROUP_LIMIT, average_rank, with_position
+from areaindex.operators.ordering import average_rank, average_ranks, with_position
 
 
 def alternative_scores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -26,11 +26,9 @@ def alternative_scores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     })
 
 
-def rank_shift(df: DataFrame, base: str, others: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:
+def rank_shift(df: DataFrame, base: str, others: Sequence[str]) -> DataFrame:
     """Pearson r, Spearman rho and mean rank shift of each score against ``base``."""
-    ranked = df.select(base, *others)
-    for c in (base, *others):
-        ranked = average_rank(ranked, c, (), False, f"__rank_{c}", limit)
+    ranked = average_ranks(df.select(base, *others), [base, *others], "__rank_")
     base_rank = F.col(f"__rank_{base}")
     stats = ranked.agg(*[
         F.struct(
@@ -52,7 +50,7 @@ def uniform_noise(seed: int = 42) -> Callable[[Column, int], Column]:
 
 def simulated_ranks(
     df: DataFrame, key: str, weights: Mapping[str, float], sims: int = 100, spread: float = 0.2,
-    seed: int = 42, noise: Callable[[Column, int], Column] | None = None, limit: int = GROUP_LIMIT,
+    seed: int = 42, noise: Callable[[Column, int], Column] | None = None,
 ) -> DataFrame:
     """Rank of every area in every simulation with weights moved by up to ``spread``."""
     draw = noise or uniform_noise(seed)
@@ -65,25 +63,25 @@ def simulated_ranks(
     ]) / reduce(add, moved)
     # Rounding makes equal scores equal whatever the order of the sums.
     scored = scenarios.select(key, "sim_id", F.round(score, 9).alias("score"))
-    return average_rank(scored, "score", ["sim_id"], False, "rank", limit).drop("score")
+    return average_rank(scored, "score", ["sim_id"], False, "rank").drop("score")
 
 
 def weight_uncertainty(
     df: DataFrame, key: str, weights: Mapping[str, float], sims: int = 100, spread: float = 0.2,
-    seed: int = 42, noise: Callable[[Column, int], Column] | None = None, limit: int = GROUP_LIMIT,
+    seed: int = 42, noise: Callable[[Column, int], Column] | None = None,
 ) -> DataFrame:
     """5th, 50th and 95th percentile of the simulated ranks of each area.
 
     A group holds one rank per simulation, so ``percentile`` stays small.
     """
-    ranks = simulated_ranks(df, key, weights, sims, spread, seed, noise, limit)
+    ranks = simulated_ranks(df, key, weights, sims, spread, seed, noise)
     levels = F.percentile("rank", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return ranks.groupBy(key).agg(levels.alias("q")).select(
         key, F.col("q")[0].alias("p05_rank"), F.col("q")[1].alias("median_rank"), F.col("q")[2].alias("p95_rank")
     )
 
 
-def every_nth(df: DataFrame, order: Sequence[str], n: int = 10, limit: int = GROUP_LIMIT) -> DataFrame:
+def every_nth(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     """Every n-th row in order, beginning with the first."""
-    placed = with_position(df, [F.col(o) for o in order], (), "position", limit)
+    placed = with_position(df, [F.col(o) for o in order], (), "position")
     return placed.where((F.col("position") - 1) % n == 0)

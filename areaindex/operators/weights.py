@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 from operator import add
 
 import numpy as np
@@ -116,23 +117,31 @@ def pca(df: DataFrame, cols: Sequence[str]) -> PcaResult:
     )
 
 
-def varimax(loadings: np.ndarray, sweeps: int = 20, tol: float = 1e-6) -> np.ndarray:
+def varimax(loadings: np.ndarray, sweeps: int = 500, tol: float = 1e-10) -> np.ndarray:
     """Orthogonal rotation towards few large loadings per component (Kaiser 1958).
 
-    Maximises the summed variance of the squared loadings. Each step projects
-    the gradient of that criterion on the rotations, by its polar factor.
+    The summed variance of the squared loadings is raised by rotating two
+    components at a time in their plane, by the angle that is best for the two.
+    Sweeps over all pairs go on until no angle exceeds ``tol``.
     """
-    p, k = loadings.shape
-    turn, reached = np.eye(k), 0.0
+    turned = np.array(loadings, dtype=float)
+    rows, components = turned.shape
     for _ in range(sweeps):
-        turned = loadings @ turn
-        centred = turned ** 2 - (turned ** 2).mean(axis=0)
-        left, size, right = np.linalg.svd(loadings.T @ (turned * centred))
-        turn = left @ right
-        before, reached = reached, size.sum()
-        if before and reached < before * (1 + tol):
+        widest = 0.0
+        for first, second in combinations(range(components), 2):
+            x, y = turned[:, first].copy(), turned[:, second].copy()
+            # in the plane of the pair, x + iy squared turns by twice the angle
+            square = (x + 1j * y) ** 2
+            moment = (square ** 2).sum() - square.sum() ** 2 / rows
+            angle = np.angle(moment) / 4
+            if abs(moment) < 1e-15 or abs(angle) <= tol:
+                continue
+            widest = max(widest, abs(angle))
+            turned[:, first] = x * np.cos(angle) + y * np.sin(angle)
+            turned[:, second] = y * np.cos(angle) - x * np.sin(angle)
+        if widest <= tol:
             break
-    return loadings @ turn
+    return turned
 
 
 def rotated_loadings(spark: SparkSession, result: PcaResult, k: int = 5) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from areaindex.functions.clean import rate_per
 from areaindex.operators import impute, normalise, panel, weights
-from areaindex.operators.ordering import GROUP_LIMIT
 from areaindex.session import checkpointed
 
 # Columns that do not change over the years of one area.
@@ -27,7 +26,6 @@ STATIC_COLUMNS = (
 
 def assembled(
     codes: DataFrame, years: Sequence[int], sources: Sequence[panel.Source], missing: str = "skip",
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Grid with every source joined and static values carried over the years.
 
@@ -41,7 +39,7 @@ def assembled(
         whole = panel.fill_within(whole, "area_code", "year", static)
     if "population" in whole.columns:
         whole = panel.fill_within(whole, "area_code", "year", ["population"], "ffill")
-        whole = panel.fill_group_median(whole, ["year"], ["population"], limit)
+        whole = panel.fill_group_median(whole, ["year"], ["population"])
     return whole
 
 
@@ -66,12 +64,12 @@ def imputed_panel(whole: DataFrame, year: int, runs: int = 5, sweeps: int = 10,
     )
 
 
-def scored(imputed: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def scored(imputed: DataFrame) -> DataFrame:
     """0-100 scores of the ten indicators, with the raw values beside them."""
     if {"crime_count", "population"} <= set(imputed.columns):
         imputed = imputed.withColumn("crime_rate_per_1000", rate_per("crime_count", "population"))
     spec = {f"{name}_score": rule for name, rule in normalise.SCORE_SPEC.items()}
-    out = normalise.winsor_minmax(imputed, spec, limit=limit)
+    out = normalise.winsor_minmax(imputed, spec)
     raw = [c for c, _ in normalise.SCORE_SPEC.values() if c in out.columns]
     return out.select("area_code", "year", *[s for s in spec if s in out.columns], *raw)
 
@@ -98,7 +96,7 @@ def built(scores: DataFrame, components: int = 5) -> Index:
 
 def dashboard_table(
     context: DataFrame, composite: DataFrame, hierarchy: DataFrame, year: int | None = None,
-    decile_by: Sequence[str] = ("year",), limit: int = GROUP_LIMIT,
+    decile_by: Sequence[str] = ("year",),
 ) -> DataFrame:
     """What the pages show: context, scores, names, deprivation deciles and running numbers."""
     scores = composite.select("area_code", "year", *[c for c in composite.columns if c not in context.columns])
@@ -111,8 +109,8 @@ def dashboard_table(
         ("Health_Score", "Health_Decile"), ("IDACI_Rate", "IDACI_Decile"),
     ):
         if col in whole.columns:
-            whole = normalise.deciles(whole, col, ["area_code", "year"], list(decile_by), out, limit=limit)
-    numbered = panel.running_number(whole, ["mid_name", "year"], ["area_code"], limit=limit)
+            whole = normalise.deciles(whole, col, ["area_code", "year"], list(decile_by), out)
+    numbered = panel.running_number(whole, ["mid_name", "year"], ["area_code"])
     return numbered.withColumn(
         "display_name", F.concat("mid_name", F.lit(" - Neighbourhood "), F.col("neighbourhood_num").cast("string"))
     )
