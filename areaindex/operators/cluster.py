@@ -2,44 +2,130 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import add
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.functions.clean import row_mean
 from areaindex.operators.weights import pca
 
+#: Points that starting centres are chosen among, at most about this many.
+START_POINTS = 2000
+#: Points that a task should have at least in each round.
+TASK_POINTS = 20_000
+_COUNT, _COST = -1, -2
+
+
+def _starts(points: np.ndarray, k: int, rng: np.random.Generator, settle: int = 300) -> np.ndarray:
+    """k-means++ on a few points: each centre is drawn by its squared distance to those before.
+
+    The centres are then settled on these points, which leaves few rounds over all.
+    """
+    chosen = [points[int(rng.integers(len(points)))]]
+    while len(chosen) < k:
+        far = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        if not far.sum():
+            break
+        chosen.append(points[int(rng.choice(len(points), p=far / far.sum()))])
+    centres = np.array(chosen)
+    for _ in range(settle):
+        near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([points[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(cost, sizes, centres) of every run; one aggregate a round serves all runs that still move.
+
+    A run ends when its centres move by a squared distance of ``still`` or less in total.
+    """
+    results: list = [None] * len(centres)
+    active = list(range(len(centres)))
+    for _ in range(rounds):
+        now = {r: centres[r] for r in active}
+
+        def partial(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            sums = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in now.items()}
+            for frame in frames:
+                if not len(frame):
+                    continue
+                x = np.stack(frame["__v"].to_numpy())
+                for r, c in now.items():
+                    distance = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+                    near = distance.argmin(axis=1)
+                    part = np.column_stack([x, np.ones(len(x)), distance[np.arange(len(x)), near]])
+                    np.add.at(sums[r], near, part)
+            for r, total in sums.items():
+                places = [*range(total.shape[1] - 2), _COUNT, _COST]
+                yield pd.DataFrame({
+                    "run": r, "cluster": np.repeat(np.arange(len(total)), len(places)),
+                    "place": np.tile(places, len(total)), "value": total.ravel(),
+                })
+
+        found = (
+            features.mapInPandas(partial, "run int, cluster int, place int, value double")
+            .groupBy("run", "cluster", "place").agg(F.sum("value").alias("value")).toPandas()
+        )
+        for r in list(active):
+            table = found[found["run"] == r].pivot(index="cluster", columns="place", values="value")
+            sizes, cost = table[_COUNT].to_numpy(), float(table[_COST].sum())
+            moved = centres[r].copy()
+            held = sizes > 0  # an empty cluster keeps its centre
+            moved[held] = table[list(range(moved.shape[1]))].to_numpy()[held] / sizes[held, None]
+            results[r] = (cost, sizes, centres[r])
+            if ((moved - centres[r]) ** 2).sum() <= still:
+                active.remove(r)
+            centres[r] = moved
+        if not active:
+            break
+    return results
+
 
 def kmeans_labels(
     df: DataFrame, cols: Sequence[str], k: int, inits: int = 10, seed: int = 42, out: str = "cluster",
-    parallel: int = 10,
+    rounds: int = 300, tol: float = 1e-4,
 ) -> DataFrame:
     """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down.
 
-    Up to ``parallel`` runs share the cluster at a time, over one cached input.
+    Starting centres come from points chosen by a hash of their values, so the
+    result does not depend on how the rows are laid out. All runs share each
+    pass over the points. A run ends when its centres move less than ``tol`` of
+    the mean variance, or after ``rounds``.
     """
-    prepared = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(df)
-    features = prepared.select("__v").persist()
-
-    @inheritable_thread_target(df.sparkSession)
-    def fit(i: int):
-        return KMeans(k=k, featuresCol="__v", predictionCol="__c", seed=seed + i).fit(features)
-
+    features = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v")).repartition(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ).persist()
     try:
-        with ThreadPool(min(parallel, inits)) as pool:
-            models = pool.map(fit, range(inits))
+        count = features.count()
+        rate = min(1.0, START_POINTS / max(1, count))
+        drawn = features.where(F.pmod(F.xxhash64("__v", F.lit(seed)), F.lit(1_000_000)) < rate * 1_000_000)
+        points = np.array(sorted({tuple(r[0]) for r in drawn.distinct().limit(4 * START_POINTS).collect()}))
+        if not len(points):
+            return df.withColumn(out, F.lit(None).cast("int"))
+        starts = [_starts(points, k, np.random.default_rng([seed, i])) for i in range(inits)]
+        # a round is short: a few thousand points are not worth a task
+        shared = features.coalesce(max(1, min(features.rdd.getNumPartitions(), count // TASK_POINTS)))
+        runs = _lloyd(shared, starts, rounds, tol * float(points.var(axis=0).mean()))
     finally:
         features.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    sizes, centres = best.summary.clusterSizes, [c.tolist() for c in best.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
-    number = F.create_map(*[F.lit(v) for old, new in zip(order, range(len(order))) for v in (old, new)])
-    return best.transform(prepared).withColumn(out, F.element_at(number, F.col("__c"))).drop("__v", "__c")
+    _, sizes, centres = min(runs, key=lambda run: float(f"{run[0]:.9e}"))
+    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i].tolist()))
+
+    def distance(centre: np.ndarray) -> F.Column:
+        return reduce(add, [F.pow(F.col(c).cast("double") - F.lit(float(v)), 2) for c, v in zip(cols, centre)])
+
+    nearest = F.array_min(F.array(*[
+        F.struct(distance(centres[i]).alias("d"), F.lit(number).alias("n")) for number, i in enumerate(order)
+    ]))
+    return df.withColumn(out, nearest["n"])
 
 
 def tandem_clusters(

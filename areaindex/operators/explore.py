@@ -105,10 +105,13 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 
 def history_pivot(
-    df: DataFrame, entity: str, year: str, value: str, years: Sequence[int], agg: str = "mean",
+    df: DataFrame, entity: str, year: str, value: str, years: Sequence[int] | None = None, agg: str = "mean",
     digits: int | None = None, default: str | None = None,
 ) -> DataFrame:
-    """One row per entity, one column per year (named after it)."""
+    """One row per entity, one column per year (named after it); all years present unless some are named."""
+    if years is None:
+        years = [r[0] for r in df.select(year).where(F.col(year).isNotNull()).distinct().orderBy(year).collect()]
+
     def cell(y: int) -> Column:
         hit = F.when(F.col(year) == y, F.col(value))
         found = F.avg(hit) if agg == "mean" else F.min(hit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,10 +187,10 @@ def readings(spark: SparkSession, path: str, pollutants: Sequence[str] = ("no2",
     """id, pollutant, year, x, y, value; negative values mean there is no reading.
 
     The value column is named after pollutant and year, so each file has its
-    own; the first five digits of a name after the pollutant hold the year.
+    own, of any year.
     """
-    years = range(2018, 2025)
-    headers = {"x": ["x"], "y": ["y"], "value": [f"{p}{y}_band_1" for p in pollutants for y in years]}
+    value = re.compile(rf"(?:{'|'.join(pollutants)})\d{{4}}_band_1")
+    headers = {"x": ["x"], "y": ["y"], "value": [value]}
     raw = T.key_from_filename(T.read_csv_drifting(spark, path, headers, ["x", "y", "value"]), YEAR_IN_NAME, "year")
     clean = raw.select(
         F.regexp_extract(T.SOURCE_FILE, f"({'|'.join(pollutants)})", 1).alias("pollutant"), "year",

@@ -8,7 +8,7 @@ from areaindex.functions import clean
 from areaindex.operators import explore, panel, series
 from areaindex.queries.base import AREAS_SQL, METRICS_SQL, area_metrics, areas, population, query, rounded, table
 from areaindex.session import ensure_checkpoint_dir
-from areaindex.streaming.counts import monthly_counts_stream, write_counts
+from areaindex.streaming.counts import monthly_counts_stream, read_open_counts, write_counts, write_open_counts
 
 PRIORITIES = {
     "1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low",
@@ -255,14 +255,14 @@ def resample_year(spark, sf):
 low AS (SELECT area_code, period, area_n FROM a JOIN customer ON c_custkey = area_code
         WHERE c_nationkey = (SELECT min(c_nationkey) FROM customer)),
 mine AS (SELECT period, sum(area_n) AS area_n FROM low GROUP BY 1),
-whole AS (SELECT period, sum(area_n) AS region_n FROM a WHERE period >= '1995-06' GROUP BY 1)
+whole AS (SELECT period, sum(area_n) AS region_n FROM a GROUP BY 1)
 SELECT period, CAST(area_n AS BIGINT) AS area_n, CAST(region_n AS BIGINT) AS region_n
 FROM mine FULL OUTER JOIN whole USING (period)""")
 def series_vs_region(spark, sf):
     feed = _mid_feed(spark, sf).withColumn("period", clean.period_text("o_orderdate"))
     first = table(spark, sf, "customer").agg(F.min("c_nationkey")).scalar()
     mine = feed.where(F.col("mid_code") == first).groupBy("period").agg(F.count(F.lit(1)).alias("area_n"))
-    whole = feed.where(F.col("period") >= "1995-06").groupBy("period").agg(F.count(F.lit(1)).alias("region_n"))
+    whole = feed.groupBy("period").agg(F.count(F.lit(1)).alias("region_n"))
     return series.align(mine, whole, ["period"])
 
 
@@ -306,8 +306,7 @@ SELECT o_custkey AS area_code, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*
 WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY 1, 2""")
 def latest_year_feed(spark, sf):
     feed = _feed(spark, sf)
-    latest = series.year_options(feed, "o_orderdate").first()["year"]
-    kept = series.in_year(feed, "o_orderdate", latest)
+    kept = series.in_year(feed, "o_orderdate", feed.agg(F.max(F.year("o_orderdate"))).scalar())
     return kept.groupBy("area_code", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -442,25 +441,49 @@ def new_entities_antijoin(spark, sf):
     )
 
 
-_YEARS = list(range(1995, 2002))
+def _long_history(wide, entity, value):
+    years = [c for c in wide.columns if c != entity]
+    return wide.unpivot([entity], years, "year", value).withColumn("year", F.col("year").cast("int"))
 
 
-@query("entity_history_pivot", "SELECT p_brand, " + ", ".join(
-    f"CAST(round_even(avg(CASE WHEN year(l_shipdate) = {y} THEN l_quantity END), 1) AS DOUBLE) AS \"{y}\"" for y in _YEARS
-) + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+@query("entity_history_pivot", """WITH m AS (
+  SELECT p_brand, year(l_shipdate) AS year, CAST(round_even(avg(l_quantity), 1) AS DOUBLE) AS quantity
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT p_brand, year, quantity FROM (SELECT DISTINCT p_brand FROM m) CROSS JOIN (SELECT DISTINCT year FROM m)
+LEFT JOIN m USING (p_brand, year)""")
 def entity_history_pivot(spark, sf):
     items = table(spark, sf, "lineitem").select("l_partkey", F.year("l_shipdate").alias("year"), "l_quantity")
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
     joined = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return explore.history_pivot(joined, "p_brand", "year", "l_quantity", _YEARS, digits=1)
+    return _long_history(explore.history_pivot(joined, "p_brand", "year", "l_quantity", digits=1), "p_brand", "quantity")
 
 
-@query("entity_history_labels", "SELECT l_suppkey, " + ", ".join(
-    f"coalesce(min(CASE WHEN year(l_shipdate) = {y} THEN l_returnflag END), 'N/A') AS \"{y}\"" for y in _YEARS
-) + " FROM lineitem GROUP BY 1")
+@query("entity_history_labels", """WITH m AS (
+  SELECT l_suppkey, year(l_shipdate) AS year, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, year, coalesce(flag, 'N/A') AS flag
+FROM (SELECT DISTINCT l_suppkey FROM m) CROSS JOIN (SELECT DISTINCT year FROM m) LEFT JOIN m USING (l_suppkey, year)""")
 def entity_history_labels(spark, sf):
     items = table(spark, sf, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_returnflag")
-    return explore.history_pivot(items, "l_suppkey", "year", "l_returnflag", _YEARS, agg="first", default="N/A")
+    wide = explore.history_pivot(items, "l_suppkey", "year", "l_returnflag", agg="first", default="N/A")
+    return _long_history(wide, "l_suppkey", "flag")
+
+
+def _replayed(spark, sf, mode):
+    """Run the stream to its end and read back what it wrote."""
+    import uuid
+
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    # a stream wants a folder or a pattern; this one fits just the table, be it a file or a folder
+    feed = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    counts = monthly_counts_stream(feed, "user_id", "ts", "event_type", "2 days", unit="day")
+    write = write_counts if mode == "append" else write_open_counts
+    write(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = (
+        spark.read.schema(counts.schema).parquet(f"{folder}/out") if mode == "append"
+        else read_open_counts(spark, f"{folder}/out", ["user_id", "period", "event_type"])
+    )
+    return found.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
 @query("monthly_counts_stream", """WITH d AS (
@@ -468,18 +491,16 @@ def entity_history_labels(spark, sf):
 SELECT user_id, strftime(period, '%Y-%m-%d') AS period, event_type, n FROM d
 WHERE period <= (SELECT max(period) FROM d) - INTERVAL 2 DAY""")
 def stream_counts(spark, sf):
-    """Runs the stream to its end and reads back what it wrote: the closed periods."""
-    import uuid
+    """Closed periods, each written once."""
+    return _replayed(spark, sf, "append")
 
-    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    path = f"{sf}/events.parquet"
-    # As a pattern the path may name a file or a folder of files.
-    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    counts = monthly_counts_stream(feed, "user_id", "ts", "event_type", "2 days", unit="day")
-    write_counts(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{folder}/out").withColumn(
-        "period", F.date_format("period", "yyyy-MM-dd")
-    )
+
+@query("monthly_counts_stream_open", """
+SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, event_type, count(*) AS n
+FROM events GROUP BY 1, 2, 3""")
+def stream_open_counts(spark, sf):
+    """All periods, those still open with what has arrived so far."""
+    return _replayed(spark, sf, "update")
 
 
 @query("sample_area_audit")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,8 +14,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, as the cluster names it.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would be lost with the machine.
+    A session that names none uses a folder of its warehouse, which executors
+    share as well; a machine-local folder would be lost with the machine.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -24,9 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="areaindex-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     context.setCheckpointDir(configured)
     return configured
 

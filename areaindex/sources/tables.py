@@ -20,12 +20,21 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
+def _fitting(candidate: str | re.Pattern, folded: Mapping[str, str]) -> list[str]:
+    if isinstance(candidate, str):
+        return [name for name in [candidate.strip().lower()] if name in folded]
+    return sorted(name for name in folded if candidate.fullmatch(name))
+
+
 def resolve_names(columns: Sequence[str], candidates: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """Which real column stands for each logical one; case and outer blanks do not matter."""
+    """Which real column stands for each logical one; case and outer blanks do not matter.
+
+    A candidate is a name or a compiled pattern for the whole folded name.
+    """
     folded = {c.strip().lower(): c for c in reversed(columns)}
     found = {}
     for logical, names in candidates.items():
-        hit = next((folded[n.strip().lower()] for n in names if n.strip().lower() in folded), None)
+        hit = next((folded[f] for n in names for f in _fitting(n, folded)), None)
         if hit is not None:
             found[logical] = hit
     return found

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,3 +32,22 @@ def write_counts(counts: DataFrame, path: str, checkpoint: str, mode: str = "app
         counts.writeStream.format("parquet").outputMode(mode).option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def write_open_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write every change of a count, so that open periods show too; read with ``read_open_counts``.
+
+    A batch that is repeated after a failure overwrites its own folder.
+    """
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return (
+        counts.writeStream.foreachBatch(store).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def read_open_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The latest count of each key that ``write_open_counts`` has stored."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))

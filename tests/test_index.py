@@ -218,3 +218,18 @@ def test_cluster_descriptions(spark):
     df = spark.createDataFrame(rows, "cluster int, a double, b double, c double")
     got = {r["cluster"]: r["description"] for r in cluster.cluster_profiles(df, {"A": ["a"], "B": ["b"], "C": ["c"]}).collect()}
     assert got == {0: "Challenges: A, C", 1: "Strengths: A, C", 2: "Profile: Average/Mixed performance."}
+
+
+def test_kmeans_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((600, 2)))]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    labels = [
+        {r["id"]: r["cluster"] for r in cluster.kmeans_labels(df.repartition(n), ["x", "y"], 4, inits=3).collect()} for n in (1, 8)
+    ]
+    assert labels[0] == labels[1] and set(labels[0].values()) == {0, 1, 2, 3}
+    sizes = [list(labels[0].values()).count(c) for c in range(4)]
+    assert sizes == sorted(sizes, reverse=True)
+    assert cluster.kmeans_labels(df.limit(0), ["x", "y"], 4).count() == 0
+    same = spark.createDataFrame([(1, 2.0, 3.0)] * 5, "id int, x double, y double")
+    assert {r["cluster"] for r in cluster.kmeans_labels(same, ["x", "y"], 3).collect()} == {0}

@@ -1,7 +1,7 @@
 """A replayed feed must give what one batch gives, and survive a restart."""
 
 from areaindex.operators.series import monthly_counts
-from areaindex.streaming.counts import monthly_counts_stream, write_counts
+from areaindex.streaming.counts import monthly_counts_stream, read_open_counts, write_counts, write_open_counts
 
 
 def feed(spark, months, start):
@@ -26,3 +26,15 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r["area"], str(r["period"])[:7], k): r[k] for r in batch for k in ("x", "y") if r[k]}
     closed = {k: v for k, v in want.items() if k[1] <= "2021-05"}
     assert got == closed
+
+
+def test_open_periods_show_what_has_arrived(spark, tmp_path):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    schema = feed(spark, [1], 0).schema
+    for months in ([1, 2], [3, 2], [4]):
+        feed(spark, months, 0).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        write_open_counts(monthly_counts_stream(stream, "area", "ts", "kind", "400 days"), out, state).awaitTermination()
+    got = {(r["area"], str(r["period"])[:7], r["kind"]): r["n"] for r in read_open_counts(spark, out, ["area", "period", "kind"]).collect()}
+    batch = monthly_counts(spark.read.parquet(source), "area", "ts", "kind", ["x", "y"]).collect()
+    assert got == {(r["area"], str(r["period"])[:7], k): r[k] for r in batch for k in ("x", "y") if r[k]}
