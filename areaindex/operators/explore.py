@@ -123,6 +123,7 @@ def history_pivot(
 
 
 def sample_audit(df: DataFrame, key: str, k: int = 5, seed: int = 0, order: Sequence[str] = ()) -> DataFrame:
-    """All rows of ``k`` areas drawn by a hash of their key, sorted."""
-    drawn = df.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    """All rows of ``k`` areas drawn by the MD5 of their key and the seed, sorted."""
+    draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    drawn = df.select(key).distinct().orderBy(draw, key).limit(k)
     return df.join(drawn, key, "left_semi").orderBy(key, *order)

@@ -266,6 +266,8 @@ def impute_chained(
         for sweep in range(sweeps):
             for target in visits:
                 rows = state.groupBy("imputation_run").agg(*sums[target]).collect()
+                while len(cached) > 1:  # the pass above has filled the latest; those before are not read again
+                    cached.pop(0).unpersist()
                 part = {r["imputation_run"]: _matrix(r, "p", size) for r in rows}
                 models = [_ridge(fixed + part.get(r, 0.0), cols.index(target) + 1) for r in range(runs)]
                 mean, sd = _posterior(cols, centre, target, models)

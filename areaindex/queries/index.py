@@ -128,6 +128,76 @@ def weight_report(spark, sf):
     return weights.weight_report(weights.indicator_weights(_rotated(spark, sf)))
 
 
+_PAIRS = [(a, b) for i, a in enumerate(SCORES) for b in SCORES[i + 1:]]
+
+
+@query("pca_invariants", f"""WITH {SCORES_SQL},
+whole AS (SELECT * FROM scores WHERE {" AND ".join(f"{c} IS NOT NULL" for c in SCORES)}),
+c AS (SELECT count(*) / (count(*) - 1.0::DOUBLE) AS f, {" + ".join(f"corr({a}, {b}) ** 2" for a, b in _PAIRS)} AS s FROM whole)
+SELECT {len(SCORES)} AS components, round({len(SCORES)} * f, 6) AS trace, round(({len(SCORES)} + 2 * s) * f * f, 6) AS squares FROM c""")
+def pca_invariants(spark, sf):
+    """The sum of the eigenvalues and of their squares, which correlations give too."""
+    found = pca_eigenvalues(spark, sf).agg(
+        F.count("*").alias("components"), F.sum("eigenvalue").alias("trace"), F.sum(F.col("eigenvalue") ** 2).alias("squares")
+    )
+    return rounded(found, "trace", "squares")
+
+
+_AXES = ("balance", "order_count", "mean_quantity")
+
+
+def _correlation_loadings(spark, sf):
+    """Loadings that SQL can make as well: correlations of the indicators with three of them."""
+    cells = area_metrics(spark, sf).agg(F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(m).alias("indicator"), F.lit(j + 1).alias("component"),
+                 F.round(F.corr(m, a), 6).alias("loading"))
+        for i, m in enumerate(METRICS) for j, a in enumerate(_AXES)
+    ]).alias("cells"))
+    return cells.select(F.inline("cells"))
+
+
+_LOADINGS_SQL = f"""{METRICS_SQL},
+loadings AS ({" UNION ALL ".join(
+    f"SELECT {i} AS ord, '{m}' AS indicator, {j + 1} AS component, round(corr({m}, {a}), 6) AS loading FROM metrics"
+    for i, m in enumerate(METRICS) for j, a in enumerate(_AXES))}),
+components AS (SELECT component, sum(loading ** 2) AS variance FROM loadings GROUP BY 1),
+strongest AS (
+  SELECT * FROM loadings QUALIFY row_number() OVER (PARTITION BY ord ORDER BY abs(loading) DESC, component) = 1),
+weights AS (
+  SELECT component, ord, indicator, loading, loading ** 2 / sum(loading ** 2) OVER (PARTITION BY component) AS weight,
+         variance / (SELECT sum(variance) FROM components) AS component_weight
+  FROM strongest JOIN components USING (component))"""
+
+
+@query("weights_of_correlations", f"""WITH {_LOADINGS_SQL}
+SELECT component, ord, indicator, loading, round(weight, 6) AS weight, round(component_weight, 6) AS component_weight,
+       round(weight * component_weight, 6) AS global_weight FROM weights""")
+def weights_of_correlations(spark, sf):
+    found = weights.indicator_weights(_correlation_loadings(spark, sf))
+    return rounded(
+        found.select("component", "ord", "indicator", "loading", "weight", "component_weight", "global_weight"),
+        "weight", "component_weight", "global_weight",
+    )
+
+
+@query("report_of_correlations", f"""WITH {_LOADINGS_SQL}
+SELECT l.indicator, s.component AS assigned, {", ".join(
+    f"max(CASE WHEN l.component = {j} THEN l.loading END) AS RC{j}" for j in (1, 2, 3))}
+FROM loadings l JOIN strongest s ON l.ord = s.ord GROUP BY 1, 2""")
+def report_of_correlations(spark, sf):
+    return weights.loading_report(_correlation_loadings(spark, sf), 3)
+
+
+@query("weight_report_of_correlations", f"""WITH {_LOADINGS_SQL},
+r AS (SELECT component, round(component_weight, 6) AS component_weight, count(*) AS indicators FROM weights GROUP BY 1, 2, weights.component_weight)
+SELECT component, component_weight, indicators, true AS whole FROM r
+UNION ALL SELECT NULL, round(sum(cw), 6), sum(n)::BIGINT, abs(sum(cw) - 1) < 1e-9
+FROM (SELECT component, max(component_weight) AS cw, count(*) AS n FROM weights GROUP BY 1)""")
+def weight_report_of_correlations(spark, sf):
+    report = weights.weight_report(weights.indicator_weights(_correlation_loadings(spark, sf)))
+    return rounded(report.select("component", "component_weight", "indicators", F.col("sums_to_one").alias("whole")), "component_weight")
+
+
 @query("composite_from_data")
 def composite_from_data(spark, sf):
     scores = area_scores(spark, sf)
@@ -254,6 +324,30 @@ def impute_chained(spark, sf):
     )
 
 
+_FILLED = ("order_count", "mean_quantity", "mean_item_price")
+_MASKS = {"order_count": "area_code % 7 <> 0", "mean_quantity": "area_code % 5 <> 1", "mean_item_price": "area_code % 11 <> 2"}
+
+
+@query("impute_invariants", f"""WITH {METRICS_SQL},
+g AS (SELECT area_code, {", ".join(f"CASE WHEN {m} THEN {c} END AS {c}" for c, m in _MASKS.items())} FROM metrics),
+one AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS indicator, count(*) - count({c}) AS filled, round(sum({c}), 2) AS observed FROM g" for c in _FILLED)})
+SELECT run AS imputation_run, indicator, filled, observed, 0 AS missing, 0 AS outside FROM one, range(5) r(run)""")
+def impute_invariants(spark, sf):
+    """Per run and indicator: values filled, sum of those observed, values missing or out of bounds after all."""
+    gaps = _gappy(spark, sf).select("area_code", *[F.col(c).isNotNull().alias(f"had_{c}") for c in _FILLED])
+    done = impute_chained(spark, sf).join(gaps, "area_code")
+    floor = {"order_count": 0.0, "mean_quantity": 1.0, "mean_item_price": 0.0}
+    cells = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("indicator"), F.col(c).alias("value"), F.col(f"had_{c}").alias("had"), F.lit(floor[c]).alias("low"))
+        for c in _FILLED
+    ]))
+    return done.select("imputation_run", cells).groupBy("imputation_run", "indicator").agg(
+        F.count_if(~F.col("had")).alias("filled"), F.round(F.sum(F.when(F.col("had"), F.col("value"))), 2).alias("observed"),
+        F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value") < F.col("low")).alias("outside"),
+    )
+
+
 @query("imputed_mean_over_runs")
 def imputed_mean_over_runs(spark, sf):
     return impute.mean_over_runs(impute_chained(spark, sf), ["area_code", "year"], whole=["order_count"])
@@ -315,3 +409,17 @@ def cluster_radar(spark, sf):
 def vector_clusters(spark, sf):
     found = cluster.kmeans_labels(_vectors(spark, sf).drop("cluster"), [f"e{i}" for i in range(64)], k=6)
     return found.select("vec_id", "cluster")
+
+
+_GROUP_SQL = "CASE WHEN c_custkey % 10 < 4 THEN 0 WHEN c_custkey % 10 < 7 THEN 1 WHEN c_custkey % 10 < 9 THEN 2 ELSE 3 END"
+
+
+@query("separated_clusters", f"SELECT c_custkey AS area_code, {_GROUP_SQL} AS cluster FROM customer")
+def separated_clusters(spark, sf):
+    """Four far-off groups of areas, so that the labels follow from the keys."""
+    group, key = F.expr(_GROUP_SQL), F.col("c_custkey")
+    points = table(spark, sf, "customer").select(
+        key.alias("area_code"), (group * 100 + (key * 7919 % 10007) / 10007).alias("x"),
+        (group % 2 * 100 + (key * 104729 % 10009) / 10009).alias("y"),
+    )
+    return cluster.kmeans_labels(points, ["x", "y"], 4).select("area_code", "cluster")

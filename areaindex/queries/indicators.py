@@ -503,7 +503,11 @@ def stream_open_counts(spark, sf):
     return _replayed(spark, sf, "update")
 
 
-@query("sample_area_audit")
+@query("sample_area_audit", """WITH drawn AS (
+  SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5(o_custkey || ':0'), o_custkey LIMIT 5)
+SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice
+FROM orders WHERE o_custkey IN (SELECT o_custkey FROM drawn)""")
 def sample_area_audit(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return explore.sample_audit(orders, "o_custkey", 5, 0, ["o_orderdate", "o_orderkey"])
+    drawn = explore.sample_audit(orders, "o_custkey", 5, 0, ["o_orderdate", "o_orderkey"])
+    return drawn.select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice")
