@@ -26,6 +26,11 @@ def alternative_scores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     })
 
 
+def join_baseline(scores: DataFrame, baseline: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Scores of the areas that a published baseline has too."""
+    return scores.join(baseline, list(key))
+
+
 def rank_shift(df: DataFrame, base: str, others: Sequence[str]) -> DataFrame:
     """Pearson r, Spearman rho and mean rank shift of each score against ``base``."""
     ranked = average_ranks(df.select(base, *others), [base, *others], "__rank_")

@@ -66,12 +66,13 @@ class PcaResult:
     def eigenvalue_table(self, spark: SparkSession) -> DataFrame:
         ratio = self.eigenvalues / self.eigenvalues.sum()
         total = np.cumsum(ratio)
+        enough = int(np.argmax(total >= 0.8))
         rows = [
-            (i + 1, float(self.eigenvalues[i]), float(ratio[i]), float(total[i]), bool(self.eigenvalues[i] > 1))
+            (i + 1, float(self.eigenvalues[i]), float(ratio[i]), float(total[i]), bool(self.eigenvalues[i] > 1), i == enough)
             for i in range(len(self.cols))
         ]
         return spark.createDataFrame(
-            rows, "component int, eigenvalue double, ratio double, cumulative double, kaiser boolean"
+            rows, "component int, eigenvalue double, ratio double, cumulative double, kaiser boolean, reaches_80 boolean"
         )
 
     def scores(self, df: DataFrame, k: int, prefix: str = "PC") -> DataFrame:

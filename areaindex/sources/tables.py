@@ -40,6 +40,18 @@ def resolve_names(columns: Sequence[str], candidates: Mapping[str, Sequence[str]
     return found
 
 
+def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Raise one error that names every input that is not there."""
+    conf = spark._jsc.hadoopConfiguration()
+    absent = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(conf).exists(place):
+            absent.append(path)
+    if absent:
+        raise FileNotFoundError(f"missing inputs: {', '.join(absent)}")
+
+
 def resolve_columns(df: DataFrame, candidates: Mapping[str, Sequence[str]]) -> DataFrame:
     """Select the logical columns that exist, under their logical names."""
     found = resolve_names(df.columns, candidates)

@@ -161,3 +161,10 @@ def test_resolve_columns(spark):
     df = spark.createDataFrame([(1, 2)], [" URN ", "PtRWM_exp"])
     got = tables.resolve_columns(df, {"urn": ["urn"], "pass": ["nope", "ptrwm_exp"], "gone": ["gone"]})
     assert got.columns == ["urn", "pass"] and tuple(got.first()) == (1, 2)
+
+
+def test_missing_inputs_are_named_together(spark, tmp_path):
+    (tmp_path / "there").mkdir()
+    tables.require_files(spark, [str(tmp_path / "there")])
+    with pytest.raises(FileNotFoundError, match="missing inputs: .*one.*two"):
+        tables.require_files(spark, [str(tmp_path / "one"), str(tmp_path / "there"), str(tmp_path / "two")])
