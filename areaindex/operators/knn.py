@@ -13,10 +13,12 @@ from areaindex.session import checkpointed, join_measured
 
 _DEEPEST = 24
 _CELL_POINTS = 16
+#: Cells along a side of the extent that a far-off place may look at.
+_LONG_SIDE = 128
 
 
-def _grid_levels(points: DataFrame, part: list[str], k: int) -> tuple[list[int], int]:
-    """Levels of the grid and number of points.
+def _grid_levels(points: DataFrame, part: list[str], k: int) -> tuple[list[int], int, tuple]:
+    """Levels of the grid, number of points and their extent (x0, y0, x1, y1).
 
     Cell sizes run from "few points in any cell" up to "everything in one cell".
 
@@ -26,35 +28,33 @@ def _grid_levels(points: DataFrame, part: list[str], k: int) -> tuple[list[int],
     up; the sizes only steer the work, never the result.
     """
     row = points.agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
     ).first()
     if row["x0"] is None:
-        return [0], 0
+        return [0], 0, (0.0, 0.0, 0.0, 0.0)
     extent = max(row["x1"] - row["x0"], row["y1"] - row["y0"], 2.0 ** -10)
     top = math.ceil(math.log2(extent)) + 1
     bottom = top - _DEEPEST
     deepest = points.select(
-        *part, cell_index(F.col("x"), F.lit(bottom)).alias("cx"), cell_index(F.col("y"), F.lit(bottom)).alias("cy")
-    ).groupBy(*part, "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    steps = F.explode(F.sequence(F.lit(1), F.lit(_DEEPEST))).alias("step")
-    rolled = deepest.select(*part, "cx", "cy", "n", steps)
+        *part, cell_index(F.col("x"), F.lit(bottom)).alias("__cx"), cell_index(F.col("y"), F.lit(bottom)).alias("__cy")
+    ).groupBy(*part, "__cx", "__cy").agg(F.count(F.lit(1)).alias("__n"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(_DEEPEST))).alias("__step")
+    rolled = deepest.select(*part, "__cx", "__cy", "__n", steps)
 
     def coarser(c: str):
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("step"))).alias(c)
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__step"))).alias(c)
 
-    rolled = rolled.select(*part, "step", coarser("cx"), coarser("cy"), "n")
+    rolled = rolled.select(*part, "__step", coarser("__cx"), coarser("__cy"), "__n")
     fullest = (
-        rolled.groupBy(*part, "step", "cx", "cy").agg(F.sum("n").alias("n"))
-        .groupBy("step").agg(F.max("n").alias("n"), F.sum("n").alias("total")).collect()
+        rolled.groupBy(*part, "__step", "__cx", "__cy").agg(F.sum("__n").alias("__n"))
+        .groupBy("__step").agg(F.max("__n").alias("n"), F.sum("__n").alias("total")).collect()
     )
-    enough = [r["step"] for r in fullest if r["n"] <= max(_CELL_POINTS, 4 * k)]
-    return list(range(bottom + max(enough, default=1), top + 1)), fullest[0]["total"]
+    enough = [r["__step"] for r in fullest if r["n"] <= max(_CELL_POINTS, 4 * k)]
+    return list(range(bottom + max(enough, default=1), top + 1)), fullest[0]["total"], tuple(row)
 
 
-def _blocks(levels: list[int]) -> Column:
+def _blocks(levels: list[int], x: Column, y: Column) -> Column:
     """The cells within half a cell side of a place at each level, and the root cell."""
-    x, y = F.col("qx"), F.col("qy")
-
     def block(level: Column) -> Column:
         half = F.pow(F.lit(2.0), level) / 2
         return cells_covered(x - half, y - half, x + half, y + half, level)
@@ -64,29 +64,52 @@ def _blocks(levels: list[int]) -> Column:
 
 
 def _root(levels: list[int]) -> Column:
-    """One pseudo-cell that holds every point."""
+    """One pseudo-cell that stands for the whole plane."""
     zero = F.lit(0).cast("long")
     return F.array(F.struct(F.lit(levels[-1]).alias("cell_level"), zero.alias("cell_x"), zero.alias("cell_y")))
 
 
-def knn_join(
-    queries: DataFrame, points: DataFrame, k: int = 3, by: str | None = None, scale: float = 1000.0,
-    query_id: str = "area_code", point_id: str = "id",
-) -> DataFrame:
-    """The ``k`` nearest points of every query, by Euclidean distance / ``scale``.
+def _some_points(k: int) -> Column:
+    """Up to ``k`` points of a group: the first of each of k classes by hash, so that groups are reduced before a shuffle."""
+    kind = F.pmod(F.xxhash64("__pid", "x", "y"), F.lit(k))
+    firsts = [F.min(F.when(kind == i, F.struct("__pid", "x", "y"))) for i in range(k)]
+    return F.filter(F.array(*firsts), lambda p: p.isNotNull())
 
-    Both frames have x, y; with ``by`` (a column of ``points``, such as the
-    year) the search is made once per value of it. Equal distances are ordered
-    by point id. Fewer than ``k`` points give fewer rows.
 
-    Two joins on cells. The first looks at the block of up to 2 x 2 cells around
-    each query place, at every cell size, through k sample points per cell: the
-    k-th nearest sample bounds the search, within a constant factor of the true
-    distance. The second reads the cells within that bound. Points sharing a place are
-    cut to the k lowest ids first, which cannot change a result because all of
-    them are equally far from everything; queries sharing a place are searched
-    once.
-    """
+def _outermost_points(k: int) -> Column:
+    """Points far out in eight directions, up to ``k`` each: what places outside the extent are near to."""
+    kind, x, y = F.pmod(F.xxhash64("__pid", "x", "y"), F.lit(k)), F.col("x"), F.col("y")
+    ways = (x, -x, y, -y, x + y, -x - y, x - y, y - x)
+    firsts = [F.min(F.when(kind == i, F.struct(way.alias("way"), "__pid", "x", "y"))) for way in ways for i in range(k)]
+    found = F.filter(F.array(*firsts), lambda p: p.isNotNull())
+    return F.transform(found, lambda p: F.struct(p["__pid"].alias("__pid"), p["x"].alias("x"), p["y"].alias("y")))
+
+
+def _cells_in_reach(extent: tuple, level: Column) -> Column:
+    """The cells at ``level`` that the disk of a search shares with the extent of the points, column by column."""
+    x0, y0, x1, y1 = (F.lit(v) for v in extent)
+    size = F.pow(F.lit(2.0), level)
+    r, x, y = F.col("reach"), F.col("qx"), F.col("qy")
+    right = F.least(x + r, x1)
+    left = F.least(F.greatest(x - r, x0), right)
+
+    def column(cx: Column) -> Column:
+        across = F.greatest(cx * size - x, x - (cx + 1) * size, F.lit(0.0))
+        along = F.sqrt(F.greatest(r * r - across * across, F.lit(0.0))) * (1 + 1e-9) + 1e-9
+        low, high = F.greatest(y - along, y0), F.least(y + along, y1)
+        rows = F.when(low <= high, F.sequence(cell_index(low, level), cell_index(high, level)))
+        return F.transform(
+            F.coalesce(rows, F.array().cast("array<bigint>")),
+            lambda cy: F.struct(level.alias("cell_level"), cx.alias("cell_x"), cy.alias("cell_y")),
+        )
+
+    return F.flatten(F.transform(F.sequence(cell_index(left, level), cell_index(right, level)), column))
+
+
+def candidate_pairs(
+    queries: DataFrame, points: DataFrame, k: int = 3, by: str | None = None, query_id: str = "area_code", point_id: str = "id",
+) -> tuple[DataFrame, DataFrame]:
+    """(queries by place, pairs of a place and a point that may be among its ``k`` nearest)."""
     part = [by] if by else []
     points = points.select(*part, F.col(point_id).alias("__pid"), F.col("x").cast("double"), F.col("y").cast("double"))
     points = points.na.drop("any", subset=["x", "y"])
@@ -98,46 +121,71 @@ def knn_join(
     points = checkpointed(
         points.withColumn("__r", F.row_number().over(same_place)).where(F.col("__r") <= k).drop("__r")
     )
-    levels, count = _grid_levels(points, part, k)
+    levels, count, (x0, y0, x1, y1) = _grid_levels(points, part, k)
     filed_bytes = count * len(levels) * 100
-    root = levels[-1]
+    root, sized = levels[-1], levels[:-1]
     # A place becomes dozens of rows below, so places go to twice the partitions
     # of a plain shuffle, and a count given here is not coalesced away.
     tasks = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct().repartition(tasks, "qx", "qy")
 
-    # k points of every cell, as an array; the root cell stands for the whole plane.
-    at_root = F.col("cell_level") == root
-    cells = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), levels)).withColumns({
-        c: F.when(at_root, 0).otherwise(F.col(c)) for c in ("cell_x", "cell_y")
-    })
-    in_cell = Window.partitionBy(*part, *CELL).orderBy("__pid", "x", "y")
-    samples = (
-        cells.withColumn("__r", F.row_number().over(in_cell)).where(F.col("__r") <= k)
-        .groupBy(*part, *CELL).agg(F.collect_list(F.struct("x", "y")).alias("sample"))
-    )
-    around = explode_cells(places, _blocks(levels))
+    # some points of every cell, as an array; the root cell stands for the whole plane
+    cells = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), sized) if sized else _root(levels))
+    samples = cells.groupBy(*part, *CELL).agg(_some_points(k).alias("sample"))
+    if sized:
+        everywhere = points.groupBy(*part).agg(F.array_distinct(F.concat(_some_points(k), _outermost_points(k))).alias("sample"))
+        samples = samples.unionByName(explode_cells(everywhere, _root(levels)))
+    # a place outside the points' extent looks for samples from where it is nearest to it
+    inside = [F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)) for c, lo, hi in (("qx", x0, x1), ("qy", y0, y1))]
+    around = explode_cells(places, _blocks(levels, *inside))
 
     # The k-th nearest sample of a block bounds the search, where a block has k;
     # a block has up to four cells. At the root there may be fewer points than
-    # k: then the farthest bounds it.
+    # k: then every point is within the bound.
+    at_root = F.col("cell_level") == root
     gap = F.transform("sample", lambda p: (p["x"] - F.col("qx")) ** 2 + (p["y"] - F.col("qy")) ** 2)
     blocks = join_measured(around, samples, CELL, filed_bytes).groupBy(*part, "qx", "qy", "cell_level").agg(
         F.sort_array(F.flatten(F.collect_list(gap))).alias("gaps")
     )
-    kth = F.coalesce(F.try_element_at("gaps", F.lit(k)), F.when(at_root, F.element_at("gaps", -1)))
+    far_x = F.greatest(F.abs(F.col("qx") - x0), F.abs(F.col("qx") - x1))
+    far_y = F.greatest(F.abs(F.col("qy") - y0), F.abs(F.col("qy") - y1))
+    kth = F.coalesce(F.try_element_at("gaps", F.lit(k)), F.when(at_root, far_x * far_x + far_y * far_y))
     reach = blocks.groupBy(*part, "qx", "qy").agg(F.sqrt(F.min(kth)).alias("reach"))
     # A hair more than the bound itself, so that rounding cannot lose a point.
     reach = reach.withColumn("reach", F.col("reach") * (1 + 1e-9) + 1e-9)
 
-    wanted = F.least(F.greatest(level_for(F.col("reach")), F.lit(levels[0])), F.lit(root))
-    reach = reach.withColumn("__level", wanted)
-    r, x, y = F.col("reach"), F.col("qx"), F.col("qy")
-    boxes = F.when(
-        F.col("__level") < root, cells_covered(x - r, y - r, x + r, y + r, F.col("__level"))
-    ).otherwise(_root(levels))
-    search = explode_cells(reach, boxes).drop("__level")
-    near = join_measured(search, cells, [*part, *CELL], filed_bytes)
+    if sized:
+        # What the search goes into the extent tells the size of its cells.
+        off = F.sqrt(sum((F.col(q) - i) ** 2 for q, i in zip(("qx", "qy"), inside)))
+        side = F.greatest((F.col("reach") - off) / 2, F.lit(max(x1 - x0, y1 - y0) / _LONG_SIDE) * (off > 0).cast("double"))
+        level = F.least(F.greatest(level_for(side), F.lit(sized[0])), F.lit(sized[-1]))
+        search = explode_cells(
+            reach.withColumn("__level", level), _cells_in_reach((x0, y0, x1, y1), F.col("__level"))
+        ).drop("__level")
+    else:
+        search = explode_cells(reach, _root(levels))
+    return queries.withColumnsRenamed({"x": "qx", "y": "qy"}), join_measured(search, cells, [*part, *CELL], filed_bytes)
+
+
+def knn_join(
+    queries: DataFrame, points: DataFrame, k: int = 3, by: str | None = None, scale: float = 1000.0,
+    query_id: str = "area_code", point_id: str = "id",
+) -> DataFrame:
+    """The ``k`` nearest points of every query, by Euclidean distance / ``scale``.
+
+    Both frames have x, y; with ``by`` (a column of ``points``, such as the
+    year) the search is made once per value of it. Equal distances are ordered
+    by point id. Fewer than ``k`` points give fewer rows.
+
+    Two joins on cells. The first looks at the block of up to 2 x 2 cells around
+    each query place, at every cell size, through a few sample points per cell:
+    the k-th nearest sample bounds the search. The second reads the cells within
+    that bound. Points sharing a place are cut to the k lowest ids first, which
+    cannot change a result because all of them are equally far from everything;
+    queries sharing a place are searched once.
+    """
+    part = [by] if by else []
+    placed, near = candidate_pairs(queries, points, k, by, query_id, point_id)
     dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
     near = near.withColumn("__d", F.sqrt(dx * dx + dy * dy)).where(F.col("__d") <= F.col("reach"))
     nearest = Window.partitionBy(*part, "qx", "qy").orderBy("__d", "__pid")
@@ -145,9 +193,7 @@ def knn_join(
     best = best.select(
         *part, "qx", "qy", "rank", F.col("__pid").alias(point_id), (F.col("__d") / F.lit(scale)).alias("distance")
     )
-    return queries.withColumnsRenamed({"x": "qx", "y": "qy"}).join(best, ["qx", "qy"]).select(
-        query_id, *part, "rank", point_id, "distance"
-    )
+    return placed.join(best, ["qx", "qy"]).select(query_id, *part, "rank", point_id, "distance")
 
 
 def distance_weighted(

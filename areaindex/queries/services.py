@@ -65,9 +65,11 @@ def knn_by_year(spark, sf):
     return rounded(found, "distance")
 
 
-def _near_suppliers(spark, sf):
+def _near_suppliers(spark, sf, only=None):
+    asked = _area_points(spark, sf)
+    asked = asked if only is None else asked.join(only, "area_code", "left_semi")
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), *place("s_suppkey"))
-    return knn.knn_join(_area_points(spark, sf), suppliers, 3)
+    return knn.knn_join(asked, suppliers, 3)
 
 
 _RESULTS_SQL = """results AS (
@@ -135,7 +137,9 @@ def _listing(spark, sf, only):
         F.col("p_type").alias("kind"),
     )
     inside = table(spark, sf, "customer").where("c_nationkey = 4").select(F.col("c_custkey").alias("area_code"))
-    near = knn_three_nearest(spark, sf).join(inside, "area_code", "left_semi").select("id").join(parts, "id")
+    asked = _area_points(spark, sf).join(inside, "area_code", "left_semi")
+    places = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), *place("p_partkey"))
+    near = knn.knn_join(asked, places, 3).select("id").join(parts, "id")
     return knn.nearby_entities(near, "name", "id", "price", ["price"], "kind", only, special="PROMO")
 
 
@@ -158,6 +162,6 @@ def nearest_and_new_entities(spark, sf):
     supplier = table(spark, sf, "supplier")
     names = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     inside = table(spark, sf, "customer").where("c_nationkey = 4").select(F.col("c_custkey").alias("area_code"))
-    listed = _near_suppliers(spark, sf).join(inside, "area_code", "left_semi").join(names, "id").select("name")
+    listed = _near_suppliers(spark, sf, inside).join(names, "id").select("name")
     around = supplier.where(F.col("s_nationkey").isin(3, 4, 5)).select(F.col("s_name").alias("name"))
     return listed.unionByName(around).dropDuplicates(["name"]).orderBy("name")

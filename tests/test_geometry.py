@@ -247,3 +247,21 @@ def test_results_do_not_depend_on_the_join_strategy(spark, monkeypatch):
     check_knn(spark, as_rows(rng.integers(0, 30, (120, 2))), as_rows(rng.random((60, 2)) * 40 - 5), 3)
     test_points_in_polygons(spark)
     test_neighbours_and_touching(spark)
+
+
+@pytest.mark.parametrize("shape", ["uniform", "dense town"])
+def test_knn_compares_few_pairs(spark, shape):
+    """Far-off places and a dense cluster do not meet every point."""
+    rng = np.random.default_rng(8)
+    points = rng.random((4000, 2)) * 1000
+    if shape == "dense town":
+        points[:3600] = 500 + rng.random((3600, 2)) * 4
+    near = rng.random((200, 2)) * 1000
+    far = np.concatenate([rng.random((100, 2)) * 1000 + [20_000, 0], rng.random((100, 2)) * 100 - 9_000])
+    for places in (near, far):
+        p, q = as_rows(points), as_rows(places)
+        frame = spark.createDataFrame(p, "id int, x double, y double")
+        asked = spark.createDataFrame(q, "area_code int, x double, y double")
+        pairs = knn.candidate_pairs(asked, frame, 3)[1].count()
+        assert pairs <= 50 * 3 * len(places), (shape, pairs)
+    check_knn(spark, as_rows(points[:1500]), as_rows(np.concatenate([near[:40], far[:20], far[-20:]])), 3)
