@@ -7,7 +7,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,26 +52,24 @@ def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: f
     for _ in range(rounds):
         now = {r: centres[r] for r in active}
 
-        def partial(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+        def partial(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             sums = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in now.items()}
-            for frame in frames:
-                if not len(frame):
-                    continue
-                x = np.stack(frame["__v"].to_numpy())
-                for r, c in now.items():
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for r, c in now.items() if len(x) else ():
                     distance = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
                     near = distance.argmin(axis=1)
                     part = np.column_stack([x, np.ones(len(x)), distance[np.arange(len(x)), near]])
                     np.add.at(sums[r], near, part)
             for r, total in sums.items():
                 places = [*range(total.shape[1] - 2), _COUNT, _COST]
-                yield pd.DataFrame({
-                    "run": r, "cluster": np.repeat(np.arange(len(total)), len(places)),
-                    "place": np.tile(places, len(total)), "value": total.ravel(),
-                })
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(total.size, r, np.int32)), pa.array(np.repeat(np.arange(len(total), dtype=np.int32), len(places))),
+                    pa.array(np.tile(np.array(places, np.int32), len(total))), pa.array(total.ravel()),
+                ], names=["run", "cluster", "place", "value"])
 
         found = (
-            features.mapInPandas(partial, "run int, cluster int, place int, value double")
+            features.mapInArrow(partial, "run int, cluster int, place int, value double")
             .groupBy("run", "cluster", "place").agg(F.sum("value").alias("value")).toPandas()
         )
         for r in list(active):
@@ -96,9 +94,9 @@ def kmeans_labels(
     """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down.
 
     Starting centres come from points chosen by a hash of their values, so the
-    result does not depend on how the rows are laid out. All runs share each
-    pass over the points. A run ends when its centres move less than ``tol`` of
-    the mean variance, or after ``rounds``.
+    result does not depend on how the rows are laid out. Every run is settled on
+    those points; one pass over all rows finds the best, which then moves until
+    its centres move less than ``tol`` of the mean variance, or for ``rounds``.
     """
     features = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v")).repartition(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -113,10 +111,13 @@ def kmeans_labels(
         starts = [_starts(points, k, np.random.default_rng([seed, i])) for i in range(inits)]
         # a round is short: a few thousand points are not worth a task
         shared = features.coalesce(max(1, min(features.rdd.getNumPartitions(), count // TASK_POINTS)))
-        runs = _lloyd(shared, starts, rounds, tol * float(points.var(axis=0).mean()))
+        still = tol * float(points.var(axis=0).mean())
+        # all runs are judged on all points; the best then moves on them until it is still
+        settled = _lloyd(shared, list(starts), 1, still)
+        best = min(range(inits), key=lambda i: float(f"{settled[i][0]:.9e}"))
+        _, sizes, centres = _lloyd(shared, [starts[best]], rounds, still)[0]
     finally:
         features.unpersist()
-    _, sizes, centres = min(runs, key=lambda run: float(f"{run[0]:.9e}"))
     order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i].tolist()))
 
     def distance(centre: np.ndarray) -> F.Column:

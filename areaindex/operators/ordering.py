@@ -1,10 +1,11 @@
 """Exact positions, ranks and quantiles that do not depend on one task holding a group.
 
 Ranks and quantiles work on the number of rows per distinct value, so a value
-that a third of all rows share is one row. The values are cut into slices at
-approximate quantiles, which a scalar subquery finds; each slice of a group is
-numbered on its own and shifted by the sizes of the slices before it. The slice
-is a function of the value, so it is the same wherever it is computed.
+that a third of all rows share is one row. These counts are stored once. The
+values are cut into slices at approximate quantiles, which a scalar subquery
+finds; each slice of a group is numbered on its own and shifted by the sizes of
+the slices before it. The slice is a function of the value, so it is the same
+wherever it is computed.
 
 Positions need an order over several columns. Rows are range partitioned on
 (group, order), numbered slice by slice and shifted the same way. The sliced
@@ -64,10 +65,11 @@ def _value_positions(df: DataFrame, value: str, by: Sequence[str], ascending: bo
     valued = df.where(F.col(value).isNotNull())
     slices = _slices(df)
     levels = [i / slices for i in range(1, slices)]
-    cuts = valued.agg(F.percentile_approx(F.col(value), levels, 1000)).scalar()
+    # stored, because all that follows reads the counts and none of it the rows again
+    stored = checkpointed(valued.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_COUNT)))
+    cuts = stored.agg(F.percentile_approx(F.col(value), levels, 1000)).scalar()
     counts = (
-        valued.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_COUNT))
-        .withColumn("__cuts", cuts)
+        stored.withColumn("__cuts", cuts)
         .withColumn(_SLICE, F.size(F.filter("__cuts", lambda cut: cut < F.col(value)))).drop("__cuts")
     )
     sliced = _with_offsets(counts, by, F.col(_COUNT), ascending)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from areaindex.functions.clean import row_mean
 from areaindex.operators.ordering import average_rank, average_ranks, with_position
+from areaindex.session import checkpointed
 
 
 def alternative_scores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def join_baseline(scores: DataFrame, baseline: DataFrame, key: Sequence[str]) ->
 
 def rank_shift(df: DataFrame, base: str, others: Sequence[str]) -> DataFrame:
     """Pearson r, Spearman rho and mean rank shift of each score against ``base``."""
-    ranked = average_ranks(df.select(base, *others), [base, *others], "__rank_")
+    ranked = average_ranks(checkpointed(df.select(base, *others)), [base, *others], "__rank_")
     base_rank = F.col(f"__rank_{base}")
     stats = ranked.agg(*[
         F.struct(
@@ -68,7 +69,7 @@ def simulated_ranks(
     ]) / reduce(add, moved)
     # Rounding makes equal scores equal whatever the order of the sums.
     scored = scenarios.select(key, "sim_id", F.round(score, 9).alias("score"))
-    return average_rank(scored, "score", ["sim_id"], False, "rank").drop("score")
+    return average_rank(checkpointed(scored), "score", ["sim_id"], False, "rank").drop("score")
 
 
 def weight_uncertainty(
