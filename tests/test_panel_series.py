@@ -132,10 +132,18 @@ def test_column_choice(spark):
 def test_rank_areas_puts_missing_last(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0), ("d", 3.0)], "k string, v double")
     order = lambda **kw: [r["k"] for r in explore.rank_areas(df, "v", 4, "k", **kw).collect()]
-    assert order(top=True) == ["c", "d", "a", "b"]
-    assert order(top=False) == ["a", "c", "d", "b"]
+    assert order(top=True, lower_is_better=False) == ["c", "d", "a", "b"]
+    assert order(top=False, lower_is_better=False) == ["a", "c", "d", "b"]
     assert order(top=True, lower_is_better=True) == ["a", "c", "d", "b"]
-    assert order(within=F.col("v") < 2) == ["a"]
+    assert order(within=F.col("v") < 2, lower_is_better=False) == ["a"]
+
+
+@pytest.mark.parametrize("indicator,best", [("latest_median_house_price", "a"), ("IMD_Decile", "a"), ("population", "b")])
+def test_directions_of_the_catalogue(spark, indicator, best):
+    df = spark.createDataFrame([("a", 1.0), ("b", 9.0)], f"k string, `{indicator}` double")
+    assert explore.rank_areas(df, indicator, 1, "k").first()["k"] == best
+    with pytest.raises(ValueError):
+        explore.rank_areas(df.withColumnRenamed(indicator, "v"), "v", 1, "k")
 
 
 def test_histogram_keeps_every_row(spark):
