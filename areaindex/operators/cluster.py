@@ -14,28 +14,31 @@ from pyspark.sql import functions as F
 from areaindex.functions.clean import row_mean
 from areaindex.operators.weights import pca
 
-#: Points that starting centres are chosen among, at most about this many.
+#: Distinct points that starting centres are chosen among, at most about this many.
 START_POINTS = 2000
 #: Points that a task should have at least in each round.
 TASK_POINTS = 20_000
 _COUNT, _COST = -1, -2
 
 
-def _starts(points: np.ndarray, k: int, rng: np.random.Generator, settle: int = 300) -> np.ndarray:
-    """k-means++ on a few points: each centre is drawn by its squared distance to those before.
+def _starts(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, settle: int = 300) -> np.ndarray:
+    """k-means++ on a few weighted points: each centre is drawn by its squared distance to those before.
 
     The centres are then settled on these points, which leaves few rounds over all.
     """
-    chosen = [points[int(rng.integers(len(points)))]]
+    chosen = [points[int(rng.choice(len(points), p=weights / weights.sum()))]]
     while len(chosen) < k:
-        far = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        far = weights * np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
         if not far.sum():
             break
         chosen.append(points[int(rng.choice(len(points), p=far / far.sum()))])
     centres = np.array(chosen)
     for _ in range(settle):
         near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.array([points[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        moved = np.array([
+            np.average(points[near == c], axis=0, weights=weights[near == c]) if (near == c).any() else centres[c]
+            for c in range(len(centres))
+        ])
         if np.array_equal(moved, centres):
             break
         centres = moved
@@ -45,6 +48,7 @@ def _starts(points: np.ndarray, k: int, rng: np.random.Generator, settle: int =
 def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """(cost, sizes, centres) of every run; one aggregate a round serves all runs that still move.
 
+    ``features`` has distinct points and how many rows each stands for.
     A run ends when its centres move by a squared distance of ``still`` or less in total.
     """
     results: list = [None] * len(centres)
@@ -56,10 +60,11 @@ def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: f
             sums = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in now.items()}
             for batch in batches:
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                n = batch.column(1).to_numpy().astype(float)
                 for r, c in now.items() if len(x) else ():
                     distance = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
                     near = distance.argmin(axis=1)
-                    part = np.column_stack([x, np.ones(len(x)), distance[np.arange(len(x)), near]])
+                    part = np.column_stack([x, np.ones(len(x)), distance[np.arange(len(x)), near]]) * n[:, None]
                     np.add.at(sums[r], near, part)
             for r, total in sums.items():
                 places = [*range(total.shape[1] - 2), _COUNT, _COST]
@@ -93,25 +98,28 @@ def kmeans_labels(
 ) -> DataFrame:
     """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down.
 
-    Starting centres come from points chosen by a hash of their values, so the
-    result does not depend on how the rows are laid out. Every run is settled on
+    Equal rows are one point that weighs as many. Starting centres come from
+    points chosen by a hash of their values, so the result does not depend on
+    how the rows are laid out. Every run is settled on
     those points; one pass over all rows finds the best, which then moves until
     its centres move less than ``tol`` of the mean variance, or for ``rounds``.
     """
-    features = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v")).repartition(
+    vectors = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"))
+    features = vectors.groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).repartition(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ).persist()
     try:
         count = features.count()
         rate = min(1.0, START_POINTS / max(1, count))
         drawn = features.where(F.pmod(F.xxhash64("__v", F.lit(seed)), F.lit(1_000_000)) < rate * 1_000_000)
-        points = np.array(sorted({tuple(r[0]) for r in drawn.distinct().limit(4 * START_POINTS).collect()}))
-        if not len(points):
+        found = sorted((tuple(v), n) for v, n in drawn.limit(4 * START_POINTS).collect())
+        if not found:
             return df.withColumn(out, F.lit(None).cast("int"))
-        starts = [_starts(points, k, np.random.default_rng([seed, i])) for i in range(inits)]
+        points, weights = np.array([v for v, _ in found]), np.array([n for _, n in found], float)
+        starts = [_starts(points, weights, k, np.random.default_rng([seed, i])) for i in range(inits)]
         # a round is short: a few thousand points are not worth a task
         shared = features.coalesce(max(1, min(features.rdd.getNumPartitions(), count // TASK_POINTS)))
-        still = tol * float(points.var(axis=0).mean())
+        still = tol * float(np.average((points - np.average(points, axis=0, weights=weights)) ** 2, axis=0, weights=weights).mean())
         # all runs are judged on all points; the best then moves on them until it is still
         settled = _lloyd(shared, list(starts), 1, still)
         best = min(range(inits), key=lambda i: float(f"{settled[i][0]:.9e}"))

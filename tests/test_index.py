@@ -233,3 +233,10 @@ def test_kmeans_does_not_depend_on_the_layout(spark):
     assert cluster.kmeans_labels(df.limit(0), ["x", "y"], 4).count() == 0
     same = spark.createDataFrame([(1, 2.0, 3.0)] * 5, "id int, x double, y double")
     assert {r["cluster"] for r in cluster.kmeans_labels(same, ["x", "y"], 3).collect()} == {0}
+
+
+def test_kmeans_of_many_rows_over_few_distinct_vectors(spark):
+    """20,000 rows over 20 places: every row has a label, and all of k groups are found."""
+    rows = spark.range(20_000, numPartitions=4).selectExpr("id", "id % 4 * 100D + id % 20 DIV 4 AS x", "id % 4 % 2 * 100D AS y")
+    out = cluster.kmeans_labels(rows, ["x", "y"], 4).groupBy((F.col("id") % 4).alias("g"), "cluster").count().collect()
+    assert {r["count"] for r in out} == {5000} and {r["cluster"] for r in out} == {0, 1, 2, 3} and len(out) == 4
