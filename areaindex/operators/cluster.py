@@ -14,35 +14,62 @@ from pyspark.sql import functions as F
 from areaindex.functions.clean import row_mean
 from areaindex.operators.weights import pca
 
-#: Distinct points that starting centres are chosen among, at most about this many.
-START_POINTS = 2000
 #: Points that a task should have at least in each round.
 TASK_POINTS = 20_000
 _COUNT, _COST = -1, -2
 
 
-def _starts(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, settle: int = 300) -> np.ndarray:
-    """k-means++ on a few weighted points: each centre is drawn by its squared distance to those before.
+def _uniform(h: np.ndarray, *place: int) -> np.ndarray:
+    """Numbers between 0 and 1 that follow from a point's hash and the place of the draw."""
+    with np.errstate(over="ignore"):
+        x = h.astype(np.int64).view(np.uint64)
+        for p in place:
+            x = x + np.uint64(0x9E3779B97F4A7C15) * np.uint64(p + 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
-    The centres are then settled on these points, which leaves few rounds over all.
+
+def _starts(features: DataFrame, k: int, inits: int, seed: int) -> list[np.ndarray]:
+    """k-means++ over all points, one pass a centre for all runs.
+
+    Each centre is drawn by the rows a point stands for times its squared
+    distance to the centres before: every point waits for an exponential time of
+    that rate, and the first is taken. A run has fewer centres only if there are
+    fewer distinct points.
     """
-    chosen = [points[int(rng.choice(len(points), p=weights / weights.sum()))]]
-    while len(chosen) < k:
-        far = weights * np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-        if not far.sum():
-            break
-        chosen.append(points[int(rng.choice(len(points), p=far / far.sum()))])
-    centres = np.array(chosen)
-    for _ in range(settle):
-        near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.array([
-            np.average(points[near == c], axis=0, weights=weights[near == c]) if (near == c).any() else centres[c]
-            for c in range(len(centres))
-        ])
-        if np.array_equal(moved, centres):
+    chosen: list[list[list[float]]] = [[] for _ in range(inits)]
+    for step in range(k):
+        now = {r: np.array(c) for r, c in enumerate(chosen) if len(c) == step}
+
+        def first(batches: Iterator[pa.RecordBatch], now=now, step=step) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[float, list[float]]] = {}
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                n, h = batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy()
+                for r, centres in now.items() if len(x) else ():
+                    weight = n * np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) if step else n
+                    open_ = np.flatnonzero(weight > 0)
+                    if len(open_):
+                        wait = -np.log(_uniform(h[open_], seed, r, step)) / weight[open_]
+                        least = wait.min()
+                        found = min((float(least), x[i].tolist()) for i in open_[wait == least])
+                        best[r] = min(best.get(r, found), found)
+            runs = sorted(best)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(runs, pa.int32()), pa.array([best[r][0] for r in runs], pa.float64()),
+                pa.array([best[r][1] for r in runs], pa.list_(pa.float64())),
+            ], names=["run", "wait", "point"])
+
+        drawn = features.mapInArrow(first, "run int, wait double, point array<double>").groupBy("run").agg(
+            F.min(F.struct("wait", "point")).alias("first")
+        ).collect()
+        for r, found in drawn:
+            chosen[r].append(list(found["point"]))
+        if not drawn:
             break
-        centres = moved
-    return centres
+    return [np.array(c) for c in chosen]
 
 
 def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -98,32 +125,27 @@ def kmeans_labels(
 ) -> DataFrame:
     """Labels of the best of ``inits`` k-means runs, numbered from the largest cluster down.
 
-    Equal rows are one point that weighs as many. Starting centres come from
-    points chosen by a hash of their values, so the result does not depend on
-    how the rows are laid out. Every run is settled on
-    those points; one pass over all rows finds the best, which then moves until
-    its centres move less than ``tol`` of the mean variance, or for ``rounds``.
+    Equal rows are one point that weighs as many. Every run draws its starting
+    centres from all points, by a hash of their values, so the result does not
+    depend on how the rows are laid out; every run moves on all points until its
+    centres move less than ``tol`` of the mean variance, or for ``rounds``. The
+    run of the lowest cost is taken.
     """
+    values = [F.col("__v")[i] for i in range(len(cols))]
     vectors = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"))
-    features = vectors.groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).repartition(
+    features = vectors.groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", F.xxhash64("__v")).repartition(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ).persist()
     try:
         count = features.count()
-        rate = min(1.0, START_POINTS / max(1, count))
-        drawn = features.where(F.pmod(F.xxhash64("__v", F.lit(seed)), F.lit(1_000_000)) < rate * 1_000_000)
-        found = sorted((tuple(v), n) for v, n in drawn.limit(4 * START_POINTS).collect())
-        if not found:
+        if not count:
             return df.withColumn(out, F.lit(None).cast("int"))
-        points, weights = np.array([v for v, _ in found]), np.array([n for _, n in found], float)
-        starts = [_starts(points, weights, k, np.random.default_rng([seed, i])) for i in range(inits)]
         # a round is short: a few thousand points are not worth a task
         shared = features.coalesce(max(1, min(features.rdd.getNumPartitions(), count // TASK_POINTS)))
-        still = tol * float(np.average((points - np.average(points, axis=0, weights=weights)) ** 2, axis=0, weights=weights).mean())
-        # all runs are judged on all points; the best then moves on them until it is still
-        settled = _lloyd(shared, list(starts), 1, still)
-        best = min(range(inits), key=lambda i: float(f"{settled[i][0]:.9e}"))
-        _, sizes, centres = _lloyd(shared, [starts[best]], rounds, still)[0]
+        means = features.agg(*[F.sum(v * F.col("__n")) / F.sum("__n") for v in values]).first()
+        spread = features.agg(*[F.sum(F.pow(v - F.lit(float(m)), 2) * F.col("__n")) / F.sum("__n") for v, m in zip(values, means)]).first()
+        runs = _lloyd(shared, _starts(shared, k, inits, seed), rounds, tol * float(np.mean(spread)))
+        _, sizes, centres = min(runs, key=lambda run: float(f"{run[0]:.9e}"))
     finally:
         features.unpersist()
     order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i].tolist()))

@@ -240,3 +240,22 @@ def test_kmeans_of_many_rows_over_few_distinct_vectors(spark):
     rows = spark.range(20_000, numPartitions=4).selectExpr("id", "id % 4 * 100D + id % 20 DIV 4 AS x", "id % 4 % 2 * 100D AS y")
     out = cluster.kmeans_labels(rows, ["x", "y"], 4).groupBy((F.col("id") % 4).alias("g"), "cluster").count().collect()
     assert {r["count"] for r in out} == {5000} and {r["cluster"] for r in out} == {0, 1, 2, 3} and len(out) == 4
+
+
+def test_kmeans_finds_a_small_far_off_group(spark):
+    """3 of 40,000 rows lie off two wide groups; a centre of their own saves more than a third one in a wide group."""
+    rows = spark.range(40_000, numPartitions=4).selectExpr(
+        "id", "id >= 39997 AS far", "id * 7919 % 40009 / 40009D + IF(id >= 39997, 0, id % 2 * 100) AS x", "id * 104729 % 40013 / 40013D + IF(id >= 39997, 60, 0) AS y"
+    )
+    out = cluster.kmeans_labels(rows, ["x", "y"], 3).groupBy("far", "cluster").count().collect()
+    assert {r["cluster"] for r in out if r["far"]} == {2} and {r["cluster"] for r in out if not r["far"]} == {0, 1}
+
+
+def test_kmeans_starts_are_drawn_by_count_and_squared_distance(spark):
+    places = spark.createDataFrame([([0.0], 1), ([3.0], 6), ([4.0], 3)], "__v array<double>, __n long")
+    starts = cluster._starts(places.withColumn("__h", F.xxhash64("__v")), 4, 4000, 1)
+    assert all(sorted(s.ravel()) == [0.0, 3.0, 4.0] for s in starts)
+    first = [float(s[0, 0]) for s in starts]
+    assert [np.mean([f == v for f in first]) for v in (0.0, 3.0, 4.0)] == pytest.approx([.1, .6, .3], abs=.03)
+    after = [float(s[1, 0]) for s in starts if s[0, 0] == 3.0]  # 1 * 9 against 3 * 1
+    assert np.mean([v == 0.0 for v in after]) == pytest.approx(.75, abs=.03)
