@@ -7,7 +7,8 @@ each is decoded by itself, and the spans of all windows of a text are reconciled
 at once: pieces cut by a window's edge are joined, then the set of spans that do
 not overlap and have the largest total score is taken. A decoded span counts
 only if it holds an anchor (a digit or @) and its kind's check holds; therefore
-windows without an anchor cannot add a span, and are not decoded.
+windows without an anchor cannot add a span, and are decoded only where a span
+of the window beside them is cut, until no span is cut at a window left out.
 
 Defined results: a NULL or empty text has no spans; positions are code points,
 ends exclusive; base spans of different kinds may overlap, spans of the network
@@ -271,16 +272,27 @@ def added_spans(model: BiLstmCrf, texts: list[str], bases: list[list[tuple]], mi
         if wanted:
             classes[n] = character_classes(text)
     spans: list[list[tuple]] = [[] for _ in texts]
-    for at in range(0, len(jobs), _DECODE):
-        part = jobs[at : at + _DECODE]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (n, start) in enumerate(part):
-            piece = classes[n][start : start + WINDOW]
-            x[row, : len(piece)] = piece
-        tags, lead = model.decode(x)
-        for row, (n, start) in enumerate(part):
-            length = min(WINDOW, len(texts[n]) - start)
-            spans[n] += _window_spans(tags[row], lead[row], start, length, start + WINDOW >= len(texts[n]))
+    seen = set(jobs)
+    while jobs:
+        beside: set[tuple[int, int]] = set()
+        for at in range(0, len(jobs), _DECODE):
+            part = jobs[at : at + _DECODE]
+            x = np.zeros((len(part), WINDOW), np.int64)
+            for row, (n, start) in enumerate(part):
+                piece = classes[n][start : start + WINDOW]
+                x[row, : len(piece)] = piece
+            tags, lead = model.decode(x)
+            for row, (n, start) in enumerate(part):
+                length = min(WINDOW, len(texts[n]) - start)
+                found = _window_spans(tags[row], lead[row], start, length, start + WINDOW >= len(texts[n]))
+                spans[n] += found
+                for _, a, b, _, cut in found:
+                    if cut and a == start > 0:
+                        beside.add((n, start - STRIDE))
+                    if cut and b == start + length < len(texts[n]):
+                        beside.add((n, start + STRIDE))
+        jobs = sorted(beside - seen)
+        seen.update(jobs)
     out = []
     for text, base, found in zip(texts, bases, spans):
         kept = []

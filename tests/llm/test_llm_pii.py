@@ -131,3 +131,19 @@ def test_detect_and_redact(spark, make_docs, model):
 
 def test_masks_of_overlapping_spans_become_one():
     assert pii.masked("0123456789", [("ip", 2, 5), ("card", 4, 8), ("phone", 2, 3)]) == "01<IP>89"
+
+
+class Words:
+    """Decodes every run of letters and digits as a secret."""
+
+    def decode(self, x):
+        word = x != character_classes(" ")[0]
+        word &= x > 0
+        begins = word & ~np.pad(word, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(begins, 9, np.where(word, 10, 0)), np.ones(x.shape)
+
+
+@pytest.mark.parametrize("head, tail", [(300, 0), (0, 300), (500, 700)])
+def test_a_long_span_keeps_its_stretches_without_a_digit(head, tail):
+    text = "a b " * 60 + "x" * head + "7" * 3 + "y" * 20 + "z" * tail + " c d" * 60
+    assert pii.added_spans(Words(), [text], [[]]) == [[("secret", 240, 240 + head + 23 + tail)]]
