@@ -237,13 +237,16 @@ def reconcile(spans: list[tuple]) -> list[tuple]:
     """The spans without overlap whose scores add up to most, after joining those cut at window edges."""
     spans = sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))
     joined: list[list] = []
+    last_cut: dict[int, list] = {}  # of each kind, the one that reaches furthest
     for kind, a, b, score, cut in spans:
-        other = next((s for s in reversed(joined[-4:]) if cut and s[4] and s[0] == kind and s[2] >= a), None)
-        if other:
+        other = last_cut.get(kind) if cut else None
+        if other and other[2] >= a:
             share = max(0, other[2] - a) / max(1, b - a)
             other[2], other[3] = max(other[2], b), other[3] + score * (1 - share)
         else:
             joined.append([kind, a, b, score, cut])
+            if cut:
+                last_cut[kind] = joined[-1]
     joined.sort(key=lambda s: (s[2], s[1], s[0]))
     ends, best = [s[2] for s in joined], [(0.0, None, -1)]
     for i, s in enumerate(joined):

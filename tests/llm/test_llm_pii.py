@@ -147,3 +147,9 @@ class Words:
 def test_a_long_span_keeps_its_stretches_without_a_digit(head, tail):
     text = "a b " * 60 + "x" * head + "7" * 3 + "y" * 20 + "z" * tail + " c d" * 60
     assert pii.added_spans(Words(), [text], [[]]) == [[("secret", 240, 240 + head + 23 + tail)]]
+
+
+def test_pieces_of_a_long_span_are_joined_across_many_others():
+    between = [(0, a, a + 2, 0.1, False) for a in range(101, 121, 2)]
+    got = pii.reconcile([(4, 100, 128, 9.0, True), *between, (4, 122, 190, 12.0, True)])
+    assert [s[:3] for s in got] == [(4, 100, 190)]
