@@ -12,8 +12,9 @@ Defined results: a NULL or empty text is measured as zeros; NULL hosts or paths
 form a site of their own; labels other than 0 and 1 and labels of unknown ids
 are passed over, of several labels of one id the smallest holds; without labels
 of both kinds every document has the prior 0.5 and is kept; rows that repeat are
-judged alike and all returned; an empty table gives no rows; further input
-columns are kept by ``keep_good`` and not read.
+judged alike and all returned; rows without an id, or that share one but not
+the text or site, are judged and dropped each by itself; an empty table gives no
+rows; further input columns are kept by ``keep_good`` and not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from areaindex.llm import rules
 from areaindex.llm.common import col, map_rows, written
+from areaindex.llm.decontam import row_key
 from areaindex.session import BROADCAST_BYTES
 
 #: Labelled rows that the classifier is fitted on, at most about this many of each label.
@@ -92,18 +94,26 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def _site(host: str, path: str) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("")) for c in (host, path)]
+
+
+def _row(key: str, text: str, host: str, path: str) -> Column:
+    """Tells rows apart by all that a judgement rests on; NULLs are values."""
+    return F.xxhash64(row_key(col(key), col(text).cast("string")), col(key).isNull(), *_site(host, path))
+
+
 def measured(docs: DataFrame, key: str, text: str, host: str, path: str) -> DataFrame:
-    """(key, host, path, MEASURES..., n_stutter) with sites as text; NULL is a site of its own."""
+    """(row, key, host, path, MEASURES..., n_stutter) with sites as text; NULL is a site of its own."""
     kind = docs.select(col(key)).schema[0].dataType.simpleString()
 
     def rows(items):
-        for k, h, p, t in items:
+        for r, k, h, p, t in items:
             words = t.lower().split() if t else []
-            yield (k, h, p, *rules.measure_text(t), sum(map(eq, words, words[1:])))
+            yield (r, k, h, p, *rules.measure_text(t), sum(map(eq, words, words[1:])))
 
-    site = [F.concat(F.lit("="), col(c).cast("string")) for c in (host, path)]
-    chosen = docs.select(col(key), *[F.coalesce(s, F.lit("")) for s in site], col(text).cast("string"))
-    schema = f"`key` {kind}, host string, path string, " + ", ".join(f"{m} long" for m in (*rules.MEASURES, "n_stutter"))
+    chosen = docs.select(_row(key, text, host, path), col(key), *_site(host, path), col(text).cast("string"))
+    schema = f"`row` long, `key` {kind}, host string, path string, " + ", ".join(f"{m} long" for m in (*rules.MEASURES, "n_stutter"))
     return map_rows(chosen, schema, rows)
 
 
@@ -132,6 +142,13 @@ def judge(
     label: str = "quality", threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(key, p_document, p_host, p_path, p_quality, kept) for every document."""
+    return _judged(docs, labels, key, text, host, path, label, threshold).drop("__row")
+
+
+def _judged(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str, label: str, threshold: float
+) -> DataFrame:
+    """``judge`` with the row's own key as ``__row``."""
     table = written(measured(docs, key, text, host, path), "measured")
     known = labels.where(col(label).isin(0, 1)).groupBy(col(key).alias("key")).agg(F.min(col(label)).cast("double").alias("label"))
     known = written(known, "labels")
@@ -139,7 +156,7 @@ def judge(
     counts = {r[0]: r[1] for r in labelled.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1))).collect()}
     if len(counts) < 2:
         return table.select(
-            F.col("key").alias(key), *[F.lit(0.5).alias(c) for c in ("p_document", "p_host", "p_path", "p_quality")], F.lit(True).alias("kept")
+            F.col("row").alias("__row"), F.col("key").alias(key), *[F.lit(0.5).alias(c) for c in ("p_document", "p_host", "p_path", "p_quality")], F.lit(True).alias("kept")
         )
 
     # the sample: rows of each label whose id's hash falls below a share that follows from their number
@@ -157,7 +174,7 @@ def judge(
     shift = float(np.log(true / drawn))
     scored = labelled.withColumn("odds", model.log_odds() + F.lit(shift)).withColumn("p", _sigmoid(F.col("odds"))).withColumn(
         "good", F.coalesce("label", "p")
-    ).select("key", "host", "path", "odds", "p", "good")
+    ).select("row", "key", "host", "path", "odds", "p", "good")
 
     paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -176,7 +193,7 @@ def judge(
         join_sites(scored, sites, ["host", "path"])
         .withColumn("p_path", F.greatest(F.least(own, F.lit(1 - 1e-9)), F.lit(1e-9)))
         .withColumn("p_quality", _sigmoid(F.col("odds") - _logit(F.lit(m)) + _logit(F.col("p_path"))))
-        .select(F.col("key").alias(key), F.col("p").alias("p_document"), "p_host", "p_path", "p_quality",
+        .select(F.col("row").alias("__row"), F.col("key").alias(key), F.col("p").alias("p_document"), "p_host", "p_path", "p_quality",
                 (F.col("p_quality") >= threshold).alias("kept"))
     )
 
@@ -186,5 +203,7 @@ def keep_good(
     label: str = "quality", threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    rejected = written(judge(docs, labels, key, text, host, path, label, threshold).where("NOT kept").select(col(key)).distinct(), "rejected")
-    return docs.join(rejected, key, "left_anti").select(*[col(c) for c in docs.columns])
+    judged = _judged(docs, labels, key, text, host, path, label, threshold)
+    rejected = written(judged.where("NOT kept").select("__row").distinct(), "rejected")
+    keyed = docs.withColumn("__row", _row(key, text, host, path))
+    return keyed.join(rejected, "__row", "left_anti").select(*[col(c) for c in docs.columns])

@@ -85,3 +85,11 @@ def test_logistic_fit_recovers_weights():
     y = (rng.random(20_000) < 1 / (1 + np.exp(-(x @ [2.0, -1.0] + 0.5)))).astype(float)
     model = quality.fit_logistic(x, y, ("a", "b"))
     assert np.allclose(np.array(model.weights) / model.scale, [2, -1], atol=0.1) and abs(model.bias - 0.5) < 0.15
+
+
+def test_rejections_hold_for_null_and_shared_ids(spark, make_docs, babble):
+    rows, labels = site_rows(babble)
+    good, bad = rows[2], rows[10]
+    odd = [(None, bad[1], "en", "a"), (None, good[1], "en", "a"), (3000, bad[1], "en", "a"), (3000, good[1], "en", "a")]
+    left = quality.keep_good(make_docs([*rows, *odd]), labels_table(spark, labels)).where("doc_id IS NULL OR doc_id = 3000").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, good[1]), (3000, good[1])]
