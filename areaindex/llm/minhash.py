@@ -18,8 +18,9 @@ Defined results: a document without words has no shingles, is alone in its
 component and kept; rows without an id are compared with nothing and all kept; a
 document with fewer words than a shingle has its whole
 sequence as the one shingle; the smallest id represents a component; rows that
-repeat an id are taken as one document and are returned once; an empty table
-gives no rows; further input columns are not read.
+repeat an id are taken as one document and are returned once, as the row of the
+smallest hash of its text, which is the only one that is sketched and compared;
+an empty table gives no rows; further input columns are not read.
 """
 
 from __future__ import annotations
@@ -257,6 +258,19 @@ def confirm_blocks(
     return map_rows(ordered, f"leader {kind}, member {kind}", rows).distinct()
 
 
+def one_per_id(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The table with one row of each id, by the smallest hash of the text, then of the row; rows without an id stay."""
+    ids = docs.where(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n"))
+    again = written(ids.where("__n > 1").drop("__n"), "repeated")
+    if again.isEmpty():
+        return docs
+    names = [col(c) for c in docs.columns]
+    order = F.struct(F.xxhash64(col(text).cast("string")), F.xxhash64(*names))
+    first = docs.join(again, key, "left_semi").groupBy(col(key)).agg(F.min_by(F.struct(*names), order).alias("__first"))
+    rest = docs.join(again, key, "left_anti").select(*names)
+    return rest.unionByName(written(first.select("__first.*"), "first"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -265,11 +279,15 @@ def near_duplicates(
     Documents are linked when their sets of ``shingle`` consecutive words share
     at least ``percent`` of their union; components are what links reach.
     """
+    return _judged(one_per_id(docs, key, text), key, text, shingle, percent)
+
+
+def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of a table in which no id repeats."""
     raw = written(sketches(docs, key, text, shingle), "raw")
     named = F.col("doc").isNotNull()
     nameless = raw.where(~named).withColumns({"digest": F.lit(None).cast("string"), "bands": F.lit(None).cast("array<bigint>")})
-    single = raw.where(named).groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").isEmpty()
-    every = raw if single and nameless.isEmpty() else written(raw.where(named).dropDuplicates(["doc"]).unionByName(nameless), "sketches")
+    every = raw if nameless.isEmpty() else written(raw.where(named).unionByName(nameless), "sketches")
     sketch = every.where(named)
     sets = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc").alias("node"))
     sets = written(sets, "sets")
@@ -316,10 +334,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all columns; rows without an id all stay."""
-    judged = near_duplicates(docs, key, text, shingle, percent)
+    docs = one_per_id(docs, key, text)
+    judged = _judged(docs, key, text, shingle, percent)
     gone = written(judged.where("NOT kept").select(col(key)), "duplicates")
-    rest = docs.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])
-    again = written(docs.where(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), "repeated")
-    if again.isEmpty():
-        return rest
-    return rest.join(again, key, "left_anti").unionByName(rest.join(again, key, "left_semi").dropDuplicates([key]))
+    return docs.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])

@@ -85,3 +85,17 @@ def test_components_of_a_chain(spark):
     got = dict(minhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100}
     assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_clashing_ids_are_one_row_by_a_fixed_rule(spark, make_docs, babble):
+    """The row that is sketched is the row that stays, whatever the order of the rows."""
+    texts = babble(24, seed=9)
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    hashed = {(r.doc_id, r.text): r.h for r in make_docs(rows).selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    first = {i: min((t for j, t in rows if j == i), key=lambda t: hashed[i, t]) for i in range(12)}
+    copies = [(100 + i, t) for i, t in first.items()] + [(200 + i, t) for i, t in rows if first[i] != t]
+    for order in (rows + copies, (rows + copies)[::-1]):
+        left = minhash.drop_near_duplicates(make_docs(order).coalesce(1), shingle=2).collect()
+        assert sorted((r.doc_id, r.text) for r in left) == sorted([*first.items(), *copies[12:]])
+        judged = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(order), shingle=2).collect()}
+        assert all(judged[100 + i] == i and judged[200 + i] == 200 + i for i in range(12))
