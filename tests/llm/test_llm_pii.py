@@ -153,3 +153,8 @@ def test_pieces_of_a_long_span_are_joined_across_many_others():
     between = [(0, a, a + 2, 0.1, False) for a in range(101, 121, 2)]
     got = pii.reconcile([(4, 100, 128, 9.0, True), *between, (4, 122, 190, 12.0, True)])
     assert [s[:3] for s in got] == [(4, 100, 190)]
+
+
+def test_parts_of_an_address_may_have_any_number_of_leading_zeros():
+    assert pii.base_spans("0" * 4301 + ".1.1.1") == [("ip", 0, 4307)]
+    assert pii.base_spans("0" * 4301 + "256.1.1.1") == []
