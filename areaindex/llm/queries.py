@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm import decontam, langid, licenses, minhash, packing, pii, quality, rules, token_rollup, warc
+from areaindex.llm import (
+    decontam, langid, licenses, minhash, packing, pii, quality, rules, stream_packing, token_rollup, warc,
+)
 from areaindex.llm.common import scratch_path, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +244,9 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply("end-token", kept.withColumns({"action": F.lit(token_rollup.REVISE), "n_tokens": F.col("n_tokens") + 1}))
     rollup.apply("load", load)
     return rollup.totals()
+
+
+@query("op12_sum_of_squares_packing")
+def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stream_packing.pack_stream(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
