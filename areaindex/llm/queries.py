@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaindex.llm import (
-    decontam, langid, licenses, minhash, packing, pii, quality, rules, stream_packing, token_rollup, warc,
+    decontam, langid, licenses, minhash, packing, part_trees, pii, quality, rules, stream_packing, token_rollup, warc,
 )
 from areaindex.llm.common import scratch_path, table, written
 
@@ -250,3 +250,50 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = stream_packing.pack_stream(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def _codes_sql() -> str:
+    squares = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = []
+    for r in range(part_trees.ROUNDS + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT rn, p, min({{'d': d, 'e': e}}) AS best
+  FROM (SELECT rn, p, e, {squares} AS d FROM parts JOIN books{r} USING (p)) GROUP BY rn, p)""")
+        if r < part_trees.ROUNDS:
+            steps.append(f"""
+books{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m, c) AS c
+  FROM books{r} LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m
+    FROM (SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n
+          FROM parts JOIN near{r} USING (rn, p), (SELECT unnest(range(1, w + 1)) AS i FROM (SELECT DISTINCT w FROM ints))
+          GROUP BY ALL)
+    GROUP BY p, e) USING (p, e))""")
+    last = part_trees.ROUNDS
+    return f"""
+WITH ints AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS rn, len(embedding) // {part_trees.PARTS} AS w,
+         list_transform(embedding, lambda x: CAST(floor({part_trees.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT rn, p, list_slice(v, p * w + 1, (p + 1) * w) AS x FROM ints, (SELECT unnest(range({part_trees.PARTS})) AS p)),
+books0 AS MATERIALIZED (SELECT p, rn - 1 AS e, x AS c FROM parts WHERE rn <= {part_trees.ENTRIES}),{",".join(steps)},
+coded AS (
+  SELECT rn, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{last} GROUP BY rn),
+digest AS (
+  SELECT sha256(string_agg(v, ',' ORDER BY p, e)) AS codebooks_sha256
+  FROM (SELECT p, e, array_to_string(list_transform(c, lambda y: CAST(y AS VARCHAR)), ',') AS v FROM books{last}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN ints USING (rn), digest"""
+
+
+@query("op13_anchor_tree_codes", _codes_sql())
+def op13_anchor_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = part_trees.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
