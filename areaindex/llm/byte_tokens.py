@@ -1,8 +1,8 @@
 """Byte-level token ids of whole texts, with a cache of the pieces that texts are split into.
 
 Merges never cross the borders of these pieces and most pieces of a corpus
-repeat, so each is encoded once by the tokenizer and looked up from then on.
-Texts with a character outside the range where splitting is plain, or with what
+repeat, so each is encoded once, by the tokenizer's own model without its split,
+and looked up from then on. Texts with a character outside the range where splitting is plain, or with what
 may be a special token, go through the tokenizer whole; the ids are the same
 either way.
 """
@@ -27,6 +27,13 @@ _PIECE = re.compile(
 )
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary, by Latin-1 code point."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class BytePieces:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens being added."""
 
@@ -34,8 +41,14 @@ class BytePieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(self.characters)
+        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -52,7 +65,7 @@ class BytePieces:
             for at, ids in enumerate(found):
                 if ids is None:
                     piece = pieces[at]
-                    ids = self.known.get(piece) or self._ids(piece)
+                    ids = self.known.get(piece) or self._learn(piece)
                     if len(piece) <= LONGEST_PIECE:
                         self.known[piece] = ids
                     found[at] = ids
