@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaindex.llm import (
-    decontam, langid, licenses, minhash, packing, part_trees, pii, quality, rules, stream_packing, token_rollup, warc,
+    ball_search, decontam, langid, licenses, minhash, packing, part_trees, pii, quality, rules, stream_packing, token_rollup,
+    warc,
 )
 from areaindex.llm.common import scratch_path, table, written
 
@@ -297,3 +298,30 @@ def op13_anchor_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
         F.lit(books.digest()).alias("codebooks_sha256"),
     )
+
+
+@query("op11_ball_tree_search", r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+asked AS (
+  SELECT item_id, t, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL),
+sizes AS (SELECT doc_id, len(words) AS n FROM docs WHERE len(words) > 0),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+spread AS (SELECT doc_id, 100 - 75 + (75 * n * n_docs) // n_terms AS m FROM sizes, corpus),
+held AS (
+  SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS t FROM docs)
+  WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, corpus GROUP BY t, n_docs),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN held USING (t) JOIN spread USING (doc_id) GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 10""")
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
