@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.operators.ordering import average_rank, quantiles, with_position
-from areaindex.session import join_null_safe, one_row
+from areaindex.session import checkpointed, join_null_safe, one_row
 
 # Score name -> (raw column, whether a low raw value is good).
 SCORE_SPEC = {
@@ -37,7 +37,8 @@ def winsor_minmax(
     """
     spec = {out: (c, invert) for out, (c, invert) in spec.items() if c in df.columns}
     cols = list(dict.fromkeys(c for c, _ in spec.values()))
-    bounds = quantiles(df, cols, [lo, hi], by)
+    df = checkpointed(df)  # read for the bounds and for the result
+    bounds = quantiles(df, cols, [lo, hi], by, stored=True)
     if by:
         bounds = bounds.select(*by, F.struct(*cols).alias("__bounds"))
         bounded = join_null_safe(df, bounds, list(by), "left")
@@ -94,8 +95,9 @@ def winsor_bounds(
 ) -> DataFrame:
     """Clipping bounds, quartiles and the number of values outside the bounds, per column."""
     levels = [lo, 0.25, 0.5, 0.75, hi]
-    found = quantiles(df, cols, levels, ())
-    counted = df.withColumn("__q", one_row(found)).agg(*[
+    rows = checkpointed(df.select(*cols))  # read for the bounds and for the counts
+    found = quantiles(rows, cols, levels, (), stored=True)
+    counted = rows.withColumn("__q", one_row(found)).agg(*[
         F.struct(
             F.lit(c).alias("indicator"),
             *[F.max(F.col(f"__q.{c}")[i]).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))],

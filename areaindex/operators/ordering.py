@@ -1,8 +1,12 @@
 """Exact positions, ranks and quantiles that do not depend on one task holding a group.
 
-Ranks and quantiles work on the number of rows per distinct value, so a value
-that a third of all rows share is one row. These counts are stored once. The
-values are cut into slices at approximate quantiles, which a scalar subquery
+Quantiles are selected by refinement: sketches bracket the wanted positions and
+a second pass counts what lies between the brackets, so hardly any value is
+shuffled; the result is exact.
+
+Ranks work on the number of rows per distinct value, so a value that a third of
+all rows share is one row. These counts are stored once. The values are cut into
+slices at approximate quantiles, which a scalar subquery
 finds; each slice of a group is numbered on its own and shifted by the sizes of
 the slices before it. The slice is a function of the value, so it is the same
 wherever it is computed.
@@ -18,11 +22,16 @@ There is one plan at every size, and positions are always ``long``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaindex.session import checkpointed, join_null_safe
+from areaindex.session import BROADCAST_BYTES, checkpointed, join_null_safe
+
+#: Share of a group's rows that the first sketch may be wrong by is one over this.
+ACCURACY = 10_000
 
 _SLICE, _COUNT, _BEFORE, _LESS = "__slice", "__n", "__before", "__less"
 _EARLIER = (Window.unboundedPreceding, -1)
@@ -111,43 +120,103 @@ def average_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rank_") ->
 
 
 def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), stored: bool = False,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Linear-interpolation quantiles: one row per group, one array per column.
 
-    Groups without a value get NULL. With no ``by`` the result is one row.
+    Groups without a value get NULL. With no ``by`` the result is one row. The
+    columns are read twice, so they are stored first, unless ``stored`` says
+    that ``df`` is cheap to read.
     """
-    long = df.select(
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = rows if stored else checkpointed(rows)
+    long = rows.select(
         *by, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("__name"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(cols)
+            F.struct(F.lit(i).alias("__name"), F.col(c).alias("__value")) for i, c in enumerate(cols)
         ])).alias("__cell"),
-    ).select(*by, "__cell.__name", "__cell.__value")
-    keys = [*by, "__name"]
-    placed = _value_positions(long, "__value", keys, True)
-    sizes = placed.groupBy(*keys).agg(F.sum(_COUNT).alias("__total"))
-    placed = join_null_safe(placed, sizes, keys)
-
-    def at(index: Column) -> Column:
-        hit = (F.col(_LESS) <= index) & (index < F.col(_LESS) + F.col(_COUNT))
-        return F.max(F.when(hit, F.col("__value")))
+    ).select(*by, "__cell.__name", "__cell.__value").where("__value IS NOT NULL")
+    per_name = _selected(long, [*by, "__name"], probs, accuracy)
 
-    picks, values = [F.first("__total").alias("__size")], []
+    values = []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("__total") - 1)
-        picks += [at(F.floor(position)).alias(f"__lo{i}"), at(F.ceil(position)).alias(f"__hi{i}")]
         share = F.lit(float(p)) * (F.col("__size") - 1)
         part = share - F.floor(share)
         values.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * part)
-    per_name = placed.groupBy(*keys).agg(*picks).select(*keys, F.array(*values).alias("__q"))
-    found = per_name.groupBy(*by).agg(*[
+    found = per_name.select(*by, "__name", F.array(*values).alias("__q")).groupBy(*by).agg(*[
         F.max(F.when(F.col("__name") == i, F.col("__q"))).alias(c) for i, c in enumerate(cols)
     ])
     if not by:
         return found
-    return join_null_safe(df.select(*by).distinct(), found, list(by), "left")
+    return join_null_safe(rows.select(*by).distinct(), found, list(by), "left")
+
+
+def _selected(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(keys, __size, __lo and __hi of each probability): the values at the two positions around a quantile.
+
+    A sketch of every group brackets the positions, then one pass over the rows
+    compresses each group to runs: within a bracket one run per distinct value,
+    outside one per stretch between brackets, with its number of rows and its
+    two ends. So what is shuffled are sketches and the few values inside
+    brackets. Positions that turn out to lie inside a stretch are looked for
+    again, in their groups only, with a sketch ten times as fine.
+    """
+    found = None
+    while True:
+        runs = _runs(long, keys, probs, accuracy)
+        window = Window.partitionBy(*keys).orderBy("__zone", "__exact").rowsBetween(*_EARLIER)
+        placed = runs.withColumn(_LESS, F.coalesce(F.sum(_COUNT).over(window), F.lit(0)))
+
+        def at(index: Column) -> tuple[Column, Column]:
+            hit = (F.col(_LESS) <= index) & (index < F.col(_LESS) + F.col(_COUNT))
+            value = (
+                F.when((index == F.col(_LESS)) | (F.col("__least") == F.col("__most")), F.col("__least"))
+                .when(index == F.col(_LESS) + F.col(_COUNT) - 1, F.col("__most"))
+            )
+            return F.max(F.when(hit, value)), F.bool_or(hit & value.isNull())
+
+        picks, lost = [F.first("__size").alias("__size")], F.lit(False)
+        for i, p in enumerate(probs):
+            position = F.lit(float(p)) * (F.col("__size") - 1)
+            for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+                value, missed = at(index)
+                picks.append(value.alias(f"__{side}{i}"))
+                lost = lost | missed
+        selected = checkpointed(placed.groupBy(*keys).agg(*picks, lost.alias("__lost")))
+        settled = selected.where("NOT __lost").drop("__lost")
+        found = settled if found is None else found.unionByName(settled)
+        lost_groups = selected.where("__lost").select(*keys)
+        if lost_groups.isEmpty():
+            return found
+        long, accuracy = join_null_safe(long, lost_groups, keys), accuracy * 10
+
+
+def _runs(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(keys, __size, __zone, __exact, __n, __least, __most): each group in runs of ascending value."""
+    margin = 2.0 / accuracy  # twice the sketch's own error, in shares of the rows
+    levels = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    sketch = F.percentile_approx("__value", F.array(*[F.lit(x) for x in levels]), F.lit(accuracy))
+    brackets = checkpointed(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), sketch.alias("__cuts")))
+    n, text = brackets.agg(
+        F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)))
+    ).first()
+    small = n * (64 + 8 * len(levels)) + (text or 0) <= BROADCAST_BYTES
+    value = F.col("__value")
+    opened = [(F.col("__cuts")[i] <= value).cast("int") for i in range(len(probs))]
+    closed = [(F.col("__cuts")[len(probs) + i] < value).cast("int") for i in range(len(probs))]
+    return (
+        join_null_safe(long, F.broadcast(brackets) if small else brackets, keys)
+        .select(*keys, "__size", "__value", reduce(add, opened).alias("__opened"), reduce(add, closed).alias("__closed"))
+        .groupBy(
+            *keys, (F.col("__opened") + F.col("__closed")).alias("__zone"),
+            F.when(F.col("__opened") > F.col("__closed"), value).alias("__exact"),
+        )
+        .agg(F.first("__size").alias("__size"), F.count(F.lit(1)).alias(_COUNT), F.min("__value").alias("__least"),
+             F.max("__value").alias("__most"))
+    )
 
 
-def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """Median per group, as plain columns."""
-    found = quantiles(df, cols, [0.5], by)
+    found = quantiles(df, cols, [0.5], by, stored)
     return found.withColumns({c: F.element_at(F.col(c), 1) for c in cols})

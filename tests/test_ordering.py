@@ -139,9 +139,38 @@ def test_keys_may_have_any_name_and_positions_are_long(spark):
 
 def test_ranks_have_one_plan(spark, df):
     ranked = ordering.average_rank(df, "v")
-    wide = ordering.quantiles(df, ["v", "w"], [0.1, 0.9])
-    for frame in (ranked, wide):
-        plan = frame._jdf.queryExecution().executedPlan().toString()
-        # one partition is for the few totals of slices only
-        assert "PythonUDF" not in plan and plan.count("Window") == 2
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    # one partition is for the few totals of slices only
+    assert "PythonUDF" not in plan and plan.count("Window") == 2
     assert ordering.average_rank(df.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [1, 2, 10, 10_000])
+def test_quantiles_are_exact_however_coarse_the_sketch(spark, accuracy):
+    """Coarse sketches miss their positions, so that groups are looked through again."""
+    rng = np.random.default_rng(3)
+    parts = {
+        "wide": 10.0 ** rng.uniform(-300, 300, 1500), "ties": rng.integers(0, 4, 2000).astype(float), "hot": np.r_[np.full(3000, 5.0), rng.normal(size=100)],
+        "one": np.array([7.0]), "two": np.array([2.0, -1.0]), "signed": rng.normal(size=777), "inf": np.array([np.inf, -np.inf, 0.0, 1.0]),
+    }
+    rows = [(g, float(v)) for g, vs in parts.items() for v in vs]
+    rng.shuffle(rows)
+    rows = [(g, float(v)) for g, v in rows] + [("none", None), (None, 3.0)]
+    probs = [0.0, 0.025, 0.25, 0.5, 0.99, 1.0]
+    got = {r["g"]: r["v"] for r in ordering.quantiles(spark.createDataFrame(rows, "g string, v double"), ["v"], probs, ["g"], accuracy=accuracy).collect()}
+    assert got.pop("none") is None and got.pop(None) == [3.0] * 6
+    for g, vs in parts.items():
+        ordered = sorted(vs.tolist())
+        for p, value in zip(probs, got[g]):
+            place = p * (len(ordered) - 1)
+            lo, hi = ordered[int(place)], ordered[int(np.ceil(place))]
+            want = lo + (hi - lo) * (place - int(place))
+            assert value == want or (np.isnan(want) and np.isnan(value)), (g, p)
+
+
+def test_quantiles_shuffle_hardly_any_value(spark):
+    """What one pass leaves of 200,000 distinct values are a few runs."""
+    rows = spark.range(200_000).select(F.lit(0).alias("__name"), F.rand(4).alias("__value"))
+    runs = ordering._runs(rows, ["__name"], [0.025, 0.5, 0.975], ordering.ACCURACY)
+    assert runs.count() < 3 * 5 * 200_000 / ordering.ACCURACY
+    assert runs.agg(F.sum("__n")).first()[0] == 200_000
