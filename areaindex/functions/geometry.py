@@ -95,18 +95,20 @@ def area_and_centroid(edges: Column) -> Column:
     return F.aggregate(edges, zero, add, finish)
 
 
+def crosses_ray(e: Column, px: Column, py: Column) -> Column:
+    """Whether an edge crosses the ray from a point to the right."""
+    spans = (e["y1"] > py) != (e["y2"] > py)
+    at = e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+    return spans & (px < at)
+
+
 def contains_point(edges: Column, px: Column, py: Column) -> Column:
     """Ray crossing rule: an odd number of edges lies to the right of the point.
 
     Half-open in y, so a ray through a vertex counts once. Points exactly on
     the outline fall on either side, by the same rule for every polygon.
     """
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > py) != (e["y2"] > py)
-        at = e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
-        return spans & (px < at)
-
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return F.size(F.filter(edges, lambda e: crosses_ray(e, px, py))) % 2 == 1
 
 
 def _point_segment_sq(px: Column, py: Column, e: Column) -> Column:
@@ -148,9 +150,14 @@ def segments_touch(e: Column, f: Column) -> Column:
     )
 
 
+def outlines_touch(a: Column, b: Column) -> Column:
+    """Whether any two edges share a point."""
+    return F.exists(a, lambda e: F.exists(b, lambda f: segments_touch(e, f)))
+
+
 def polygons_touch(a: Column, b: Column) -> Column:
     """Whether two polygons share a point: crossing or touching outlines, or one inside the other."""
-    outlines = F.exists(a, lambda e: F.exists(b, lambda f: segments_touch(e, f)))
+    outlines = outlines_touch(a, b)
     a_in_b = F.exists(a, lambda e: contains_point(b, e["x1"], e["y1"]))
     b_in_a = F.exists(b, lambda f: contains_point(a, f["x1"], f["y1"]))
     return outlines | a_in_b | b_in_a
@@ -163,6 +170,28 @@ def polygon_gap(a: Column, b: Column) -> Column:
     return F.least(a_to_b, b_to_a)
 
 
+def area_under_lower(
+    e: Column, f: Column, base_y: Column, low: Column | None = None, high: Column | None = None
+) -> Column:
+    """Signed area above ``base_y`` and under the lower of two slanted edges, where both run, and between ``low`` and ``high``."""
+    def height(g: Column, x: Column) -> Column:
+        return g["y1"] - base_y + (x - g["x1"]) * (g["y2"] - g["y1"]) / (g["x2"] - g["x1"])
+
+    def sign(g: Column) -> Column:
+        return F.when(g["x1"] > g["x2"], F.lit(1.0)).otherwise(F.lit(-1.0))
+
+    lefts = [F.least(e["x1"], e["x2"]), F.least(f["x1"], f["x2"])]
+    rights = [F.greatest(e["x1"], e["x2"]), F.greatest(f["x1"], f["x2"])]
+    left = F.greatest(*lefts, *([] if low is None else [low]))
+    right = F.least(*rights, *([] if high is None else [high]))
+    width = right - left
+    u, v = height(e, left) - height(f, left), height(e, right) - height(f, right)
+    both = (height(e, left) + height(f, left) + height(e, right) + height(f, right)) / 2
+    bent = (u * u + v * v) / (F.nullif(F.abs(u) + F.abs(v), F.lit(0.0)))
+    apart = F.when(u * v >= 0, F.abs(u) + F.abs(v)).otherwise(bent) / 2
+    return F.when(width > 0, sign(e) * sign(f) * width * (both - apart) / 2).otherwise(F.lit(0.0))
+
+
 def shared_area(a: Column, b: Column, base_y: Column) -> Column:
     """Area common to two polygons, of any shape.
 
@@ -173,23 +202,6 @@ def shared_area(a: Column, b: Column, base_y: Column) -> Column:
     """
     slanted_a = F.filter(a, lambda e: e["x1"] != e["x2"])
     slanted_b = F.filter(b, lambda f: f["x1"] != f["x2"])
-
-    def height(e: Column, x: Column) -> Column:
-        return e["y1"] - base_y + (x - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
-
-    def sign(e: Column) -> Column:
-        return F.when(e["x1"] > e["x2"], F.lit(1.0)).otherwise(F.lit(-1.0))
-
-    def under_lower(e: Column, f: Column) -> Column:
-        left = F.greatest(F.least(e["x1"], e["x2"]), F.least(f["x1"], f["x2"]))
-        right = F.least(F.greatest(e["x1"], e["x2"]), F.greatest(f["x1"], f["x2"]))
-        width = right - left
-        u, v = height(e, left) - height(f, left), height(e, right) - height(f, right)
-        both = (height(e, left) + height(f, left) + height(e, right) + height(f, right)) / 2
-        bent = (u * u + v * v) / (F.nullif(F.abs(u) + F.abs(v), F.lit(0.0)))
-        apart = F.when(u * v >= 0, F.abs(u) + F.abs(v)).otherwise(bent) / 2
-        return F.when(width > 0, sign(e) * sign(f) * width * (both - apart) / 2).otherwise(F.lit(0.0))
-
     return F.aggregate(slanted_a, F.lit(0.0), lambda acc, e: acc + F.aggregate(
-        slanted_b, F.lit(0.0), lambda inner, f: inner + under_lower(e, f)
+        slanted_b, F.lit(0.0), lambda inner, f: inner + area_under_lower(e, f, base_y)
     ))

@@ -56,14 +56,23 @@ class Extent:
     filed_bytes: int
 
 
-def measure(df: DataFrame, level: Column, edges: str) -> Extent:
-    """A level is a power of two, so there are some dozens of them at most."""
+def measure(df: DataFrame, level: Column) -> Extent:
+    """A level is a power of two, so there are some dozens of them at most.
+
+    A row is sized by what it holds: 48 bytes an edge, the length of texts, 16
+    bytes for any other column.
+    """
+    width = F.lit(32 + 16 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "array":
+            width = width + F.greatest(F.size(f"`{f.name}`"), F.lit(0)) * 48
+        elif f.dataType.typeName() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
     found = df.groupBy(level.alias("level")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size(edges)).alias("edges")
+        F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")
     ).where(F.col("level").isNotNull()).collect()
-    rows, points = sum(r["n"] for r in found), sum(r["edges"] for r in found)
-    # Up to four cells each; an edge is a struct of four doubles.
-    return Extent(sorted(r["level"] for r in found), rows, 4 * (100 * rows + 48 * points))
+    # Up to four cells each.
+    return Extent(sorted(r["level"] for r in found), sum(r["n"] for r in found), 4 * sum(r["bytes"] for r in found))
 
 
 def explode_cells(df: DataFrame, cells: Column) -> DataFrame:

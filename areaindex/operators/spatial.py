@@ -2,8 +2,8 @@
 
 Polygon frames hold an id, ``edges`` and the bounding box ``xmin, ymin, xmax,
 ymax``. Candidates always come from an equi-join on grid cells, so nothing is
-compared with everything, and the geometry test runs inside that join: no row
-per edge is ever shuffled.
+compared with everything. The geometry test runs inside that join as long as
+polygons are small; larger ones are taken apart (see ``bands``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from areaindex.functions import geometry as G
 from areaindex.functions.grid import CELL, box_level, cells_covered, cells_of_point, explode_cells, measure
+from areaindex.operators import bands
 from areaindex.operators.knn import knn_join
 from areaindex.session import checkpointed, join_measured, spread
 
@@ -63,7 +64,7 @@ def _in_box(x: Column, y: Column) -> Column:
 
 def _points_in_boxes(points: DataFrame, boxes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of a point (x, y) and a box holding it; each pair once. Columns ``on`` must agree."""
-    extent = measure(boxes, box_level(boxes), "edges")
+    extent = measure(boxes, box_level(boxes))
     located = explode_cells(points, cells_of_point(F.col("x"), F.col("y"), extent.levels))
     found = join_measured(located, _box_cells(boxes), [*on, *CELL], extent.filed_bytes)
     return found.where(_in_box(F.col("x"), F.col("y"))).drop(*CELL)
@@ -74,26 +75,42 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, keep: tuple[str, ...
 
     ``points`` has x, y; ``polys`` keeps its columns other than the geometry.
     """
-    pairs = _points_in_boxes(points, polys)
-    inside = pairs.where(G.contains_point(F.col("edges"), F.col("x"), F.col("y")))
-    return inside.drop("edges", *[c for c in BOX if c not in keep])
+    gone = ["edges", *[c for c in BOX if c not in keep]]
+
+    def within(small: DataFrame) -> DataFrame:
+        pairs = _points_in_boxes(points, small)
+        return pairs.where(G.contains_point(F.col("edges"), F.col("x"), F.col("y"))).drop(*gone)
+
+    if not bands.has_large(polys):
+        return within(polys)
+    large = checkpointed(polys.where(bands.is_large()).withColumn("__poly", F.monotonically_increasing_id()))
+    inside = bands.points_in_large(_points_in_boxes(points, large.drop("edges")), large)
+    return within(polys.where(~bands.is_large())).unionByName(inside.drop("__poly", *gone))
 
 
 def _nearest_reach(
     polys: DataFrame, id_col: str, points: DataFrame, point_id: str, by: str | None = None
 ) -> DataFrame:
-    """Polygons with a box grown by a distance within which a point is certain to lie.
+    """Chunks of polygons with a box grown by a distance within which a point is certain to lie.
 
-    The first vertex belongs to the polygon, so the point nearest to that
-    vertex bounds the distance from the polygon to its own nearest point.
+    Vertices belong to the polygon, so the point nearest to one of them bounds
+    the distance from the polygon to its own nearest point. One vertex of every
+    chunk is asked, the best bound holds for all chunks.
     """
-    vertex = polys.select(
-        id_col, F.col("edges")[0]["x1"].alias("x"), F.col("edges")[0]["y1"].alias("y")
+    vertex = checkpointed(
+        bands.sample_vertices(polys, id_col).withColumn("__vertex", F.struct(id_col, "x", "y"))
+    ) if bands.has_large(polys) else polys.select(
+        id_col, F.col("edges")[0]["x1"].alias("x"), F.col("edges")[0]["y1"].alias("y"), F.col(id_col).alias("__vertex")
     ).dropDuplicates([id_col])
     part = [by] if by else []
-    reach = knn_join(vertex, points, k=1, by=by, scale=1.0, query_id=id_col, point_id=point_id)
+    asked = vertex.select(F.col("__vertex").alias("__query"), "x", "y")
+    found = knn_join(asked, points, k=1, by=by, scale=1.0, query_id="__query", point_id=point_id)
+    reach = (
+        found.join(vertex.select(id_col, F.col("__vertex").alias("__query")), "__query")
+        .groupBy(id_col, *part).agg(F.min("distance").alias("__reach"))
+    )
     # Stored, because choosing the cell sizes and the join itself both read it.
-    grown = polys.join(reach.select(id_col, *part, F.col("distance").alias("__reach")), [id_col, *part])
+    grown = bands.chunks(polys).join(reach, [id_col, *part])
     # A hair more than the bound itself, so that rounding cannot lose the point.
     slack = F.col("__reach") * (1 + 1e-9) + 1e-9
     return checkpointed(grown.withColumns({
@@ -102,24 +119,36 @@ def _nearest_reach(
     }))
 
 
-def nearest_points(
+def outline_pairs(
     polys: DataFrame, points: DataFrame, id_col: str, point_id: str, by: str | None = None
+) -> DataFrame:
+    """(chunk of a polygon, point) pairs that can hold the nearest point of a polygon, by reach."""
+    part = [by] if by else []
+    reach = _nearest_reach(polys, id_col, points.select(point_id, *part, "x", "y"), point_id, by)
+    return _points_in_boxes(points, reach, part)
+
+
+def nearest_points(
+    polys: DataFrame, points: DataFrame, id_col: str, point_id: str, by: str | None = None, none_inside: bool = False
 ) -> DataFrame:
     """For each polygon, the point or points nearest to it (0 inside); ties stay.
 
     With ``by``, a column of both frames, only points of the same value count.
-    Adds ``distance``.
+    ``none_inside`` says that no point lies inside. Adds ``distance``.
     """
     part = [by] if by else []
-    reach = _nearest_reach(polys, id_col, points.select(point_id, *part, "x", "y"), point_id, by)
-    pairs = _points_in_boxes(points, reach, part)
     x, y = F.col("x"), F.col("y")
-    away = F.when(G.contains_point(F.col("edges"), x, y), F.lit(0.0)).otherwise(
-        G.outline_distance(F.col("edges"), x, y)
-    )
-    measured = pairs.withColumn("distance", F.round(away, 9)).drop("edges", "__reach", *BOX)
+    away = F.round(G.outline_distance(F.col("edges"), x, y), 9)
+    pairs = outline_pairs(polys, points, id_col, point_id, by)
+    measured = pairs.withColumn("distance", away).drop("edges", "__reach", *BOX)
+    if not none_inside:
+        inside = points_in_polygons(points, polys.drop(*part) if by else polys)
+        if by:
+            inside = inside.join(polys.select(id_col, by).distinct(), [id_col, by], "left_semi")
+        measured = measured.unionByName(inside.withColumn("distance", F.lit(0.0)).select(*measured.columns))
     closest = Window.partitionBy(id_col, *part).orderBy("distance")
-    return measured.withColumn("__r", F.rank().over(closest)).where("__r = 1").drop("__r")
+    near = measured.withColumn("__r", F.rank().over(closest)).where("__r = 1").drop("__r")
+    return near.dropDuplicates([id_col, *part, point_id])
 
 
 def mean_in_or_nearest(
@@ -140,7 +169,7 @@ def mean_in_or_nearest(
     if by:
         shapes = shapes.withColumn(by, F.explode(points.agg(F.collect_set(by)).scalar()))
     without = shapes.join(means.select(id_col, *part), [id_col, *part], "left_anti")
-    near = nearest_points(without, points.select(point_id, *part, "x", "y", value), id_col, point_id, by)
+    near = nearest_points(without, points.select(point_id, *part, "x", "y", value), id_col, point_id, by, True)
     fallback = near.groupBy(id_col, *part).agg(F.avg(value).alias(value), F.lit(0).cast("long").alias("points"))
     return means.unionByName(fallback)
 
@@ -156,7 +185,7 @@ def _box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     a = a.withColumn("__la", box_level(a))
     b = b.withColumn("__lb", box_level(b))
-    a_extent, b_extent = measure(a, F.col("__la"), "a_edges"), measure(b, F.col("__lb"), "b_edges")
+    a_extent, b_extent = measure(a, F.col("__la")), measure(b, F.col("__lb"))
     # Geometry tests follow the join, in the tasks of the larger side.
     a_larger = a_extent.filed_bytes >= b_extent.filed_bytes
     if a_larger:
@@ -191,10 +220,41 @@ def _sides(a: DataFrame, a_id: str, b: DataFrame, b_id: str) -> tuple[DataFrame,
     return left, right
 
 
+def _small(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return a.where(~bands.is_large("a_edges")), b.where(~bands.is_large("b_edges"))
+
+
+def _either_large(a: DataFrame, b: DataFrame) -> bool:
+    return bands.has_large(a, edges="a_edges") or bands.has_large(b, edges="b_edges")
+
+
+def _large_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of polygons that share a point, of which one is large at least."""
+    a, b = (df.withColumn(f"{s}_large", bands.is_large(f"{s}_edges")) for df, s in ((a, "a"), (b, "b")))
+    one_large = F.col("a_large") | F.col("b_large")
+    ids = ["a_id", "b_id"]
+    outlines = _box_pairs(bands.chunks(a, "a_edges"), bands.chunks(b, "b_edges")).where(one_large)
+    met = outlines.where(G.outlines_touch(F.col("a_edges"), F.col("b_edges"))).select(*ids)
+    a_starts = bands.ring_starts(a.drop(*BOX), "a_edges")
+    b_starts = bands.ring_starts(b.drop(*BOX), "b_edges")
+    a_in_b = points_in_polygons(a_starts, b.withColumnRenamed("b_edges", "edges")).where(one_large).select(*ids)
+    b_in_a = points_in_polygons(b_starts, a.withColumnRenamed("a_edges", "edges")).where(one_large).select(*ids)
+    return met.unionByName(a_in_b).unionByName(b_in_a).distinct()
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a_id, b_id) of polygons that share at least one point."""
+    def small(a: DataFrame, b: DataFrame) -> DataFrame:
+        return _box_pairs(a, b).where(G.polygons_touch(F.col("a_edges"), F.col("b_edges"))).select("a_id", "b_id")
+
+    if not _either_large(left, right):
+        return small(left, right)
+    return small(*_small(left, right)).unionByName(_large_pairs(left, right))
+
+
 def intersecting(a: DataFrame, b: DataFrame, a_id: str = "area_code", b_id: str | None = None) -> DataFrame:
     """Pairs (a_id, b_id) of polygons that share at least one point."""
-    left, right = _sides(a, a_id, b, b_id or a_id)
-    return _box_pairs(left, right).where(G.polygons_touch(F.col("a_edges"), F.col("b_edges"))).select("a_id", "b_id")
+    return _meeting(*_sides(a, a_id, b, b_id or a_id))
 
 
 def neighbours(polys: DataFrame, id_col: str = "area_code") -> DataFrame:
@@ -206,28 +266,63 @@ def neighbours(polys: DataFrame, id_col: str = "area_code") -> DataFrame:
 
 def within_distance(polys: DataFrame, mask: DataFrame, reach: float, id_col: str = "area_code") -> DataFrame:
     """Ids of polygons that meet the mask or lie at most ``reach`` away from it."""
-    grown = mask.select("edges", *[(F.col(c) - reach).alias(c) for c in BOX[:2]],
-                        *[(F.col(c) + reach).alias(c) for c in BOX[2:]])
-    left = polys.select(id_col, F.col("edges").alias("a_edges"), *BOX)
-    pairs = _box_pairs(left, grown.withColumnRenamed("edges", "b_edges"))
+    def near(a: DataFrame, b: DataFrame, test: Column) -> DataFrame:
+        grown = b.withColumns({c: F.col(c) - reach for c in BOX[:2]}).withColumns({c: F.col(c) + reach for c in BOX[2:]})
+        return _box_pairs(a, grown).where(test).select("a_id")
+
+    left, right = _sides(polys, id_col, mask.withColumn("__mask", F.monotonically_increasing_id()), "__mask")
     a, b = F.col("a_edges"), F.col("b_edges")
-    return pairs.where(G.polygons_touch(a, b) | (G.polygon_gap(a, b) <= reach)).select(id_col).distinct()
+    close = G.polygon_gap(a, b) <= reach
+    if not _either_large(left, right):
+        found = near(left, right, G.polygons_touch(a, b) | close)
+    else:
+        found = _meeting(left, right).select("a_id").unionByName(
+            near(bands.chunks(left, "a_edges"), bands.chunks(right, "b_edges"), close)
+        )
+    return found.select(F.col("a_id").alias(id_col)).distinct()
 
 
-def _shared() -> Column:
+def _unless_noise(total: Column) -> Column:
     """Common area of a pair; what is within rounding error of nothing is nothing."""
     base = F.least("a_ymin", "b_ymin")
-    total = G.shared_area(F.col("a_edges"), F.col("b_edges"), base)
     width = F.least(F.col("a_xmax") - F.col("a_xmin"), F.col("b_xmax") - F.col("b_xmin"))
     noise = width * (F.greatest("a_ymax", "b_ymax") - base) * 1e-12
     return G.let(total, lambda v: F.when(v > noise, v).otherwise(F.lit(0.0)))
 
 
+def _shared() -> Column:
+    """Common area of a pair whose edges are in the row."""
+    return _unless_noise(G.shared_area(F.col("a_edges"), F.col("b_edges"), F.least("a_ymin", "b_ymin")))
+
+
+def _large_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_id, b_id, overlap) of the pairs whose boxes meet and of which one is large at least."""
+    a, b = (
+        bands.with_slabs(df.withColumnRenamed(f"{s}_edges", "edges")).withColumnRenamed("edges", f"{s}_edges")
+        for df, s in ((left, "a"), (right, "b"))
+    )
+    pairs = _box_pairs(*(df.drop(f"{s}_edges").withColumnRenamed("slab", f"{s}_slab") for df, s in ((a, "a"), (b, "b"))))
+    pairs = checkpointed(pairs.where("a_slab IS NOT NULL OR b_slab IS NOT NULL").withColumns({
+        "left": F.greatest("a_xmin", "b_xmin"), "right": F.least("a_xmax", "b_xmax"), "base": F.least("a_ymin", "b_ymin"),
+    }))
+    added = bands.slab_overlap(pairs.select("a_id", "b_id", "a_slab", "b_slab", "left", "right", "base"), a, b)
+    return pairs.join(added, ["a_id", "b_id"], "left").select(
+        "a_id", "b_id", _unless_noise(F.coalesce("overlap", F.lit(0.0))).alias("overlap")
+    )
+
+
 def overlap_area(a: DataFrame, b: DataFrame, a_id: str = "area_code", b_id: str | None = None) -> DataFrame:
     """Area shared by each overlapping pair: a_id, b_id, overlap."""
     left, right = _sides(a, a_id, b, b_id or a_id)
-    pairs = _box_pairs(left, right).withColumn("overlap", _shared())
-    return pairs.where("overlap > 0").select("a_id", "b_id", "overlap")
+
+    def small(a: DataFrame, b: DataFrame) -> DataFrame:
+        return _box_pairs(a, b).withColumn("overlap", _shared()).select("a_id", "b_id", "overlap")
+
+    if not _either_large(left, right):
+        found = small(left, right)
+    else:
+        found = small(*_small(left, right)).unionByName(_large_overlaps(left, right))
+    return found.where("overlap > 0")
 
 
 def coverage_pct(
@@ -252,17 +347,24 @@ def restrict_to(
 ) -> DataFrame:
     """Polygons that meet the mask, with the area that lies within it."""
     left, right = _sides(polys, id_col, mask, mask_id)
-    met = _box_pairs(left, right).where(G.polygons_touch(F.col("a_edges"), F.col("b_edges")))
-    within = met.groupBy(F.col("a_id").alias(id_col)).agg(F.sum(_shared()).alias("area_within"))
+
+    def small(a: DataFrame, b: DataFrame) -> DataFrame:
+        met = _box_pairs(a, b).where(G.polygons_touch(F.col("a_edges"), F.col("b_edges")))
+        return met.select("a_id", _shared().alias("overlap"))
+
+    if not _either_large(left, right):
+        met = small(left, right)
+    else:
+        large = _large_pairs(left, right).join(_large_overlaps(left, right), ["a_id", "b_id"], "left")
+        met = small(*_small(left, right)).unionByName(large.select("a_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap")))
+    within = met.groupBy(F.col("a_id").alias(id_col)).agg(F.sum("overlap").alias("area_within"))
     return polys.join(within, id_col)
 
 
 def _nearest_polygons(child: DataFrame, parent: DataFrame, child_id: str, parent_id: str) -> DataFrame:
-    corner = parent.select(
-        parent_id, F.col("edges")[0]["x1"].alias("x"), F.col("edges")[0]["y1"].alias("y")
-    )
-    reach = _nearest_reach(child, child_id, corner, parent_id)
-    left, right = _sides(reach, child_id, parent, parent_id)
+    corner = bands.sample_vertices(parent, parent_id).withColumn("__corner", F.struct(parent_id, "x", "y"))
+    reach = _nearest_reach(child, child_id, corner, "__corner")
+    left, right = _sides(reach, child_id, bands.chunks(parent), parent_id)
     pairs = _box_pairs(left, right).select(
         "a_id", "b_id", F.round(G.polygon_gap(F.col("a_edges"), F.col("b_edges")), 9).alias("gap")
     )
@@ -271,6 +373,26 @@ def _nearest_polygons(child: DataFrame, parent: DataFrame, child_id: str, parent
     )
 
 
+def _candidate_parents(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
+    """(a_id, b_id, overlap, within, central) of children (with area, cx, cy) and parents whose boxes meet."""
+    within = (F.col("overlap") >= F.col("area") * (1 - tolerance)).alias("within")
+
+    def small(a: DataFrame, b: DataFrame) -> DataFrame:
+        return _box_pairs(a, b).withColumn("overlap", _shared()).select(
+            "a_id", "b_id", "overlap", within, G.contains_point(F.col("b_edges"), F.col("cx"), F.col("cy")).alias("central"),
+        )
+
+    if not _either_large(left, right):
+        return small(left, right)
+    centres = left.select("a_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    held = points_in_polygons(centres, right.withColumnRenamed("b_edges", "edges")).select("a_id", "b_id", F.lit(True).alias("central"))
+    large = _large_overlaps(left.drop("area", "cx", "cy"), right).join(left.select("a_id", "area"), "a_id")
+    return small(*_small(left, right)).unionByName(
+        large.join(held, ["a_id", "b_id"], "left")
+        .select("a_id", "b_id", "overlap", within, F.coalesce("central", F.lit(False)).alias("central"))
+    )
+
+
 def assign_parent(
     child: DataFrame, parent: DataFrame, child_id: str = "area_code", parent_id: str = "parent_code",
     tolerance: float = 1e-9,
@@ -286,11 +408,7 @@ def assign_parent(
         F.col(child_id).alias("a_id"), F.col("edges").alias("a_edges"), "area", "cx", "cy", *BOX
     )
     right = parent.select(F.col(parent_id).alias("b_id"), F.col("edges").alias("b_edges"), *BOX)
-    pairs = _box_pairs(left, right).withColumn("overlap", _shared()).select(
-        "a_id", "b_id", "overlap",
-        (F.col("overlap") >= F.col("area") * (1 - tolerance)).alias("within"),
-        G.contains_point(F.col("b_edges"), F.col("cx"), F.col("cy")).alias("central"),
-    )
+    pairs = _candidate_parents(left, right, tolerance)
     # One row per child, stored: the pairs are then measured only once.
     found = checkpointed(pairs.groupBy(F.col("a_id").alias(child_id)).agg(
         F.min(F.when(F.col("within"), F.col("b_id"))).alias("__within"),
