@@ -46,7 +46,7 @@ from areaindex.llm.common import col, map_rows, written
 BEST = 10
 #: Text of one block of queries, term counts of one block of documents, blocks searched first, documents of a leaf.
 QUERY_BYTES = 4 << 20
-BLOCK_TERMS = 1 << 18
+BLOCK_TERMS = 1 << 16
 SEED_BLOCKS = 16
 LEAF = 64
 # ASCII letters and digits and everything beyond ASCII form terms, A-Z as small letters.
@@ -165,11 +165,12 @@ def plant(keys: list, rows: Rows, leaf: int = LEAF) -> BallTree:
                 work += [(middle, last, node, True), (first, middle, node, False)]
     table = list(zip(*nodes))
     centroids = Rows(
-        np.concatenate([b[1] for b in balls]), np.concatenate([b[0] for b in balls]),
+        np.concatenate([b[1] for b in balls]), np.concatenate([b[0] for b in balls]).astype(np.int32),
         np.concatenate([[0], np.cumsum([len(b[0]) for b in balls])]),
     )
+    documents = rows.take(order)
     return BallTree(
-        [keys[i] for i in order.tolist()], rows.take(order), terms,
+        [keys[i] for i in order.tolist()], Rows(documents.values, documents.columns.astype(np.int32), documents.starts), terms,
         *(np.array(c, np.int64) for c in table[:4]), *(np.array(c, float) for c in table[4:]), centroids,
     )
 
@@ -292,7 +293,7 @@ def ranked(blocks: DataFrame, queries: list[Query], width: int, k: int, reached:
             for score, _, key in held.rows:
                 yield query.number, key, -score
 
-    found = map_rows(blocks.select("keys", "tree"), f"query int, key {kind}, score long", rows)
+    found = map_rows(blocks.select("keys", "tree"), f"query int, key {kind}, score long", rows, at_once=1)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("key").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

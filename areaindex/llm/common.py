@@ -49,19 +49,24 @@ def per_process(name: str, make: Callable[[], Any]) -> Any:
     return store[name]
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterator[tuple]], per_batch: int = 2000) -> DataFrame:
+def map_rows(
+    df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterator[tuple]], per_batch: int = 2000, at_once: int | None = None
+) -> DataFrame:
     """Run a generator over the rows of each partition, Arrow batch by Arrow batch.
 
     ``rows`` gets the rows as tuples of Python values and yields tuples in the
     order of ``schema``; at most ``per_batch`` of them are held before they go
-    back to the JVM.
+    back to the JVM. ``at_once``: how many rows of a batch are turned into
+    Python values at a time, for rows that are large; all by default.
     """
     arrow = to_arrow_schema(T.DataType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def incoming():
             for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns])
+                step = at_once or max(batch.num_rows, 1)
+                for at in range(0, batch.num_rows, step):
+                    yield from zip(*[c.to_pylist() for c in batch.slice(at, step).columns])
 
         held: list[tuple] = []
         for row in rows(incoming()):

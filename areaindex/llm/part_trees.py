@@ -347,7 +347,7 @@ def moved(trees: Forest, books: Codebooks) -> Codebooks:
                     yield part, entry, position, limb, int(value if last else value & ((1 << _LIMB) - 1))
                     value, limb = 0 if last else value >> _LIMB, limb + 1
 
-    sums = map_rows(trees.blocks.select("trees"), "part int, entry int, position int, limb int, value long", rows)
+    sums = map_rows(trees.blocks.select("trees"), "part int, entry int, position int, limb int, value long", rows, at_once=1)
     totals: dict[tuple[int, int, int], int] = {}
     for r in sums.groupBy("part", "entry", "position", "limb").agg(F.sum("value").alias("value")).collect():
         at = (r["part"], r["entry"], r["position"])
@@ -370,7 +370,7 @@ def encode(trees: Forest, books: Codebooks) -> DataFrame:
             for k, lab, c, e in zip(keys, labels, code, error):
                 yield k, lab, c.tobytes(), int(e) if e < 1 << 63 else None
 
-    return map_rows(trees.blocks, f"key {trees.key_type}, label {trees.label_type}, code binary, error long", rows)
+    return map_rows(trees.blocks, f"key {trees.key_type}, label {trees.label_type}, code binary, error long", rows, at_once=1)
 
 
 def compress(
