@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from areaindex.session import ensure_checkpoint_dir
+from areaindex.session import BROADCAST_BYTES, ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """The rows of ``docs`` whose ``on`` is not in ``gone``, a written table of one column.
+
+    Rows stay where they are while the measured size of ``gone`` allows a
+    broadcast; beyond it they are shuffled once.
+    """
+    n, text = gone.agg(F.count(F.lit(1)), F.sum(F.octet_length(col(on).cast("string")))).first()
+    small = 32 * n + (text or 0) <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone.hint("merge"), on, "left_anti")
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col(f"`{name}`")

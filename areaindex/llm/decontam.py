@@ -7,10 +7,11 @@ that word with its place, corpus words meet these few rare keys, the place tells
 where the window would lie, and length and position bounds drop what would not
 fit. What remains is confirmed word by word.
 
-Three passes over the texts: corpus counts of the benchmark's words, candidates,
-confirmation of the documents that have candidates. Candidates grow with the
-corpus, so texts meet them in a shuffle by document, once; what is filed per
-window is broadcast while its measured size allows.
+Two passes over the texts: corpus counts of the benchmark's words, and the
+windows themselves. A text meets the filed words in a broadcast join, and where
+one stands, only the few words around it go on to be compared; so no text is
+ever shuffled. What is filed is broadcast in blocks of a measured size, one for
+any but very large benchmarks.
 
 Defined results: a NULL or empty text has no words, no hits and is clean; items
 without words have no window; documents are told apart by id and text, so rows
@@ -24,9 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaindex.llm.common import col, written
-from areaindex.session import join_measured
+from areaindex.session import BROADCAST_BYTES, join_measured
 
 WINDOW = 13
+#: Words of a text that are cut out together.
+STRETCH = 64
 # A-Z become small letters, other ASCII characters but digits and small letters part words.
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PARTING = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -94,38 +97,63 @@ def overlap(
     end = filed.sparkSession.range(1).select(F.lit("").alias("word"), *[
         F.lit(None).cast(filed.schema[c].dataType).alias(c) for c in filed.columns if c != "word"
     ])
-    found = join_measured(
-        texts.select("row", "key", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("at", "word")),
-        filed.unionByName(end), ["word"], 64 * (n_filed or 0) + 24 * (width or 0),
+    placed = _placed(texts, window - 1)
+    n_blocks = max(1, -(-(64 * (n_filed or 0) + 24 * (width or 0)) // BROADCAST_BYTES))
+    found = None
+    for block in range(n_blocks):
+        part = filed.where(F.pmod(F.xxhash64("word"), F.lit(n_blocks)) == block) if n_blocks > 1 else filed
+        met = placed.join(F.broadcast(part if block else part.unionByName(end)), "word")
+        found = met if found is None else found.unionByName(met)
+    start = F.col("at") - F.col("place") + F.col("first")
+    ahead = start - F.col("held_from")  # where the segment starts among the words held; before them, it starts before the text
+    around = found.select(
+        "row", F.when(F.col("word") == "", F.col("key")).alias("key"), (F.col("word") == "").alias("is_end"), "at", "item_id",
+        start.alias("start"), "length", "segment",
+        F.slice("held", F.greatest(ahead, F.lit(0)) + 1, F.greatest(F.size("segment") + F.least(ahead, F.lit(0)), F.lit(0))).alias("around"),
     )
-    found = written(found.select(
-        "row", F.when(F.col("word") == "", F.col("key")).alias("key"), F.col("word") == "", "at", "item_id",
-        (F.col("at") - F.col("place") + F.col("first")).alias("start"), "length", "segment",
-    ).toDF("row", "key", "is_end", "at", "item_id", "start", "length", "segment"), "found")
+    found = written(around.select(
+        "row", "key", "is_end", "at", "item_id", "start", "length", F.when(~F.col("is_end"), _standing()).alias("windows")
+    ), "found")
     documents = found.where("is_end").select("row", "key", F.col("at").cast("long").alias("n_words"))
+    matches = (
+        found.where("NOT is_end").select("row", "item_id", "start", "length", F.explode("windows").alias("i"))
+        .select("row", "item_id", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + F.col("length")).alias("stop"))
+        .distinct()
+    )
+    return documents, matches
+
 
-    candidates = written(
-        found.where("NOT is_end").select("row", "item_id", "start", "length", "segment").distinct(), "candidates"
+def _placed(texts: DataFrame, reach: int) -> DataFrame:
+    """(row, key, at, word, held, held_from): every word, with the words of its stretch of the text and ``reach`` around it.
+
+    The empty word follows the last one. Texts are cut into stretches first, so
+    what a word carries does not grow with its text.
+    """
+    split = texts.select("row", "key", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
+    cut = split.select("row", "key", F.explode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("words") - 1) / STRETCH).cast("int")),
+        lambda i: F.struct(
+            (i * STRETCH).alias("base"), F.slice("words", i * STRETCH + 1, STRETCH).alias("own"),
+            F.greatest(i * STRETCH - reach, F.lit(0)).alias("held_from"),
+            F.slice(
+                "words", F.greatest(i * STRETCH - reach, F.lit(0)) + 1,
+                F.least(i * STRETCH, F.lit(reach)) + STRETCH + reach,
+            ).alias("held"),
+        ),
+    )).alias("cut")).select("row", "key", "cut.*")
+    return cut.select("row", "key", "base", "held", "held_from", F.posexplode("own").alias("in_stretch", "word")).withColumn(
+        "at", F.col("base") + F.col("in_stretch")
     )
-    named = candidates.select("row").distinct()
-    held = texts.select("row", "text").join(named.hint("merge"), "row", "left_semi").select("row", words(F.col("text")).alias("words"))
 
-    def matching(first: Column, length: Column) -> Column:
-        """Starts, within the document, of the windows of a segment that stand there whole."""
-        return F.filter(
-            F.sequence(F.lit(0), F.size("segment") - length),
-            lambda i: (first + i >= 0) & (first + i + length <= F.size("words"))
-            & (F.slice("words", F.greatest(first + i, F.lit(0)) + 1, length) == F.slice("segment", i + 1, length)),
-        )
 
-    matches = (
-        held.join(candidates.hint("merge"), "row")
-        .select("row", "item_id", "length", F.col("start").alias("base"), matching(F.col("start"), F.col("length")).alias("at"))
-        .select("row", "item_id", "length", "base", F.explode("at").alias("i"))
-        .select("row", "item_id", (F.col("base") + F.col("i")).alias("start"), (F.col("base") + F.col("i") + F.col("length")).alias("stop"))
-        .distinct()
+def _standing() -> Column:
+    """Starts, within the segment, of its windows that stand whole in the words around its anchor."""
+    start, length = F.col("start"), F.col("length")
+    return F.filter(
+        F.sequence(F.lit(0), F.size("segment") - length),
+        lambda i: (start + i >= 0)
+        & (F.slice("around", F.greatest(i + F.least(start, F.lit(0)), F.lit(0)) + 1, length) == F.slice("segment", i + 1, length)),
     )
-    return documents, matches
 
 
 def contamination(

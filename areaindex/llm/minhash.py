@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import col, map_rows, written
+from areaindex.llm.common import col, map_rows, without, written
 from areaindex.session import join_measured
 
 #: 46 bands of 6 values: two sets of similarity 0.8 share no band once in a million times,
@@ -337,4 +337,4 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     docs = one_per_id(docs, key, text)
     judged = _judged(docs, key, text, shingle, percent)
     gone = written(judged.where("NOT kept").select(col(key)), "duplicates")
-    return docs.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])
+    return without(docs, gone, key).select(*[col(c) for c in docs.columns])

@@ -12,7 +12,8 @@ task. Sequences that a group leaves with much room are opened again and their
 pieces dealt into a second round, so that grouping costs next to nothing.
 
 Defined results: a NULL or empty text is one piece that holds the end token
-only; rows that repeat an id are packed each; an empty table gives no rows;
+only; rows that repeat an id are packed each; NULL ids are kept and come last
+among pieces of equal length, and every other id stays exactly as it is; an empty table gives no rows;
 ties go to the earlier sequence, and pieces of equal length follow the id;
 further input columns are not read.
 """
@@ -24,7 +25,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,16 +117,19 @@ def _packed(pieces: DataFrame, limits: Limits, count: int, band: int, group_size
     names = [f.name for f in fields]
     key, schema = names[0], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", key, "piece"], ascending=[False, True, True], kind="stable")
-        sequence, offset = best_fit(frame["length"].to_numpy(), limits)
-        out = frame[names].copy()
-        out["sequence_id"] = (np.int64(2 * frame["group"].iloc[0] + band) << 32) + sequence
-        out["offset"] = offset
-        out["filled"] = np.bincount(sequence, frame["length"])[sequence].astype(np.int64)
+    def place(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, sort_keys=[("length", "descending"), (key, "ascending"), ("piece", "ascending")])
+        group = group.take(order)
+        lengths = group["length"].to_numpy()
+        sequence, offset = best_fit(lengths, limits)
+        base = (2 * group["group"][0].as_py() + band) << 32
+        filled = np.bincount(sequence, lengths)[sequence].astype(np.int64)
+        out = group.select(names)
+        for name, values in (("sequence_id", base + sequence), ("offset", offset), ("filled", filled)):
+            out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
-    return dealt.select(*names, "group").groupBy("group").applyInPandas(
+    return dealt.select(*[col(n) for n in names], "group").groupBy("group").applyInArrow(
         place, f"{schema}, sequence_id long, offset long, filled long"
     )
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.llm import rules
-from areaindex.llm.common import col, map_rows, written
+from areaindex.llm.common import col, map_rows, without, written
 from areaindex.llm.decontam import row_key
 from areaindex.session import BROADCAST_BYTES
 
@@ -153,23 +153,27 @@ def _judged(
     known = labels.where(col(label).isin(0, 1)).groupBy(col(key).alias("key")).agg(F.min(col(label)).cast("double").alias("label"))
     known = written(known, "labels")
     labelled = written(table.join(known, "key", "left"), "labelled")
-    counts = {r[0]: r[1] for r in labelled.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1))).collect()}
+    # ids, not rows: an id that repeats is one draw of the sample
+    named = written(labelled.where("label IS NOT NULL").groupBy("key").agg(
+        F.max("label").alias("label"), F.min_by(F.struct(*[c.alias(n) for n, c in evidence().items()]), "row").alias("inputs")
+    ), "named")
+    counts = {r[0]: r[1] for r in named.groupBy("label").agg(F.count(F.lit(1))).collect()}
     if len(counts) < 2:
         return table.select(
             F.col("row").alias("__row"), F.col("key").alias(key), *[F.lit(0.5).alias(c) for c in ("p_document", "p_host", "p_path", "p_quality")], F.lit(True).alias("kept")
         )
 
-    # the sample: rows of each label whose id's hash falls below a share that follows from their number
+    # the sample: ids of each label whose hash falls below a share that follows from their number
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE_ROWS / counts[1.0])).otherwise(min(1.0, SAMPLE_ROWS / counts[0.0]))
     inputs = evidence()
-    sample = labelled.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1_000_000)) / 1e6 < rate)).select(
-        F.xxhash64("key").alias("h"), *[c.alias(n) for n, c in inputs.items()], "label"
-    ).dropDuplicates(["h"]).limit(4 * SAMPLE_ROWS).toPandas().sort_values(["h"])
+    sample = named.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1_000_000)) / 1e6 < rate).select(
+        F.xxhash64("key").alias("h"), "inputs.*", "label"
+    ).limit(4 * SAMPLE_ROWS).toPandas().sort_values(["h"])
     if sample["label"].nunique() < 2:
         raise ValueError("the sample of labelled rows holds one label only")
     y = sample["label"].to_numpy()
     model = fit_logistic(sample[list(inputs)].to_numpy(float), y, tuple(inputs))
-    # the sample's balance is not the corpus's: the bias is moved to the true one
+    # the sample's balance is not that of all labelled ids: the bias is moved to the true one
     true, drawn = counts[1.0] / counts[0.0], y.sum() / (len(y) - y.sum())
     shift = float(np.log(true / drawn))
     scored = labelled.withColumn("odds", model.log_odds() + F.lit(shift)).withColumn("p", _sigmoid(F.col("odds"))).withColumn(
@@ -206,4 +210,4 @@ def keep_good(
     judged = _judged(docs, labels, key, text, host, path, label, threshold)
     rejected = written(judged.where("NOT kept").select("__row").distinct(), "rejected")
     keyed = docs.withColumn("__row", _row(key, text, host, path))
-    return keyed.join(rejected, "__row", "left_anti").select(*[col(c) for c in docs.columns])
+    return without(keyed, rejected, "__row").select(*[col(c) for c in docs.columns])

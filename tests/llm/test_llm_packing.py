@@ -82,3 +82,12 @@ def test_pieces_round_trip(spark, make_docs, babble):
 def test_crc_is_of_little_endian_ids(spark, make_docs):
     row = packing.token_pieces(make_docs([(1, "hello")]), PATH).select("ids", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(bytes(row.ids)) and bytes(row.ids).endswith(b"\0\0\0\0")
+
+
+def test_large_ids_beside_a_null_stay_exact(spark, make_docs):
+    big = 2**53 + 1
+    ids = [None, big, big + 2, None, 2**62 + 1]
+    docs = make_docs([(i, f"text {n}") for n, i in enumerate(ids)])
+    placed = packing.pack(packing.token_pieces(docs, PATH).drop("ids")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in placed) == sorted((i is None, i or 0) for i in ids)
+    assert dict(packing.pack(packing.token_pieces(docs, PATH).drop("ids")).dtypes)["doc_id"] == "bigint"

@@ -93,3 +93,13 @@ def test_rejections_hold_for_null_and_shared_ids(spark, make_docs, babble):
     odd = [(None, bad[1], "en", "a"), (None, good[1], "en", "a"), (3000, bad[1], "en", "a"), (3000, good[1], "en", "a")]
     left = quality.keep_good(make_docs([*rows, *odd]), labels_table(spark, labels)).where("doc_id IS NULL OR doc_id = 3000").collect()
     assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, good[1]), (3000, good[1])]
+
+
+def test_many_rows_of_one_labelled_id(spark, make_docs, babble):
+    """The sample and its balance are of ids: a copied bad document neither hides the good ones nor stops the fit."""
+    good = babble(40, low=40, high=80)
+    bad = " ".join(f"{w}###" for w in babble(1, seed=7)[0].split())
+    rows = [(i, t, "en", "a") for i, t in enumerate(good)] + [(500, bad, "en", "a")] * 20_000
+    labels = labels_table(spark, [*((i, 1, 0) for i in range(40)), (500, 0, 0), (500, 0, 1)])
+    got = quality.judge(make_docs(rows, extra=False), labels).select("doc_id", "kept").distinct().collect()
+    assert {r.doc_id: r.kept for r in got} == {**{i: True for i in range(40)}, 500: False}
