@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaindex.llm import decontam, minhash, packing, pii, quality
-from areaindex.llm.common import col, table, written
+from areaindex.llm.common import col, table, without, written
 from areaindex.llm.queries import vocabulary
 
 
@@ -30,7 +30,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = written(judged.where("contaminated").select(F.col("row").alias("__row")).distinct(), "contaminated")
     keyed = docs.withColumn("__row", decontam.row_key(F.col("doc_id"), F.col("text").cast("string")))
-    return keyed.join(bad, "__row", "left_anti").select(*[col(c) for c in docs.columns])
+    return without(keyed, bad, "__row").select(*[col(c) for c in docs.columns])
 
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
