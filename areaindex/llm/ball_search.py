@@ -49,6 +49,9 @@ QUERY_BYTES = 4 << 20
 BLOCK_TERMS = 1 << 16
 SEED_BLOCKS = 16
 LEAF = 64
+#: Bytes of trees that a task reads, and texts or counts that it turns into Python values at once.
+TASK_BYTES = 16 << 20
+AT_ONCE = 256
 # ASCII letters and digits and everything beyond ASCII form terms, A-Z as small letters.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -243,7 +246,7 @@ def counted(docs: DataFrame, vocabulary: dict[bytes, int], key: str, text: str)
                 yield k, len(words), [m[0] for m in mine], [m[1] for m in mine]
 
     return map_rows(
-        docs.select(col(key), col(text).cast("string")), f"key {kind}, n long, terms array<int>, counts array<long>", rows
+        docs.select(col(key), col(text).cast("string")), f"key {kind}, n long, terms array<int>, counts array<long>", rows, per_batch=AT_ONCE, at_once=AT_ONCE
     )
 
 
@@ -273,7 +276,9 @@ def index(counts: DataFrame, n_documents: int, n_terms: int, block_terms: int =
         if held:
             yield block()
 
-    table = map_rows(counts.where(F.size("terms") > 0), f"keys array<{kind}>, tree binary", rows, per_batch=1)
+    table = map_rows(
+        counts.where(F.size("terms") > 0), f"keys array<{kind}>, tree binary", rows, per_batch=1, at_once=AT_ONCE
+    )
     return table.withColumn("block", F.xxhash64("tree"))
 
 
@@ -338,7 +343,8 @@ def _rank_block(docs: DataFrame, items: list, item_kind: str, key: str, text: st
     if not queries:
         return None
     blocks = written(index(counts, n_documents, n_terms), "blocks")
-    n_blocks = blocks.count()
+    n_blocks, n_bytes = blocks.agg(F.count(F.lit(1)), F.sum(F.length("tree"))).first()
+    blocks = blocks.repartition(1 + (n_bytes or 0) // TASK_BYTES, "block")
     reached: dict[int, int] = {}
     if n_blocks > 2 * SEED_BLOCKS:
         some = blocks.where(F.pmod("block", F.lit(n_blocks // SEED_BLOCKS)) == 0)
