@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from areaindex.functions.clean import row_mean
 from areaindex.operators.weights import pca
 
-#: Points that a task should have at least in each round.
+#: Points that a task should have at least in each round, and rows that may be open in a run between two passes.
 TASK_POINTS = 20_000
-_COUNT, _COST = -1, -2
+OPEN_POINTS = 50_000
+_BANDS = 60
 
 
 def _uniform(h: np.ndarray, *place: int) -> np.ndarray:
@@ -72,50 +74,160 @@ def _starts(features: DataFrame, k: int, inits: int, seed: int) -> list[np.ndarr
     return [np.array(c) for c in chosen]
 
 
-def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """(cost, sizes, centres) of every run; one aggregate a round serves all runs that still move.
+def _points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct points of a batch and how many rows each stands for."""
+    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return x, batch.column(1).to_numpy().astype(float)
 
-    ``features`` has distinct points and how many rows each stands for.
-    A run ends when its centres move by a squared distance of ``still`` or less in total.
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest centre of every point, the squared distance to it, and how much further off the second one is."""
+    squares = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    near = squares.argmin(axis=1)
+    first = squares[np.arange(len(x)), near]
+    if len(centres) == 1:
+        return near, first, np.full(len(x), np.inf)
+    squares[np.arange(len(x)), near] = np.inf
+    return near, first, np.sqrt(squares.min(axis=1)) - np.sqrt(first)
+
+
+def _band(lead: np.ndarray, scale: float) -> np.ndarray:
+    """Band b holds leads from ``scale * 2**((b - BANDS) / 2)`` on; one rule for all passes, so no point falls between two."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(2 * np.log2(lead / scale)) + _BANDS, 0, _BANDS).astype(np.int64)
+
+
+def _moved(centres: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Centres at the mean of their points; an empty cluster keeps its centre."""
+    out = centres.copy()
+    held = sizes > 0
+    out[held] = sums[held] / sizes[held, None]
+    return out
+
+
+def _passed(features: DataFrame, centres: Mapping[int, np.ndarray], scale: float) -> dict[int, np.ndarray]:
+    """One pass over all points: for every run (clusters, bands, coordinates + 2) sums, sizes and costs.
+
+    A point is added up in the band of its lead, by which its second centre is
+    further off than its nearest.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {r: np.zeros((len(c), _BANDS + 1, c.shape[1] + 2)) for r, c in centres.items()}
+        for batch in batches:
+            x, n = _points(batch)
+            for r, c in centres.items() if len(x) else ():
+                near, cost, lead = _nearest(x, c)
+                np.add.at(sums[r], (near, _band(lead, scale)), np.column_stack([x, np.ones(len(x)), cost]) * n[:, None])
+        for r, total in sums.items():
+            held = np.flatnonzero(total.ravel())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(held), r, np.int32)), pa.array(held), pa.array(total.ravel()[held])], names=["run", "place", "value"]
+            )
+
+    found = features.mapInArrow(partial, "run int, place long, value double").groupBy("run", "place").agg(F.sum("value").alias("value"))
+    out = {r: np.zeros((len(c), _BANDS + 1, c.shape[1] + 2)) for r, c in centres.items()}
+    for r, place, value in found.collect():
+        out[r].ravel()[place] = value
+    return out
+
+
+@dataclass(frozen=True)
+class _Stretch:
+    """A run between two passes: its centres in the last pass, those now, and what cannot change in between.
+
+    Points of band ``cut`` and above have a lead of ``safe`` and keep their
+    centre while none moves by half of that; ``settled`` are their sums and sizes.
     """
-    results: list = [None] * len(centres)
-    active = list(range(len(centres)))
-    for _ in range(rounds):
-        now = {r: centres[r] for r in active}
 
-        def partial(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            sums = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in now.items()}
-            for batch in batches:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                n = batch.column(1).to_numpy().astype(float)
-                for r, c in now.items() if len(x) else ():
-                    distance = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
-                    near = distance.argmin(axis=1)
-                    part = np.column_stack([x, np.ones(len(x)), distance[np.arange(len(x)), near]]) * n[:, None]
-                    np.add.at(sums[r], near, part)
-            for r, total in sums.items():
-                places = [*range(total.shape[1] - 2), _COUNT, _COST]
+    seen: np.ndarray
+    now: np.ndarray
+    cut: int
+    safe: float
+    settled: np.ndarray
+    rounds: int
+
+
+def _advance(stretch: _Stretch, x: np.ndarray, n: np.ndarray, still: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Rounds over the open points only: (centres before the last move, centres, rounds, whether they stand still)."""
+    now, done = stretch.now, 0
+    weighted = np.column_stack([x, np.ones(len(x))]) * n[:, None]
+    while done < stretch.rounds:
+        if 2 * np.sqrt(((now - stretch.seen) ** 2).sum(axis=1).max()) >= stretch.safe:
+            return now, now, done, False
+        total = stretch.settled.copy()
+        if len(x):
+            np.add.at(total, _nearest(x, now)[0], weighted)
+        moved, done = _moved(now, total[:, :-1], total[:, -1]), done + 1
+        if ((moved - now) ** 2).sum() <= still:
+            return now, moved, done, True
+        before, now = now, moved
+    return now if not done else before, now, done, False
+
+
+def _advanced(features: DataFrame, stretches: Mapping[int, _Stretch], still: float, scale: float) -> dict[int, tuple]:
+    """``_advance`` of every run in a task of its own, over the points that are open in it."""
+    def open_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _points(batch)
+            for r, s in stretches.items() if len(x) else ():
+                mine = np.flatnonzero(_band(_nearest(x, s.seen)[2], scale) < s.cut)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(total.size, r, np.int32)), pa.array(np.repeat(np.arange(len(total), dtype=np.int32), len(places))),
-                    pa.array(np.tile(np.array(places, np.int32), len(total))), pa.array(total.ravel()),
-                ], names=["run", "cluster", "place", "value"])
-
-        found = (
-            features.mapInArrow(partial, "run int, cluster int, place int, value double")
-            .groupBy("run", "cluster", "place").agg(F.sum("value").alias("value")).toPandas()
-        )
-        for r in list(active):
-            table = found[found["run"] == r].pivot(index="cluster", columns="place", values="value")
-            sizes, cost = table[_COUNT].to_numpy(), float(table[_COST].sum())
-            moved = centres[r].copy()
-            held = sizes > 0  # an empty cluster keeps its centre
-            moved[held] = table[list(range(moved.shape[1]))].to_numpy()[held] / sizes[held, None]
-            results[r] = (cost, sizes, centres[r])
-            if ((moved - centres[r]) ** 2).sum() <= still:
-                active.remove(r)
-            centres[r] = moved
-        if not active:
-            break
+                    pa.array(np.full(len(mine), r, np.int32)), pa.array(x[mine].tolist(), pa.list_(pa.float64())), pa.array(n[mine])
+                ], names=["run", "point", "n"])
+
+    def advance(table: pa.Table) -> pa.Table:
+        r = table["run"][0].as_py()
+        x = np.array(table["point"].combine_chunks().flatten()).reshape(table.num_rows, -1)
+        order = np.lexsort(x.T[::-1])  # sums in one order, however the points arrive
+        before, now, rounds, ended = _advance(stretches[r], x[order], table["n"].to_numpy()[order], still)
+        return pa.table({
+            "run": pa.array([r], pa.int32()), "before": pa.array([before.ravel().tolist()]), "now": pa.array([now.ravel().tolist()]),
+            "rounds": pa.array([rounds], pa.int32()), "ended": pa.array([ended]),
+        })
+
+    rows = features.mapInArrow(open_points, "run int, point array<double>, n double").groupBy("run").applyInArrow(
+        advance, "run int, before array<double>, now array<double>, rounds int, ended boolean"
+    ).collect()
+    shape = {r: s.now.shape for r, s in stretches.items()}
+    return {r: (np.array(b).reshape(shape[r]), np.array(c).reshape(shape[r]), k, e) for r, b, c, k, e in rows}
+
+
+def _lloyd(features: DataFrame, centres: list[np.ndarray], rounds: int, still: float, scale: float = 1.0) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(cost, sizes, centres) of every run, each moved until its centres move by a squared distance of ``still`` or less.
+
+    ``features`` has distinct points and how many rows each stands for. A pass
+    over all points is one exact round of all runs that still move. It also
+    tells which points are far from changing their centre; the others, where
+    they are few enough for one task, are taken on by themselves for as many
+    rounds as the settled ones stay settled, which is exact as well.
+    """
+    final: dict[int, np.ndarray] = {}
+    now, left = dict(enumerate(centres)), dict.fromkeys(range(len(centres)), rounds)
+    while now:
+        stretches = {}
+        for r, total in _passed(features, now, scale).items():
+            seen, whole = now[r], total.sum(axis=1)
+            moved, left[r] = _moved(seen, whole[:, :-2], whole[:, -2]), left[r] - 1
+            if ((moved - seen) ** 2).sum() <= still or not left[r]:
+                final[r] = seen
+                del now[r]
+                continue
+            now[r] = moved
+            below = np.cumsum(total[:, :, -2].sum(axis=0))  # rows up to each band, at least as many as points
+            cut = int(np.searchsorted(below, OPEN_POINTS, side="right"))  # the first band that would be too many
+            safe = np.inf if cut > _BANDS else scale * 2.0 ** ((cut - _BANDS) / 2) * (1 - 1e-9) if cut else 0.0
+            drift = 2 * np.sqrt(((moved - seen) ** 2).sum(axis=1).max())
+            if drift < safe:
+                stretches[r] = _Stretch(seen, moved, cut, safe, np.delete(total[:, cut:].sum(axis=1), -1, axis=1), left[r])
+        for r, (before, after, done, ended) in (_advanced(features, stretches, still, scale) if stretches else {}).items():
+            now[r], left[r] = after, left[r] - done
+            if ended or not left[r]:
+                final[r] = before
+                del now[r]
+    results = []
+    for r, total in sorted(_passed(features, final, scale).items()):
+        whole = total.sum(axis=1)
+        results.append((float(whole[:, -1].sum()), whole[:, -2], final[r]))
     return results
 
 
@@ -144,7 +256,7 @@ def kmeans_labels(
         shared = features.coalesce(max(1, min(features.rdd.getNumPartitions(), count // TASK_POINTS)))
         means = features.agg(*[F.sum(v * F.col("__n")) / F.sum("__n") for v in values]).first()
         spread = features.agg(*[F.sum(F.pow(v - F.lit(float(m)), 2) * F.col("__n")) / F.sum("__n") for v, m in zip(values, means)]).first()
-        runs = _lloyd(shared, _starts(shared, k, inits, seed), rounds, tol * float(np.mean(spread)))
+        runs = _lloyd(shared, _starts(shared, k, inits, seed), rounds, tol * float(np.mean(spread)), float(np.sqrt(np.sum(spread))) or 1.0)
         _, sizes, centres = min(runs, key=lambda run: float(f"{run[0]:.9e}"))
     finally:
         features.unpersist()

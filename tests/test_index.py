@@ -259,3 +259,39 @@ def test_kmeans_starts_are_drawn_by_count_and_squared_distance(spark):
     assert [np.mean([f == v for f in first]) for v in (0.0, 3.0, 4.0)] == pytest.approx([.1, .6, .3], abs=.03)
     after = [float(s[1, 0]) for s in starts if s[0, 0] == 3.0]  # 1 * 9 against 3 * 1
     assert np.mean([v == 0.0 for v in after]) == pytest.approx(.75, abs=.03)
+
+
+def plain_lloyd(x, n, centres, rounds, still):
+    """Every point compared in every round."""
+    for _ in range(rounds):
+        near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = centres.copy()
+        for c in range(len(centres)):
+            if n[near == c].sum():
+                moved[c] = (x[near == c] * n[near == c, None]).sum(axis=0) / n[near == c].sum()
+        if ((moved - centres) ** 2).sum() <= still:
+            break
+        centres = moved
+    near = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    return (near.min(axis=1) * n).sum(), np.bincount(near.argmin(axis=1), n, len(centres)), centres
+
+
+@pytest.mark.parametrize("open_points", [0, 40, 400, 50_000])
+def test_rounds_over_open_points_equal_rounds_over_all(spark, monkeypatch, open_points):
+    monkeypatch.setattr(cluster, "OPEN_POINTS", open_points)
+    passes = []
+    passed = cluster._passed
+    monkeypatch.setattr(cluster, "_passed", lambda *a: passes.append(1) or passed(*a))
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(400, 3)) + c for c in ([0, 0, 0], [3, 0, 0], [0, 4, 0], [9, 9, 9])])
+    n = rng.integers(1, 4, len(x))
+    features = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, n)], "__v array<double>, __n long").repartition(4).persist()
+    starts = [x[rng.choice(len(x), 5, replace=False)] for _ in range(4)]
+    got = cluster._lloyd(features, [s.copy() for s in starts], 300, 1e-9, 5.0)
+    for (cost, sizes, centres), start in zip(got, starts):
+        want = plain_lloyd(x, n.astype(float), start, 300, 1e-9)
+        assert cost == pytest.approx(want[0]) and sizes.tolist() == want[1].tolist() and np.allclose(centres, want[2])
+    assert len(passes) <= {0: 300, 40: 60, 400: 30, 50_000: 2}[open_points]
+    short = cluster._lloyd(features, [starts[0].copy()], 2, 0.0, 5.0)[0]
+    assert np.allclose(short[2], plain_lloyd(x, n.astype(float), starts[0], 1, 0.0)[2])
+    features.unpersist()
