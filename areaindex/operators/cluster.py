@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.functions.clean import row_mean
+from areaindex.functions.draws import uniform
 from areaindex.operators.weights import pca
 
 #: Points that a task should have at least in each round, and rows that may be open in a run between two passes.
@@ -21,18 +22,6 @@ OPEN_POINTS = 50_000
 _BANDS = 60
 
 
-def _uniform(h: np.ndarray, *place: int) -> np.ndarray:
-    """Numbers between 0 and 1 that follow from a point's hash and the place of the draw."""
-    with np.errstate(over="ignore"):
-        x = h.astype(np.int64).view(np.uint64)
-        for p in place:
-            x = x + np.uint64(0x9E3779B97F4A7C15) * np.uint64(p + 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
-
-
 def _starts(features: DataFrame, k: int, inits: int, seed: int) -> list[np.ndarray]:
     """k-means++ over all points, one pass a centre for all runs.
 
@@ -54,7 +43,7 @@ def _starts(features: DataFrame, k: int, inits: int, seed: int) -> list[np.ndarr
                     weight = n * np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) if step else n
                     open_ = np.flatnonzero(weight > 0)
                     if len(open_):
-                        wait = -np.log(_uniform(h[open_], seed, r, step)) / weight[open_]
+                        wait = -np.log(uniform(h[open_], seed, r, step)) / weight[open_]
                         least = wait.min()
                         found = min((float(least), x[i].tolist()) for i in open_[wait == least])
                         best[r] = min(best.get(r, found), found)

@@ -1,24 +1,26 @@
 """Multiple imputation by chained equations, with the data passes on Spark.
 
 Rows without gaps never change, so their share of every regression is summed
-once. Only rows with gaps are repeated per run and revisited; each visit sums a
-small cross-product matrix per run on the executors, the driver solves it, and
-the draws are Spark columns again.
+once. Of rows with gaps only the imputed columns are kept per run, as an array.
+A visit is one pass over these: tasks bring the rows up to date with the models
+of the visits since they were last stored, once a sweep, and add up one
+cross-product matrix per run; the driver solves these small matrices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
-from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areaindex.functions.clean import clip_to, matching_columns
-from areaindex.functions.geometry import let
+from areaindex.functions.draws import uniform
 from areaindex.session import checkpointed
 
 # Indicators to impute by name.
@@ -116,18 +118,33 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < _TAIL, tail(p)).when(p > 1 - _TAIL, -tail(1 - p)).otherwise(centre)
 
 
-def truncated_normal(mean: Column, sd: Column, u: Column, low: float | None) -> Column:
-    """Draw above ``low`` for a uniform ``u``; a mean at or below ``low`` gives ``low``."""
-    if low is None:
-        return mean + sd * normal_quantile(u)
+def _cdf(x: np.ndarray) -> np.ndarray:
+    """``normal_cdf`` of arrays."""
+    z = np.abs(x)
+    t = 1 / (1 + _CDF_SCALE * z)
+    tail = np.exp(-z * z / 2) * 0.3989422804014327 * np.polyval(_CDF, t)
+    return np.where(x < 0, tail, 1 - tail)
+
+
+def _quantile(p: np.ndarray) -> np.ndarray:
+    """``normal_quantile`` of arrays."""
+    c = p - 0.5
+    r = c * c
+    centre = c * np.polyval(_CENTRE_NUM, r) / np.polyval(_CENTRE_DEN, r)
+    t = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+    tail = np.polyval(_TAIL_NUM, t) / np.polyval(_TAIL_DEN, t)
+    return np.where(p < _TAIL, tail, np.where(p > 1 - _TAIL, -tail, centre))
 
-    def draw(s: Column) -> Column:
-        below = normal_cdf((F.lit(low) - s["m"]) / s["s"])
-        share = F.least(below + s["u"] * (1 - below), F.lit(1 - 1e-12))
-        value = let(share, lambda p: F.greatest(F.lit(low), s["m"] + s["s"] * normal_quantile(p)))
-        return F.when(s["m"] <= low, F.lit(low)).when(s["s"] <= 0, s["m"]).otherwise(value)
 
-    return let(F.struct(mean.alias("m"), sd.alias("s"), u.alias("u")), draw)
+def truncated_normal(mean: np.ndarray, sd: np.ndarray, u: np.ndarray, low: float | None) -> np.ndarray:
+    """Draws above ``low`` for uniform ``u``; a mean at or below ``low`` gives ``low``."""
+    if low is None:
+        return mean + sd * _quantile(u)
+    spread = np.where(sd > 0, sd, 1.0)
+    below = _cdf((low - mean) / spread)
+    share = np.minimum(below + u * (1 - below), 1 - 1e-12)
+    value = np.maximum(low, mean + spread * _quantile(share))
+    return np.where(mean <= low, low, np.where(sd <= 0, mean, value))
 
 
 def imputable_columns(df: DataFrame) -> list[str]:
@@ -137,23 +154,43 @@ def imputable_columns(df: DataFrame) -> list[str]:
     return sorted({*named, *matching_columns(df, SERVICE_PREFIXES, SERVICE_METRICS)})
 
 
-def _products(cols: Sequence[str], centre: Mapping[str, float], prefix: str, when: Column | None = None):
-    """Sums of 1, x and x * x' over centred columns, as aggregate expressions."""
-    terms = [F.lit(1.0), *[F.col(c) - F.lit(centre[c]) for c in cols]]
-    return [
-        F.sum(F.when(when, terms[i] * terms[j]) if when is not None else terms[i] * terms[j]).alias(f"{prefix}{i}_{j}")
-        for i in range(len(terms)) for j in range(i, len(terms))
-    ]
+def _centred(array: pa.Array, centre: np.ndarray) -> np.ndarray:
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), len(centre)) - centre
+
 
+def _sums(runs: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
+    """Cross-product matrices as rows (run, cell, value)."""
+    cells = parts[0].size if parts else 0
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.repeat(np.array(runs, np.int32), cells)), pa.array(np.tile(np.arange(cells, dtype=np.int32), len(parts))),
+        pa.array(np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)),
+    ], names=["run", "cell", "value"])
 
-def _matrix(row, prefix: str, size: int) -> np.ndarray:
-    out = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i, size):
-            out[i, j] = out[j, i] = row[f"{prefix}{i}_{j}"] or 0.0
+
+def _added(parts: DataFrame, size: int) -> dict[int, np.ndarray]:
+    """Matrices per run, added up over all tasks."""
+    out: dict[int, np.ndarray] = {}
+    for run, cell, value in parts.groupBy("run", "cell").agg(F.sum("value").alias("value")).collect():
+        out.setdefault(run, np.zeros((size, size))).ravel()[cell] = value
     return out
 
 
+def cross_products(df: DataFrame, cols: Sequence[str], centre: Sequence[float]) -> np.ndarray:
+    """Sums of 1, x and x * x' over centred columns, of rows that have them all; one matrix per task is shuffled."""
+    middle = np.array(centre)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(middle) + 1, len(middle) + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), _centred(batch.column(0), middle)])
+            total += x.T @ x
+        yield _sums([0], [total])
+
+    values = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    size = len(middle) + 1
+    return _added(values.mapInArrow(partial, "run int, cell int, value double"), size).get(0, np.zeros((size, size)))
+
+
 def _ridge(cross: np.ndarray, target: int):
     """Bayesian ridge regression from cross products alone.
 
@@ -186,36 +223,79 @@ def _ridge(cross: np.ndarray, target: int):
     return mean[target] - weights @ mean[others], weights, cov, mean[others], 1.0 / noise
 
 
-def _literal(values: np.ndarray) -> str:
-    """Nested array literal. It is folded to one constant, which generated code
-    refers to rather than contains, so it need not be compiled again per visit."""
-    if values.ndim == 0:
-        return f"double('{float(values)!r}')"
-    return f"array({', '.join(_literal(v) for v in values)})"
-
-
-def _posterior(cols: Sequence[str], centre: Mapping[str, float], target: str, models) -> tuple[Column, Column]:
-    """Predictive mean and sd as columns; ``models`` holds one regression per run.
-
-    The variance is noise + |L' (x - mean)|**2, with L L' the coefficient covariance.
-    """
-    others = [c for c in cols if c != target]
-    middle = np.array([centre[c] for c in others])
-    factors = [np.linalg.cholesky(m[2] + 1e-18 * np.eye(len(others))).T for m in models]
-
-    def per_run(values) -> str:
-        return f"{_literal(np.array(values))}[imputation_run]"
-
-    def dot(a: str, b: str) -> str:
-        return f"aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0D, (total, v) -> total + v)"
-
-    x = f"array({', '.join(f'`{c}`' for c in others)})"
-    start = per_run([m[0] - m[1] @ middle + centre[target] for m in models])
-    mean = f"{dot(x, per_run([m[1] for m in models]))} + {start}"
-    offsets = per_run([f @ (m[3] + middle) for f, m in zip(factors, models)])
-    along = f"zip_with(transform({per_run(factors)}, line -> {dot(x, 'line')}), {offsets}, (v, at) -> v - at)"
-    noise = per_run([m[4] for m in models])
-    return F.expr(mean), F.expr(f"sqrt({noise} + aggregate({along}, 0D, (total, v) -> total + v * v))")
+@dataclass(frozen=True)
+class _Visit:
+    """What the draws of one visit follow: the regression of ``target`` on all other columns, per run."""
+
+    target: int
+    place: tuple[int, ...]
+    low: float | None
+    start: np.ndarray
+    weights: np.ndarray
+    middle: np.ndarray
+    factors: np.ndarray
+    noise: np.ndarray
+
+    @staticmethod
+    def of(target: int, place: tuple[int, ...], low: float | None, models: Sequence[tuple]) -> _Visit:
+        start, weights, covariance, middle, noise = (np.array([m[i] for m in models]) for i in range(5))
+        # the variance of a mean is |L' (x - middle)|**2, with L L' the covariance of the weights
+        factors = np.array([np.linalg.cholesky(c + 1e-18 * np.eye(len(c))) for c in covariance])
+        return _Visit(target, place, low, start, weights, middle, factors, noise)
+
+    def draw(self, x: np.ndarray, gaps: np.ndarray, runs: np.ndarray, hashes: np.ndarray) -> None:
+        """Fill the gaps of the target, in place; ``x`` is centred."""
+        others = np.delete(np.arange(x.shape[1]), self.target)
+        for run in np.unique(runs):
+            mine = np.flatnonzero(gaps[:, self.target] & (runs == run))
+            if not len(mine):
+                continue
+            given = x[np.ix_(mine, others)]
+            mean = self.start[run] + given @ self.weights[run]
+            sd = np.sqrt(self.noise[run] + (((given - self.middle[run]) @ self.factors[run]) ** 2).sum(axis=1))
+            x[mine, self.target] = truncated_normal(mean, sd, uniform(hashes[mine], *self.place, int(run)), self.low)
+
+
+_STATE = "__id long, imputation_run int, h long, gaps array<boolean>, x array<double>"
+
+
+def _replayed(batch: pa.RecordBatch, centre: np.ndarray, visits: Sequence[_Visit]):
+    """(centred values, gaps, runs) of a batch of the state, after the visits."""
+    x = _centred(batch.column(4), centre)
+    gaps = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(x.shape)
+    runs, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    for visit in visits:
+        visit.draw(x, gaps, runs, hashes)
+    return x, gaps, runs
+
+
+def _observed(state: DataFrame, centre: np.ndarray, visits: Sequence[_Visit], target: int) -> dict[int, np.ndarray]:
+    """Cross products per run of the state's rows that have the target, after the visits since it was stored."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x, gaps, runs = _replayed(batch, centre, visits)
+            for run in np.unique(runs):
+                mine = x[(runs == run) & ~gaps[:, target]]
+                with_one = np.column_stack([np.ones(len(mine)), mine])
+                total[run] = total.get(run, 0.0) + with_one.T @ with_one
+        yield _sums(list(total), list(total.values()))
+
+    return _added(state.mapInArrow(partial, "run int, cell int, value double"), len(centre) + 1)
+
+
+def _after(state: DataFrame, centre: np.ndarray, visits: Sequence[_Visit]) -> DataFrame:
+    """The state with the draws of the visits."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _replayed(batch, centre, visits)[0] + centre
+            offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+            drawn = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], drawn], names=["__id", "imputation_run", "h", "gaps", "x"])
+
+    return state.mapInArrow(apply, _STATE)
 
 
 def impute_chained(
@@ -243,50 +323,37 @@ def impute_chained(
     visits = sorted([c for c in cols if facts[f"g_{c}"]], key=lambda c: (facts[f"g_{c}"], cols.index(c)))
     run_ids = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
 
-    gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]) if cols else F.lit(False)
-    full = base.where(~gap)
+    gap = F.exists(F.array(*[F.col(c) for c in cols]), lambda v: v.isNull()) if cols else F.lit(False)
+    # tied to the partition, so that the planner takes it as it is: what it derives from a condition on
+    # many columns doubles with each column that is renamed or converted
+    marked = base.withColumn("__open", F.when(F.spark_partition_id() >= 0, gap))
+    full = marked.where("NOT __open").drop("__open")
     result = full.withColumn("imputation_run", run_ids)
     if visits and len(cols) > 1:
-        size = len(cols) + 1
-        fixed = _matrix(full.agg(*_products(cols, centre, "p")).first(), "p", size)
+        middle = np.array([centre[c] for c in cols])
+        fixed = cross_products(full, cols, middle)
+        # numbered and stored once; what is visited holds the imputed columns only
+        rows = checkpointed(marked.where("__open").drop("__open").withColumn("__id", F.monotonically_increasing_id()))
         # Visited many times over, so the rows are spread evenly first.
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        state = checkpointed(
-            base.where(gap)
-            .withColumns({f"__gap_{c}": F.col(c).isNull() for c in visits})
-            .withColumns({c: F.coalesce(F.col(c), F.lit(centre[c])) for c in cols})
-            .withColumn("imputation_run", run_ids).repartition(tasks, *key, "imputation_run")
-        )
+        state = checkpointed(rows.withColumn("imputation_run", run_ids).select(
+            "__id", "imputation_run", F.xxhash64(*[F.col(k) for k in key]).alias("h"),
+            F.array(*[F.col(c).isNull() for c in cols]).alias("gaps"),
+            F.array(*[F.coalesce(F.col(c), F.lit(centre[c])) for c in cols]).alias("x"),
+        ).repartition(tasks, "__id", "imputation_run"))
         lows = {c: min_value.get(c) if isinstance(min_value, Mapping) else min_value for c in visits}
-        sampled = {
-            low: truncated_normal(F.col("__mean"), F.col("__sd"), F.col("__u"), low) for low in set(lows.values())
-        }
-        sums = {c: _products(cols, centre, "p", ~F.col(f"__gap_{c}")) for c in visits}
-        cached: list[DataFrame] = []
         for sweep in range(sweeps):
-            for target in visits:
-                rows = state.groupBy("imputation_run").agg(*sums[target]).collect()
-                while len(cached) > 1:  # the pass above has filled the latest; those before are not read again
-                    cached.pop(0).unpersist()
-                part = {r["imputation_run"]: _matrix(r, "p", size) for r in rows}
-                models = [_ridge(fixed + part.get(r, 0.0), cols.index(target) + 1) for r in range(runs)]
-                mean, sd = _posterior(cols, centre, target, models)
-                # One text for what changes per visit, which keeps it out of generated code too.
-                visit = F.lit(f"{target}|{sweep}|{seed}")
-                bits = F.xxhash64(*[F.col(k) for k in key], visit, F.col("imputation_run"))
-                uniform = (F.pmod(bits, F.lit(2 ** 52)).cast("double") + 0.5) / F.lit(float(2 ** 52))
-                drawn = F.when(F.col(f"__gap_{target}"), sampled[lows[target]]).otherwise(F.col(target))
-                # The next visit reads these draws: its pass over them also fills the cache.
-                state = (
-                    state.withColumns({"__mean": mean, "__sd": sd, "__u": uniform})
-                    .withColumn(target, drawn).drop("__mean", "__sd", "__u").persist()
-                )
-                cached.append(state)
-            state = checkpointed(state)
-            for frame in cached:
-                frame.unpersist()
-            cached.clear()
-        result = result.unionByName(state.drop(*[f"__gap_{c}" for c in visits]))
+            made: list[_Visit] = []
+            for c in visits:
+                target = cols.index(c)
+                part = _observed(state, middle, made, target)
+                models = [_ridge(fixed + part.get(r, 0.0), target + 1) for r in range(runs)]
+                low = None if lows[c] is None else lows[c] - centre[c]
+                made.append(_Visit.of(target, (seed, sweep, target), low, models))
+            state = checkpointed(_after(state, middle, made))
+        filled = state.select("__id", "imputation_run", "x")
+        done = rows.join(filled, "__id").withColumns({c: F.coalesce(F.col(c), F.col("x")[cols.index(c)]) for c in visits})
+        result = result.unionByName(done.select(*result.columns))
     elif visits:
         only = visits[0]
         result = base.withColumn("imputation_run", run_ids).withColumn(only, F.coalesce(only, F.lit(centre[only])))

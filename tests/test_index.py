@@ -295,3 +295,33 @@ def test_rounds_over_open_points_equal_rounds_over_all(spark, monkeypatch, open_
     short = cluster._lloyd(features, [starts[0].copy()], 2, 0.0, 5.0)[0]
     assert np.allclose(short[2], plain_lloyd(x, n.astype(float), starts[0], 1, 0.0)[2])
     features.unpersist()
+
+
+def test_normal_functions_of_arrays_agree_with_columns(spark):
+    p = np.r_[1e-9, .01, .02425, .3, .5, .97574, .98, 1 - 1e-9]
+    rows = spark.createDataFrame([(float(v),) for v in p], "p double").select(
+        impute.normal_quantile(F.col("p")).alias("q"), impute.normal_cdf(F.col("p") * 6 - 3).alias("c")
+    ).collect()
+    assert np.allclose([r.q for r in rows], impute._quantile(p), rtol=1e-12) and np.allclose([r.c for r in rows], impute._cdf(p * 6 - 3), rtol=1e-12)
+    drawn = impute.truncated_normal(np.array([5.0, 0.0, -3.0, 4.0]), np.array([1.0, 1.0, 1.0, 0.0]), np.full(4, .5), 0.0)
+    assert drawn[0] == pytest.approx(5, abs=1e-5) and drawn[1:].tolist() == [0.0, 0.0, 4.0]
+
+
+def test_imputation_of_thirty_columns(spark):
+    """One matrix per run and visit serves a wide panel; what was seen stays, and gaps follow their regression."""
+    rng = np.random.default_rng(4)
+    factors, loads = rng.normal(size=(600, 3)), rng.normal(size=(3, 30))
+    x = factors @ loads + .1 * rng.normal(size=(600, 30)) + 50
+    seen = rng.random((600, 30)) > .03
+    seen[:, :20] = True
+    cols = [f"c{i:02d}" for i in range(30)]
+    rows = [(i, *[float(v) if s else None for v, s in zip(vs, ss)]) for i, (vs, ss) in enumerate(zip(x, seen))]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols)).withColumn("note", F.lit("n"))
+    out = impute.impute_chained(df, ["id"], cols, runs=2, sweeps=2)
+    assert out.columns == [*df.columns, "imputation_run"] and out.count() == 1200
+    for r in range(2):
+        got = out.where(F.col("imputation_run") == r).orderBy("id").toPandas()[cols].to_numpy()
+        assert (got[seen] == x[seen]).all() and np.abs(got[~seen] - x[~seen]).std() < .3
+    whole = impute.cross_products(df.na.drop(), cols, [50.0] * 30)
+    full = np.column_stack([np.ones(seen.all(axis=1).sum()), x[seen.all(axis=1)] - 50])
+    assert np.allclose(whole, full.T @ full)
