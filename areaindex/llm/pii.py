@@ -6,9 +6,10 @@ several spellings, set into text of the sample. It reads overlapping windows;
 each is decoded by itself, and the spans of all windows of a text are reconciled
 at once: pieces cut by a window's edge are joined, then the set of spans that do
 not overlap and have the largest total score is taken. A decoded span counts
-only if it holds an anchor (a digit or @) and its kind's check holds; therefore
-windows without an anchor cannot add a span, and are decoded only where a span
-of the window beside them is cut, until no span is cut at a window left out.
+only if its kind's check holds, and every value that passes one holds an anchor:
+a digit, an @, or 16 visible ASCII characters in a row, as a secret of letters
+has. So windows without an anchor cannot add a span, and are decoded only where a
+span of the window beside them is cut, until no span is cut at a window left out.
 
 Defined results: a NULL or empty text has no spans; positions are code points,
 ends exclusive; base spans of different kinds may overlap, spans of the network
@@ -36,7 +37,9 @@ WINDOW, STRIDE = 128, 64
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 1000
 MIN_SCORE = 2.0
 _DECODE = 256
-_ANCHOR = re.compile("[0-9@]")
+#: What every value of a kind holds: a digit, an @, or so many visible ASCII characters in a row.
+_SECRET_LENGTH = 16
+_ANCHOR = re.compile(f"[0-9@]|[!-~]{{{_SECRET_LENGTH},}}")
 _DIGIT = re.compile("[0-9]")
 
 # The base patterns. Runs are entered at their start only, where
@@ -104,7 +107,7 @@ def plausible(kind: str, value: str) -> bool:
         return 13 <= len(number) <= 19 and luhn(number) and set(value) <= set("0123456789 -.")
     if kind == "phone":
         return 8 <= len(number) <= 15 and set(value) <= set("0123456789 -.()+/") and any(c in " -.()+/" for c in value)
-    return len(value) >= 16 and number != value and bool(number) and value.isascii() and not any(c.isspace() for c in value)
+    return len(value) >= _SECRET_LENGTH and number != value and value.isascii() and not any(c.isspace() for c in value)
 
 
 # --- labelled spans ------------------------------------------------------------
@@ -132,7 +135,8 @@ def _generated(kind: str, rng: np.random.Generator) -> str:
     if kind == "phone":
         a, b, c = number(3), number(3), number(4)
         return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a[:2]}/{b}{c}"])
-    return pick([letters(24, 48, "0123456789abcdef"), letters(20, 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")])
+    return pick([letters(24, 48, "0123456789abcdef"), letters(20, 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
+                 letters(20, 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")])
 
 
 def _harmless(rng: np.random.Generator) -> str:
@@ -269,7 +273,7 @@ def added_spans(model: BiLstmCrf, texts: list[str], bases: list[list[tuple]], mi
         wanted: set[int] = set()
         for m in _ANCHOR.finditer(text):
             k = m.start() // STRIDE
-            wanted.update((k - 1, k) if k else (0,))
+            wanted.update(range(max(k - 1, 0), (m.end() - 1) // STRIDE + 1))
         starts = window_starts(len(text))
         jobs += [(n, k * STRIDE) for k in sorted(wanted) if k < len(starts)]
         if wanted:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,26 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ablations_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{policy}' AS policy, '{name}' AS rule, {rules.mask_of(rules.POLICIES[policy])} AS mask, {rules.mask_of([name])} AS bit"
+        for policy in rules.POLICIES for name in rules.POLICIES[policy]
+    )
+    return f"""
+WITH ledger AS ({_rules_sql()}), tried AS ({parts})
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only,
+       count(*) FILTER (failed & mask = 0) AS n_kept, count(*) FILTER (failed & mask = 0 OR failed & mask = bit) AS n_kept_without
+FROM ledger, tried GROUP BY policy, rule"""
+
+
+@query("rule_ablations", _ablations_sql())
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule costs under every policy version, from one ledger that is written once."""
+    entries = written(rules.ledger(table(spark, sf_dir, "documents")).select("failed"), "ledger")
+    tried = [rules.ablations(entries, policy).select(F.lit(policy).alias("policy"), "*") for policy in rules.POLICIES]
+    return reduce(DataFrame.unionByName, tried)
+
+
 @query("op5_minmax_dedup", """
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,8 +1,9 @@
 """WARC records in ZIP packages, written by tasks and read back by ranges.
 
 A package is a ZIP file whose members are stored, not compressed: the records,
-each a gzip member of its own, an index with one line per record, and a short
-description. A reader needs the tail of the file, the central directory and the
+each a gzip member of its own, an index with one line per record (sort key, time,
+JSON object), and a short description. Packages of other writers may hold several
+archives and indexes under any names, records also uncompressed. A reader needs the tail of the file, the central directory and the
 index; it then reads any record with one range request, and extracts nothing.
 ZIP64 directories and extra fields are read wherever they stand and written when
 a size needs them or when asked for.
@@ -39,7 +40,8 @@ RECORDS, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapacka
 #: Bytes of records after which a task begins a new package.
 PACKAGE_BYTES = 32 << 20
 _RANGE = 4 << 20
-_DATE = "1970-01-01T00:00:00Z"
+_TASK_BYTES = 64 << 20
+_DATE, _TIME = "1970-01-01T00:00:00Z", "19700101000000"
 
 
 # --- ZIP ---------------------------------------------------------------------
@@ -166,7 +168,7 @@ def record_bytes(kind: str, ident, url: str | None, payload: bytes, digest: str,
 
 def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """Record headers, HTTP headers and payload of one gzip member."""
-    plain = zlib.decompress(data, 31)
+    plain = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = plain.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -225,7 +227,8 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
         data, index = bytearray(), []
         for ident, url, payload, digest, n_bytes, kind, refers_to in items:
             record = record_bytes(kind, ident, url, payload or b"", digest, n_bytes, refers_to)
-            index.append(json.dumps({"offset": len(data), "length": len(record)}) + "\n")
+            place = {"url": url or "", "digest": f"sha1:{digest}", "offset": str(len(data)), "length": str(len(record)), "filename": RECORDS.rpartition("/")[2]}
+            index.append(f"{sort_key(url)} {_TIME} {json.dumps(place)}\n")
             data += record
             if len(data) >= package_bytes:
                 yield close(data, index)
@@ -236,8 +239,47 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
     return map_rows(records, "path string, n_records long, n_bytes long", rows)
 
 
+def sort_key(url: str | None) -> str:
+    """The key of an index line: the host's labels from the last to the first, then port and path; ``-`` without a host."""
+    _, found, rest = (url or "").partition("://")
+    host, slash, path = rest.partition("/")
+    if not found or not host:
+        return "-"
+    name, _, port = host.rpartition("@")[2].partition(":")
+    key = ",".join(reversed(name.lower().split("."))) + (f":{port}" if port else "") + ")" + (slash + path or "/")
+    return "".join(key.split()) or "-"
+
+
+def index_places(lines: bytes, archives: dict[str, tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(at, length) within the package for every line of an index.
+
+    A line is a JSON object, by itself or after a key and a time. It names its
+    archive by file name or by the member's whole name; it need not where the
+    package holds one archive only.
+    """
+    by_name = {**{name.rpartition("/")[2]: place for name, place in archives.items()}, **archives}
+    for line in lines.splitlines():
+        brace = line.find(b"{")
+        if brace < 0:  # blank, or a header
+            continue
+        entry = json.loads(line[brace:])
+        if "offset" not in entry or "length" not in entry:
+            continue
+        named = entry.get("filename")
+        if named is None and len(archives) == 1:
+            place = next(iter(archives.values()))
+        elif named in by_name:
+            place = by_name[named]
+        else:
+            raise ValueError(f"an index line names an archive that the package does not hold: {named}")
+        at, length = int(entry["offset"]), int(entry["length"])
+        if at < 0 or length < 0 or at + length > place[1]:
+            raise ValueError("an index line points behind its archive")
+        yield place[0] + at, length
+
+
 def index_entries(packages: DataFrame, folder: str) -> DataFrame:
-    """(path, at, length) of every record, from the directories and indexes of the packages."""
+    """(path, at, length) of every record, from the directories and all indexes of the packages."""
     def rows(items: Iterator[tuple]) -> Iterator[tuple]:
         from pyarrow import fs
 
@@ -245,16 +287,21 @@ def index_entries(packages: DataFrame, folder: str) -> DataFrame:
         for (path,) in items:
             with store.open_input_file(path) as file:
                 members = stored_members(file, file.size())
-                start, size = members[RECORDS]
-                for line in read_range(file, *members[INDEX]).splitlines():
-                    entry = json.loads(line)
-                    if entry["offset"] + entry["length"] > size:
-                        raise ValueError(f"an index line of {path} points behind its member")
-                    yield path, start + entry["offset"], entry["length"]
+                archives = {n: p for n, p in members.items() if n.endswith((".warc.gz", ".warc"))}
+                for name, place in members.items():
+                    if name.endswith((".cdxj", ".cdx", ".idx")):
+                        yield from ((path, *found) for found in index_places(read_range(file, *place), archives))
 
     return map_rows(packages.select("path"), "path string, at long, length long", rows)
 
 
+def _tasks(entries: DataFrame) -> int:
+    """Tasks to read the records: by their bytes, not by those of the index, and at least as many as can run, a range each."""
+    size = entries.agg(F.sum("length")).first()[0] or 0
+    running = 2 * entries.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // _TASK_BYTES), min(running, -(-size // _RANGE)))
+
+
 def read_records(entries: DataFrame, folder: str, key_type: str = "bigint") -> DataFrame:
     """(ident, url, payload, n_bytes, digest, kind, refers_to): records read by their ranges.
 
@@ -285,7 +332,7 @@ def read_records(entries: DataFrame, folder: str, key_type: str = "bigint") -> D
             file.close()
 
     spread = (
-        entries.repartition("path", F.floor(F.col("at") / _RANGE)).sortWithinPartitions("path", "at")
+        entries.repartition(_tasks(entries), "path", F.floor(F.col("at") / _RANGE)).sortWithinPartitions("path", "at")
     )
     read = map_rows(
         spread, "ident string, url string, payload binary, n_bytes long, digest string, kind string, refers_to string",
@@ -302,4 +349,4 @@ def round_trip(
     folder = folder or scratch_path(pages.sparkSession, "packages")
     packages = written(write_packages(plan_records(pages, key, url, payload, min_bytes), folder, package_bytes, zip64), "manifest")
     kind = pages.select(col(key)).schema[0].dataType.simpleString()
-    return read_records(index_entries(packages, folder), folder, kind)
+    return read_records(written(index_entries(packages, folder), "entries"), folder, kind)

@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import zipfile
+import zlib
 
 import pytest
 
@@ -85,3 +86,48 @@ def test_changed_payload_is_noticed(spark, tmp_path):
     packages = warc.write_packages(plan, folder)
     with pytest.raises(Exception, match="does not have its digest"):
         warc.read_records(warc.index_entries(packages, folder), folder).collect()
+
+
+def test_packages_of_another_layout(spark, tmp_path):
+    """Several archives and indexes under other names, keys before the JSON object, offsets as text or number."""
+    def record(i, body):
+        return warc.record_bytes("response", i, f"http://h/{i}", body, hashlib.sha1(body).hexdigest(), len(body), None)
+
+    first, second = [record(i, b"a" * i) for i in range(5)], [record(10 + i, b"b" * i) for i in range(3)]
+    lines, at = [], 0
+    for i, r in enumerate(first):
+        lines.append(f'h)/{i} 20200101000000 {{"url": "http://h/{i}", "offset": "{at}", "length": "{len(r)}", "filename": "one.warc.gz"}}')
+        at += len(r)
+    more, at = ["!meta of the index", ""], 0
+    for r in second:
+        more.append(f'{{"offset": {at}, "length": {len(r)}, "filename": "archive/two.warc.gz"}}')
+        at += len(r)
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(first))
+        z.writestr("archive/two.warc.gz", b"".join(second))
+        z.writestr("indexes/a.cdxj", "\n".join(lines))
+        z.writestr("indexes/b.cdx", "\r\n".join(more))
+        z.writestr("pages/pages.jsonl", '{"offset": 1}')
+    packages = spark.createDataFrame([(str(tmp_path / "other.wacz"),)], "path string")
+    got = warc.read_records(warc.index_entries(packages, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted((r.ident, bytes(r.payload)) for r in got) == [(i, b"a" * i) for i in range(5)] + [(10 + i, b"b" * i) for i in range(3)]
+    one = {"archive/x.warc.gz": (100, 50)}
+    assert list(warc.index_places(b'k 1 {"offset": 3, "length": 4}\n', one)) == [(103, 4)]
+    for bad in (b'{"offset": 48, "length": 4}', b'{"offset": 0, "length": 4, "filename": "y.warc.gz"}'):
+        with pytest.raises(ValueError):
+            list(warc.index_places(bad, one))
+    head = zlib.decompress(first[3], 31)
+    assert warc.parse_record(head)[2] == b"aaa"
+
+
+def test_index_lines_are_sorted_by_host(spark, tmp_path):
+    assert warc.sort_key("http://User@News.Example.org:8080/a b?c") == "org,example,news:8080)/ab?c"
+    assert warc.sort_key("https://example.org") == "org,example)/" and warc.sort_key(None) == "-" == warc.sort_key("no url")
+
+
+def test_reading_is_spread_by_record_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "_RANGE", 1 << 14)
+    rng = random.Random(1)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "".join(map(chr, rng.choices(range(33, 120), k=3000)))) for i in range(400)], "page_id long, url string, html string")
+    got = warc.round_trip(pages.coalesce(1), folder=str(tmp_path / "e"))
+    assert got.withColumn("task", warc.F.spark_partition_id()).select("task").distinct().count() >= 8
