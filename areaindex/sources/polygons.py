@@ -5,7 +5,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,9 @@ def read_geojson(
     return polygons_from_rings(shaped)
 
 
-def _decode(data: bytes) -> list[dict]:
-    """Rings of a WKB polygon or multi-polygon; holes are all rings but the first."""
-    rings: list[dict] = []
+def _rings_of(data: bytes) -> list[tuple[bool, np.ndarray]]:
+    """(is a hole, points) of every ring of a WKB polygon or multi-polygon; holes are all rings but the first of a part."""
+    rings: list[tuple[bool, np.ndarray]] = []
 
     def read(at: int) -> int:
         order = "<" if data[at] == 1 else ">"
@@ -68,26 +69,40 @@ def _decode(data: bytes) -> list[dict]:
             raise ValueError(f"not a polygon: WKB type {kind}")
         for place in range(count):
             (size,) = struct.unpack_from(order + "I", data, at)
-            flat = struct.unpack_from(f"{order}{2 * size}d", data, at + 4)
+            rings.append((place > 0, np.frombuffer(data, f"{order}f8", 2 * size, at + 4).reshape(size, 2)))
             at += 4 + 16 * size
-            rings.append({"is_hole": place > 0, "pts": [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])]})
         return at
 
     read(0)
     return rings
 
 
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _ring_arrays(shapes: pa.Array) -> pa.Array:
+    """The rings of a column of WKB, as nested Arrow lists over flat coordinates."""
+    decoded = [_rings_of(g.as_buffer().to_pybytes()) for g in shapes]
+    rings = [ring for shape in decoded for ring in shape]
+    points = np.concatenate([np.zeros((0, 2)), *[pts for _, pts in rings]]).astype(np.float64)
+    pts = _lists([len(r) for _, r in rings], pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"]))
+    parts = pa.StructArray.from_arrays([pa.array([hole for hole, _ in rings], pa.bool_()), pts], ["is_hole", "pts"])
+    return _lists([len(shape) for shape in decoded], parts)
+
+
 def decode_wkb(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Polygon rows from a WKB column; decoding runs on Arrow batches."""
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != geometry]
+    """Polygon rows from a WKB column; decoding runs on Arrow batches, the other columns pass through untouched."""
+    names = [c for c in df.columns if c != geometry]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != geometry), f"rings {RINGS_TYPE}"])
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["rings"] = [_decode(bytes(g)) for g in frame[geometry]]
-            yield frame.drop(columns=[geometry])
+    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, _ring_arrays(batch.column(len(names)))], names=[*names, "rings"])
 
-    decoded = df.where(F.col(geometry).isNotNull()).mapInPandas(batches, ", ".join([*rest, f"rings {RINGS_TYPE}"]))
-    return polygons_from_rings(decoded)
+    ordered = df.where(F.col(f"`{geometry}`").isNotNull()).select(*[F.col(f"`{c}`") for c in (*names, geometry)])
+    return polygons_from_rings(ordered.mapInArrow(batches, schema))
 
 
 def read_polygons(

@@ -147,6 +147,16 @@ def test_wkb_and_masked_read(spark, tmp_path):
         polygons.decode_wkb(spark.createDataFrame([("p", point)], "area_code string, geometry binary")).collect()
 
 
+def test_wkb_leaves_other_columns_as_they_are(spark):
+    big = 2**53 + 1
+    shape = bytearray(wkb([SQUARE, HOLE]))
+    rows = [(None, shape, None), (big, shape, [1]), (big + 2, shape, []), (2**62 + 1, bytearray(wkb([])), [2])]
+    df = polygons.decode_wkb(spark.createDataFrame(rows, "id long, geometry binary, tags array<int>").coalesce(1))
+    got = {r.id: (r.tags, len(r.edges)) for r in df.collect()}
+    assert got == {None: (None, 8), big: ([1], 8), big + 2: ([], 8), 2**62 + 1: ([2], 0)}
+    assert polygons.decode_wkb(spark.createDataFrame([], "id long, geometry binary")).count() == 0
+
+
 def test_geojson_in_degrees(spark, tmp_path):
     corners = spark.createDataFrame([(0, 300000.0, 100000.0), (1, 301000.0, 100000.0), (2, 301000.0, 101000.0), (3, 300000.0, 101000.0)], "i int, e double, n double")
     ring = [[r["longitude"], r["latitude"]] for r in project(corners, "e", "n").orderBy("i").collect()]
