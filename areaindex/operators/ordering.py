@@ -135,7 +135,7 @@ def quantiles(
         *by, F.explode(F.array(*[
             F.struct(F.lit(i).alias("__name"), F.col(c).alias("__value")) for i, c in enumerate(cols)
         ])).alias("__cell"),
-    ).select(*by, "__cell.__name", "__cell.__value").where("__value IS NOT NULL")
+    ).select(*by, "__cell.__name", "__cell.__value")
     per_name = _selected(long, [*by, "__name"], probs, accuracy)
 
     values = []
@@ -143,17 +143,17 @@ def quantiles(
         share = F.lit(float(p)) * (F.col("__size") - 1)
         part = share - F.floor(share)
         values.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * part)
-    found = per_name.select(*by, "__name", F.array(*values).alias("__q")).groupBy(*by).agg(*[
+    held = F.when(F.col("__size") > 0, F.array(*values)).alias("__q")
+    return per_name.select(*by, "__name", held).groupBy(*by).agg(*[
         F.max(F.when(F.col("__name") == i, F.col("__q"))).alias(c) for i, c in enumerate(cols)
     ])
-    if not by:
-        return found
-    return join_null_safe(rows.select(*by).distinct(), found, list(by), "left")
 
 
 def _selected(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
     """(keys, __size, __lo and __hi of each probability): the values at the two positions around a quantile.
 
+    Groups without a value have size 0 and no values.
+
     A sketch of every group brackets the positions, then one pass over the rows
     compresses each group to runs: within a bracket one run per distinct value,
     outside one per stretch between brackets, with its number of rows and its
@@ -182,11 +182,12 @@ def _selected(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accu
                 value, missed = at(index)
                 picks.append(value.alias(f"__{side}{i}"))
                 lost = lost | missed
-        selected = checkpointed(placed.groupBy(*keys).agg(*picks, lost.alias("__lost")))
-        settled = selected.where("NOT __lost").drop("__lost")
-        found = settled if found is None else found.unionByName(settled)
+        selected = checkpointed(placed.groupBy(*keys).agg(*picks, F.coalesce(lost, F.lit(False)).alias("__lost")))
         lost_groups = selected.where("__lost").select(*keys)
-        if lost_groups.isEmpty():
+        done = lost_groups.isEmpty()
+        settled = (selected if done else selected.where("NOT __lost")).drop("__lost")
+        found = settled if found is None else found.unionByName(settled)
+        if done:
             return found
         long, accuracy = join_null_safe(long, lost_groups, keys), accuracy * 10
 
@@ -196,11 +197,13 @@ def _runs(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy
     margin = 2.0 / accuracy  # twice the sketch's own error, in shares of the rows
     levels = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     sketch = F.percentile_approx("__value", F.array(*[F.lit(x) for x in levels]), F.lit(accuracy))
-    brackets = checkpointed(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), sketch.alias("__cuts")))
-    n, text = brackets.agg(
-        F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)))
-    ).first()
-    small = n * (64 + 8 * len(levels)) + (text or 0) <= BROADCAST_BYTES
+    brackets = checkpointed(long.groupBy(*keys).agg(F.count("__value").alias("__size"), sketch.alias("__cuts")))
+    small = len(keys) == 1  # one group a column
+    if not small:
+        n, text = brackets.agg(
+            F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)))
+        ).first()
+        small = n * (64 + 8 * len(levels)) + (text or 0) <= BROADCAST_BYTES
     value = F.col("__value")
     opened = [(F.col("__cuts")[i] <= value).cast("int") for i in range(len(probs))]
     closed = [(F.col("__cuts")[len(probs) + i] < value).cast("int") for i in range(len(probs))]
@@ -211,7 +214,7 @@ def _runs(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy
             *keys, (F.col("__opened") + F.col("__closed")).alias("__zone"),
             F.when(F.col("__opened") > F.col("__closed"), value).alias("__exact"),
         )
-        .agg(F.first("__size").alias("__size"), F.count(F.lit(1)).alias(_COUNT), F.min("__value").alias("__least"),
+        .agg(F.first("__size").alias("__size"), F.count("__value").alias(_COUNT), F.min("__value").alias("__least"),
              F.max("__value").alias("__most"))
     )
 

@@ -150,10 +150,10 @@ def fill_within(
 
 
 def fill_group_median(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str]
+    df: DataFrame, group: Sequence[str], cols: Sequence[str], stored: bool = False
 ) -> DataFrame:
-    """Replace NULL by the median of the group."""
-    middle = medians(df, cols, group).withColumnsRenamed({c: f"__m_{c}" for c in cols})
+    """Replace NULL by the median of the group; ``stored`` says that ``df`` is cheap to read."""
+    middle = medians(df, cols, group, stored).withColumnsRenamed({c: f"__m_{c}" for c in cols})
     out = join_null_safe(df, middle, list(group), "left")
     return (
         out.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in cols})
@@ -173,8 +173,8 @@ def cascade_fill(
     if zero_is_missing:
         out = out.withColumn(col, F.nullif(F.col(col), F.lit(0.0)))
     out = checkpointed(out)
-    for group in groups:
-        out = fill_group_median(out, [group], [col])
+    for level, group in enumerate(groups):
+        out = fill_group_median(out, [group], [col], stored=level == 0)
     overall = one_row(medians(out, [col], ())).getField(col)
     return out.withColumn(col, F.coalesce(F.col(col), overall, F.lit(0.0)).cast("int"))
 
