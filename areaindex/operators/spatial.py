@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from areaindex.functions import clean
 from areaindex.functions import geometry as G
 from areaindex.functions.grid import CELL, box_level, cells_covered, cells_of_point, explode_cells, measure
 from areaindex.operators import bands
@@ -434,3 +435,18 @@ def locate_point(points: DataFrame, polys: DataFrame, hierarchy: DataFrame, id_c
     found = points_in_polygons(points, polys.select(id_col, "edges", *BOX))
     chained = found.join(hierarchy, id_col, "left")
     return points.join(chained.drop("x", "y"), [c for c in points.columns if c not in ("x", "y")], "left")
+
+
+def locate_postcode(
+    asked: DataFrame, places: DataFrame, polys: DataFrame, hierarchy: DataFrame, id_col: str = "area_code", postcode: str = "postcode",
+) -> DataFrame:
+    """Area and parents of every postcode asked for, however it is written; unknown ones stay, with NULL.
+
+    ``places`` has the postcode with x and y. Postcodes are compared in their
+    normal form; of several places of one, that of the least x, then y, holds.
+    """
+    known = places.groupBy(clean.norm_postcode(postcode).alias("__code")).agg(F.min(F.struct("x", "y")).alias("__at"))
+    coded = asked.withColumn("__code", clean.norm_postcode(postcode))
+    wanted = known.join(coded.select("__code").distinct(), "__code").select("__code", "__at.x", "__at.y")
+    found = locate_point(wanted, polys, hierarchy, id_col)
+    return coded.join(found, "__code", "left").drop("__code", "x", "y")

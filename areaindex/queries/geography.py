@@ -164,6 +164,25 @@ def locate_point(spark, sf):
     return found.select("id", "area_code", "mid_name")
 
 
+@query("locate_postcode", f"""WITH {_POLYS_SQL}, {_points_sql("part", "p_partkey")},
+hit AS (SELECT q.id, p.area_code FROM pts q JOIN polys p
+  ON q.x BETWEEN p.xmin AND p.xmax AND q.y BETWEEN p.ymin AND p.ymax AND {_inside_sql()})
+SELECT s_suppkey AS id, 'ex' || (s_suppkey * 3) || '  4qJ ' AS postcode, area_code, n_name AS mid_name
+FROM supplier LEFT JOIN hit ON id = s_suppkey * 3
+LEFT JOIN customer ON c_custkey = area_code LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def locate_postcode(spark, sf):
+    """Suppliers ask, in careless spelling, where the postcode of a part lies; some postcodes are unknown."""
+    code = F.concat(F.lit("EX"), F.col("id").cast("string"), F.lit(" 4QJ"))
+    places = _points(spark, sf, "part", "p_partkey").withColumn("postcode", code).drop("id")
+    key = F.col("s_suppkey")
+    asked = table(spark, sf, "supplier").select(
+        key.alias("id"), F.concat(F.lit("ex"), (key * 3).cast("string"), F.lit("  4qJ ")).alias("postcode")
+    )
+    hierarchy = areas(spark, sf).select("area_code", "mid_name")
+    found = spatial.locate_postcode(asked, places, area_polygons(spark, sf), hierarchy)
+    return found.select("id", "postcode", "area_code", "mid_name")
+
+
 def _gap_sql(px: str, py: str, e: str = "e") -> str:
     t = (
         f"greatest(0, least(1, (({px} - {e}.ax) * ({e}.zx - {e}.ax) + ({py} - {e}.ay) * ({e}.zy - {e}.ay)) "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from areaindex.functions import clean
 from areaindex.operators import cluster, impute, normalise, robustness, weights
 from areaindex.queries.base import METRICS, METRICS_SQL, area_metrics, query, rounded, table
 from areaindex.session import ensure_checkpoint_dir
@@ -324,6 +325,23 @@ def impute_chained(spark, sf):
     )
 
 
+_CHOSEN = ("mean_price", "mean_quantity")
+
+
+@query("columns_by_pattern", f"""WITH {METRICS_SQL}
+{" UNION ALL ".join(f"SELECT '{c}' AS indicator, count({c}) AS present, round(sum({c}), 2) AS total FROM metrics" for c in _CHOSEN)}""")
+def columns_by_pattern(spark, sf):
+    """Numeric columns named after means of prices or quantities, those of single items left out, that hold a value."""
+    metrics = area_metrics(spark, sf).withColumn("mean_price_text", F.col("mean_price").cast("string"))
+    empty = metrics.withColumn("mean_quantity_planned", F.lit(None).cast("double"))
+    named = clean.matching_columns(empty, ["mean_"], ["price", "quantity"], without=["item"])
+    held = clean.non_empty_columns(empty, named)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).alias("value")) for c in held]))
+    return empty.select(cells).groupBy("indicator").agg(
+        F.count("value").alias("present"), F.round(F.sum("value"), 2).alias("total")
+    )
+
+
 _FILLED = ("order_count", "mean_quantity", "mean_item_price")
 _MASKS = {"order_count": "area_code % 7 <> 0", "mean_quantity": "area_code % 5 <> 1", "mean_item_price": "area_code % 11 <> 2"}
 

@@ -135,6 +135,14 @@ def test_assign_parent_rules(spark):
                    "away": ("p2", "nearest"), "two": ("p2", "centroid")}
 
 
+def test_locate_postcode(spark):
+    places = spark.createDataFrame([("AB1 2CD", 1.0, 1.0), ("ab12cd", .5, 3.0), ("ZZ9 9ZZ", 70.0, 70.0), ("FA1 1FA", 100.5, 100.5)], "postcode string, x double, y double")
+    asked = spark.createDataFrame([(1, " ab1 2cd"), (2, "AB12CD"), (3, "zz99zz"), (4, "no1 1ne"), (5, None), (6, "FA11FA")], "id int, postcode string")
+    hierarchy = spark.createDataFrame([("square", "Mid")], "area_code string, mid string")
+    got = {r.id: (r.area_code, r.mid) for r in spatial.locate_postcode(asked, places, polygons(spark, SHAPES), hierarchy).collect()}
+    assert got == {1: ("square", "Mid"), 2: ("square", "Mid"), 3: (None, None), 4: (None, None), 5: (None, None), 6: ("far", None)}
+
+
 def test_within_distance_and_bounds(spark):
     polys = polygons(spark, SHAPES)
     mask = polygons(spark, {"m": [box(0, 0, 1)]}, "id")
