@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areaindex.session import checkpointed, join_measured
+
 SOURCE_FILE = "source_file"
 
 
@@ -58,15 +62,6 @@ def resolve_columns(df: DataFrame, candidates: Mapping[str, Sequence[str]]) -> D
     return df.select(*[F.col(f"`{real}`").alias(logical) for logical, real in found.items()])
 
 
-def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv") -> list[str]:
-    """Files below the given folders; only the listing is read, not the content."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).load(paths if isinstance(paths, str) else list(paths))
-    )
-    return sorted(r["path"] for r in listing.select("path").collect())
-
-
 def _csv(spark: SparkSession, encoding: str, header: bool):
     return spark.read.option("header", header).option("encoding", encoding).option("enforceSchema", False)
 
@@ -84,36 +79,96 @@ def read_csv_projected(
     return require_columns(df, cols).select(*[F.col(f"`{c}`") for c in cols])
 
 
+def read_headers(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8", exclude: str | None = None) -> DataFrame:
+    """(path, header): the column names of every CSV file below the given folders.
+
+    One job: the listing is spread over tasks, which read each file up to the
+    end of its first line that is not blank. Names matching ``exclude`` are
+    passed over; a file without such a line has an empty header. ``path`` is
+    written as the scan's own file path.
+    """
+    listing = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv").load(paths if isinstance(paths, str) else list(paths))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    )
+    if exclude:
+        listing = listing.where(~F.col("name").rlike(f"(?i){exclude}"))
+
+    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in incoming:
+            found = batch.column(0).to_pylist()
+            headers = []
+            for path in found:
+                store, place = fs.FileSystem.from_uri(path)
+                with io.TextIOWrapper(io.BufferedReader(store.open_input_stream(place)), encoding, "replace") as lines:
+                    texts = (line.lstrip("\ufeff").rstrip("\r\n") for line in lines)
+                    headers.append(next(csv.reader(t for t in texts if t.strip()), []))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.string()), pa.array(headers, pa.list_(pa.string()))], names=["path", "header"]
+            )
+
+    spread = listing.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInArrow(batches, "path string, header array<string>")
+
+
+def _position(header: Column, names: Sequence[str | re.Pattern]) -> Column:
+    """Place (from 0) of the first candidate that a header has; case and outer blanks do not matter."""
+    folded = F.transform(header, lambda name: F.lower(F.trim(name)))
+
+    def place(candidate: str | re.Pattern) -> Column:
+        if isinstance(candidate, str):
+            return F.array_position(folded, F.lit(candidate.strip().lower()))
+        whole = f"^(?:{candidate.pattern})$"
+        return F.array_position(folded, F.array_min(F.filter(folded, lambda name: name.rlike(whole))))
+
+    return F.coalesce(*[F.when(place(n) > 0, place(n) - 1) for n in names]).cast("int")
+
+
 def read_csv_drifting(
-    spark: SparkSession, paths: str | Sequence[str], candidates: Mapping[str, Sequence[str]],
+    spark: SparkSession, paths: str | Sequence[str], candidates: Mapping[str, Sequence[str | re.Pattern]],
     required: Sequence[str] = (), encoding: str = "UTF-8", exclude: str | None = None,
 ) -> DataFrame:
     """CSV files whose headers differ from file to file.
 
     Each logical column takes the first of its candidate names that the file
     has, ignoring case. Files lacking a required column are passed over, as are
-    names matching ``exclude``. Files with the same header are read together,
-    so the plan grows with the number of layouts, not of files. Column
-    ``source_file`` keeps the file name.
+    names matching ``exclude``. Column ``source_file`` keeps the file name.
+
+    The headers of all files are read in one job and become a table of places,
+    (path, place of each logical column), which no driver holds. All files are
+    then one scan by position, joined with that table, so neither jobs nor the
+    plan grow with the number of files or layouts. Of a scan's columns only
+    those that stand for a logical one in some file are parsed out.
     """
-    layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in list_files(spark, paths):
-        if exclude and re.search(exclude, path.rsplit("/", 1)[-1], re.IGNORECASE):
-            continue
-        layouts[tuple(_csv(spark, encoding, True).csv(path).columns)].append(path)
-    parts = []
-    for columns, files in layouts.items():
-        found = resolve_names(columns, candidates)
-        if any(r not in found for r in required):
-            continue
-        df = _csv(spark, encoding, True).csv(files)
-        parts.append(df.select(
-            *[F.col(f"`{real}`").alias(logical) for logical, real in found.items()],
-            F.col("_metadata.file_name").alias(SOURCE_FILE),
-        ))
-    if not parts:
+    headers = read_headers(spark, paths, encoding, exclude)
+    places = checkpointed(headers.select(
+        "path", F.size("header").alias("width"), *[_position(F.col("header"), n).alias(f"at_{c}") for c, n in candidates.items()]
+    ).where(reduce(lambda a, b: a & b, [F.col(f"at_{r}").isNotNull() for r in required], F.lit(True))))
+    # bounded by the widest header, whatever the number of files
+    summary = places.agg(
+        F.max("width").alias("width"), F.sum(F.length("path") + 8 * (len(candidates) + 4)).alias("bytes"),
+        *[F.sort_array(F.collect_set(f"at_{c}")).alias(c) for c in candidates],
+    ).first()
+    if summary["width"] is None or not any(summary[c] for c in candidates):
         raise ValueError("no file has the required columns")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    schema = ", ".join(f"c{i} string" for i in range(summary["width"]))
+    scan = (
+        spark.read.option("header", True).option("enforceSchema", True).option("encoding", encoding).schema(schema)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(paths if isinstance(paths, str) else list(paths))
+    )
+    if exclude:
+        scan = scan.where(~F.col("_metadata.file_name").rlike(f"(?i){exclude}"))
+    used = sorted({place for c in candidates for place in summary[c]})
+    lines = scan.select(
+        *[F.col(f"c{i}") for i in used], F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias(SOURCE_FILE)
+    )
+    found = [c for c in candidates if summary[c]]
+    return join_measured(lines, places, ["path"], summary["bytes"]).select(
+        *[F.coalesce(*[F.when(F.col(f"at_{c}") == i, F.col(f"c{i}")) for i in summary[c]]).alias(c) for c in found], SOURCE_FILE
+    )
 
 
 def read_csv_headerless(

@@ -1,6 +1,7 @@
 """Readers and writers over small files in the published layouts."""
 
 import json
+import re
 import struct
 
 import pytest
@@ -50,6 +51,46 @@ def test_drifting_headers(spark, tmp_path):
         tables.read_csv_drifting(spark, str(tmp_path), {"k": ["absent"]}, ["k"])
 
 
+def test_drifting_headers_of_many_files(spark, tmp_path):
+    """2,000 files in 50 layouts: as many jobs as for 20 files, one scan, blanks and quotes in headers and names."""
+    def write(root, n):
+        for i in range(n):
+            pad = ",".join(f"p{j}" for j in range(i % 25))
+            code = ("Area Code", '"AREA CODE "')[i % 2]
+            head = ",".join(h for h in (pad, code, f"Balance {2000 + i % 20}") if h)
+            put(root / f"part {i % 7}" / f"f {i}.csv", f"\n{head}\n" + "-," * (i % 25) + f'E{i},"{i},5"\n')
+
+    names = {"area_code": ["lsoa code", "area code"], "balance": [re.compile(r"balance[ _]\d{4}")], "absent": ["nowhere"]}
+
+    def read(root):
+        group = f"headers-{root.name}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            df = tables.read_csv_drifting(spark, str(root), names, ["area_code", "balance"])
+            rows = {(r["area_code"], r["balance"], r["source_file"]) for r in df.collect()}
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return df.columns, rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), plan.count("FileScan csv")
+
+    write(tmp_path / "few", 20)
+    write(tmp_path / "many", 2000)
+    few, many = read(tmp_path / "few"), read(tmp_path / "many")
+    assert many[0] == ["area_code", "balance", "source_file"]
+    assert {r[:2] for r in many[1]} == {(f"E{i}", f"{i},5") for i in range(2000)} and len(many[1]) == 2000
+    assert {r[:2] for r in few[1]} == {(f"E{i}", f"{i},5") for i in range(20)}
+    # listing more than 32 folders or files may take one job more
+    assert many[2] <= few[2] + 2 and many[3] == few[3]
+
+
+def test_headers_in_another_encoding(spark, tmp_path):
+    put(tmp_path / "a.csv", "Né,Wert\nx,1\n", "latin-1")
+    put(tmp_path / "b.csv", "", "latin-1")
+    put(tmp_path / "c.csv", "wert,né,Wert\n2,ÿ\n", "latin-1")
+    df = tables.read_csv_drifting(spark, str(tmp_path), {"n": ["né"], "v": ["wert"]}, ["n"], "ISO-8859-1")
+    assert sorted((r["n"], r["v"]) for r in df.collect()) == [("x", "1"), ("ÿ", "2")]
+
+
 def test_date_in_the_file_name(spark, tmp_path):
     put(tmp_path / "childcare_as_at_31_March_2023.csv", "Provider URN\n1\n")
     put(tmp_path / "childcare_as_at_1_August_2022.csv", "provider urn\n2\n")
