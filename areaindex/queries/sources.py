@@ -108,18 +108,41 @@ def _measured(polys):
     return rounded(found, "area", "cx", "cy")
 
 
-@query("geojson_squares", _SQUARES_SQL)
-def geojson_squares(spark, sf):
-    path = _folder(spark, "geojson")
+def _square_features(spark, sf):
+    """Each square as the text of a feature."""
     far_x, far_y = "x + side", "y + side"
     ring = f"array(array(x, y), array({far_x}, y), array({far_x}, {far_y}), array(x, {far_y}), array(x, y))"
-    _squares(spark, sf).select(F.to_json(F.struct(
-        F.create_map(F.lit("area_code"), F.col("area_code").cast("string")).alias("properties"),
+    return _squares(spark, sf).select(F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.create_map(F.lit("area_code"), F.col("area_code").cast("string")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.expr(f"array({ring})").alias("coordinates")).alias("geometry"),
-    )).alias("value")).write.text(path)
+    )).alias("value"))
+
+
+@query("geojson_squares", _SQUARES_SQL)
+def geojson_squares(spark, sf):
+    path = _folder(spark, "geojson")
+    _square_features(spark, sf).write.text(path)
     return _measured(polygons.read_geojson(spark, path, "area_code"))
 
 
+@query("geojson_collections", _SQUARES_SQL)
+def geojson_collections(spark, sf):
+    """Feature collections, one JSON document a file, read by byte ranges."""
+    def collected(frames):
+        yield pd.DataFrame({"value": ['{"type": "FeatureCollection", "features": [']})
+        comma = ""
+        for frame in frames:
+            if len(frame):
+                lines = frame["value"].tolist()
+                yield pd.DataFrame({"value": [comma + lines[0], *["," + line for line in lines[1:]]]})
+                comma = ","
+        yield pd.DataFrame({"value": ["]}"]})
+
+    path = _folder(spark, "collections")
+    _square_features(spark, sf).mapInPandas(collected, "value string").write.text(path)
+    return _measured(polygons.read_polygons(spark, path, "area_code", fmt="geojson"))
+
+
 @query("wkb_squares", _SQUARES_SQL)
 def wkb_squares(spark, sf):
     def encode(frames):

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from areaindex.functions.geometry import RINGS_TYPE
 from areaindex.functions.projection import rings_to_grid
 from areaindex.operators.spatial import BOX, polygons_from_rings, within_distance
+from areaindex.sources.features import read_feature_texts
 from areaindex.sources.tables import require_columns
 
 _POLYGON = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
-_FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+_FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 
 
 def _rings(parts: F.Column) -> F.Column:
@@ -33,14 +34,14 @@ def read_geojson(
 ) -> DataFrame:
     """Polygons of a GeoJSON file: columns id_col, name_col, edges and the bounding box.
 
-    Coordinates in ``degrees`` become grid metres on the way. With ``lines`` there is one feature per line and the file is read in
-    parallel; otherwise it is one feature collection.
+    Coordinates in ``degrees`` become grid metres on the way. With ``lines`` there is one feature per line; otherwise files are
+    feature collections. Either form is read by many tasks.
     """
     if lines:
         features = spark.read.schema("properties map<string,string>, geometry struct<type:string,coordinates:string>").json(path)
     else:
-        whole = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
-        features = whole.select(F.explode("features").alias("f")).select("f.*")
+        typed = read_feature_texts(spark, path).select(F.from_json("feature", _FEATURE).alias("f"))
+        features = typed.where("f.type = 'Feature'").select("f.properties", "f.geometry")
     text = F.col("geometry.coordinates")
     parts = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json(text, _POLYGON))).when(
         F.col("geometry.type") == "MultiPolygon", F.from_json(text, _MULTI)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from areaindex.functions.projection import project
-from areaindex.sources import polygons, tables
+from areaindex.operators.spatial import polygon_measures
+from areaindex.sources import features, polygons, tables
 
 
 def put(path, text, encoding="utf-8"):
@@ -153,8 +154,6 @@ def test_geojson(spark, tmp_path, fmt):
         path = put(tmp_path / "a.json", "\n".join(json.dumps(f) for f in FEATURES))
     else:
         path = put(tmp_path / "a.json", json.dumps({"type": "FeatureCollection", "features": FEATURES}, indent=1))
-    from areaindex.operators.spatial import polygon_measures
-
     df = polygons.read_polygons(spark, path, "LSOA21CD", "LSOA21NM", fmt)
     got = {r["LSOA21CD"]: (r["LSOA21NM"], r["area"]) for r in polygon_measures(df).collect()}
     assert got == {"E1": ("Place E1", 15.0), "E2": ("Place E2", 16.5)}
@@ -171,8 +170,6 @@ def test_wkb_and_masked_read(spark, tmp_path):
     multi = struct.pack("<BII", 1, 6, 2) + wkb([SQUARE]) + wkb([[[10, 10], [11, 10], [11, 11], [10, 10]]], ">")
     rows = [("E1", bytearray(wkb([SQUARE, HOLE]))), ("E2", bytearray(multi)), ("E9", None)]
     spark.createDataFrame(rows, "area_code string, geometry binary").write.parquet(str(tmp_path / "wkb"))
-    from areaindex.operators.spatial import polygon_measures
-
     df = polygons.read_polygons(spark, str(tmp_path / "wkb"), "area_code", fmt="wkb")
     assert {r["area_code"]: r["area"] for r in polygon_measures(df).collect()} == {"E1": 15.0, "E2": 16.5}
     df.write.parquet(str(tmp_path / "edges"))
@@ -198,12 +195,63 @@ def test_wkb_leaves_other_columns_as_they_are(spark):
     assert polygons.decode_wkb(spark.createDataFrame([], "id long, geometry binary")).count() == 0
 
 
+def tricky_collection(n, spaces=""):
+    """Braces, quotes and backslashes in names, features over many ranges, members before and after."""
+    names = ['}{"', "[[", "\\\\", '\\\\"}', "é]}", "", "x" * 300]
+    items = [{
+        "type": "Feature", "properties": {"id": f"p{i}", "note": names[i % len(names)] * (i % 4)},
+        "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 1 + i % 3], [i, 1 + i % 3], [i, 0]]]},
+    } for i in range(n)]
+    whole = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "a}"}}, "features": items, "more": [{"type": "no"}]}
+    return items, json.dumps(whole, ensure_ascii=False, indent=1 if spaces else None)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 1 << 20])
+@pytest.mark.parametrize("spaces", ["", "\n"])
+def test_features_by_ranges(spark, tmp_path, size, spaces):
+    """Any cut yields the same features, those of a part of a file closed later included."""
+    items, text = tricky_collection(9 if size < 7 else 60, spaces)
+    put(tmp_path / "with blank" / "a.json", text)
+    put(tmp_path / "with blank" / "b.json", json.dumps({"type": "FeatureCollection", "features": []}))
+    put(tmp_path / "with blank" / "c.json", "")
+    put(tmp_path / "with blank" / "d.json", '{"type": "FeatureCollection", "features": [{"type": "Feature"}, {"cut')
+    found = [json.loads(r["feature"]) for r in features.read_feature_texts(spark, str(tmp_path / "with blank"), size).collect()]
+    typed = [f for f in found if f.get("type") == "Feature"]
+    assert sorted(map(repr, typed)) == sorted(map(repr, [*items, {"type": "Feature"}]))
+
+
+def test_blocks_within_a_range(tmp_path, monkeypatch):
+    """Blocks are as free as ranges: small ones give the same objects."""
+    from pyarrow import fs
+
+    items, text = tricky_collection(40)
+    put(tmp_path / "a.json", text)
+    size = (tmp_path / "a.json").stat().st_size
+    for block in (1, 3, 50):
+        monkeypatch.setattr(features, "BLOCK_BYTES", block)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.json")) as file:
+            found = [json.loads(t) for t in features._features_of(file, 0, size, False, 0, size)]
+        assert [f for f in found if f.get("type") == "Feature"] == items
+
+
+def test_a_large_collection_is_read_by_many_tasks(spark, tmp_path):
+    items, text = tricky_collection(30_000)
+    path = put(tmp_path / "large.json", text)
+    read = features.read_feature_texts(spark, path, 1 << 18)
+    tasks = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == len(items) + 2 and len(tasks) >= 4
+    put(tmp_path / "lines.json", "\n".join(json.dumps(f, ensure_ascii=False) for f in items))
+    one, other = (
+        polygon_measures(polygons.read_geojson(spark, p, "id", lines=lines)).select("id", "area", "cx", "cy")
+        for p, lines in ((path, False), (str(tmp_path / "lines.json"), True))
+    )
+    assert one.count() == len(items) and one.exceptAll(other).count() == 0
+
+
 def test_geojson_in_degrees(spark, tmp_path):
     corners = spark.createDataFrame([(0, 300000.0, 100000.0), (1, 301000.0, 100000.0), (2, 301000.0, 101000.0), (3, 300000.0, 101000.0)], "i int, e double, n double")
     ring = [[r["longitude"], r["latitude"]] for r in project(corners, "e", "n").orderBy("i").collect()]
     path = put(tmp_path / "deg.json", json.dumps(feature("E1", {"type": "Polygon", "coordinates": [[*ring, ring[0]]]})))
-    from areaindex.operators.spatial import polygon_measures
-
     row = polygon_measures(polygons.read_geojson(spark, path, "LSOA21CD", degrees=True)).first()
     assert row["area"] == pytest.approx(1e6, rel=1e-4) and row["cx"] == pytest.approx(300500, abs=1) and row["cy"] == pytest.approx(100500, abs=1)
 
