@@ -111,25 +111,53 @@ def latest_snapshot(df: DataFrame, ts: str) -> DataFrame:
 
 
 def rollup(
-    df: DataFrame, keys: Sequence[str], aggs: Mapping[str, str], zero_fill: Sequence[str] = (),
+    df: DataFrame, keys: Sequence[str], aggs: Mapping[str, str], zero_fill: Sequence[str] = (), stored: bool = False,
 ) -> DataFrame:
     """Mean, sum or median per group of those columns that exist.
 
-    Columns in ``zero_fill`` end as whole numbers with NULL as zero.
+    Columns in ``zero_fill`` end as whole numbers with NULL as zero. ``stored``
+    says that ``df`` is cheap to read twice, which medians do.
     """
     present = {c: how for c, how in aggs.items() if c in df.columns}
     simple = {"mean": F.avg, "sum": F.sum}
     plain = [simple[how](c).alias(c) for c, how in present.items() if how != "median"]
     middle = [c for c, how in present.items() if how == "median"]
-    out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
-    if middle:
-        out = join_null_safe(out, medians(df, middle, keys), list(keys), "left")
+    if middle and not plain:  # medians have a row for every group
+        out = medians(df, middle, keys, stored)
+    else:
+        out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
+        if middle:
+            out = join_null_safe(out, medians(df, middle, keys, stored), list(keys), "left")
     for c in zero_fill:
         if c in present:
             out = out.withColumn(c, F.bround(F.coalesce(F.col(c), F.lit(0.0)), 0).cast("int"))
     return out.select(*keys, *present)
 
 
+def rollup_levels(
+    df: DataFrame, levels: Mapping[str, Sequence[str]], aggs: Mapping[str, str], zero_fill: Sequence[str] = (),
+    level: str = "level",
+) -> DataFrame:
+    """``rollup`` of one input to several levels at once, each a name with its keys.
+
+    Column ``level`` tells the levels apart; keys that a level lacks are NULL
+    there, so an unknown key of a level that has it stays a group of its own.
+    The input is read once: every row stands for one row per level, reduced
+    before the shuffle. Medians read twice, so for them what they need is stored
+    before it is multiplied.
+    """
+    keys = list(dict.fromkeys(k for held in levels.values() for k in held))
+    present = {c: how for c, how in aggs.items() if c in df.columns}
+    rows = df.select(*[F.col(c) for c in dict.fromkeys([*keys, *present])])
+    if "median" in present.values():
+        rows = checkpointed(rows)
+    whole = rows.withColumn(level, F.explode(F.array(*[F.lit(name) for name in levels])))
+    masked = whole.withColumns({
+        k: F.when(F.col(level).isin(*[name for name, held in levels.items() if k in held]), F.col(k)) for k in keys
+    })
+    return rollup(masked, [level, *keys], present, zero_fill, stored=True)
+
+
 def fill_within(
     df: DataFrame, key: str, order: str, cols: Sequence[str], direction: str = "both"
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from areaindex.operators import knn, panel, series, spatial
 from areaindex.operators.series import INCIDENT_TYPES
+from areaindex.session import checkpointed
 
 # The years that service tables cover.
 SERVICE_YEARS = tuple(range(2018, 2026))
@@ -56,12 +57,12 @@ def latest_prices(prices: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
 
 def price_series(prices: DataFrame, hierarchy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(median per mid-level area and date, median of the whole region per date)."""
+    """(median per mid-level area and date, median of the whole region per date), from one pass."""
     placed = prices.join(hierarchy.select("area_code", "mid_code"), "area_code", "left")
-    whole_number = F.col("price").cast("int")
-    mid = panel.rollup(placed, ["mid_code", "date"], {"price": "median"}).withColumn("price", whole_number)
-    region = panel.rollup(prices, ["date"], {"price": "median"}).withColumn("price", whole_number)
-    return mid, region
+    levels = {"mid": ["mid_code", "date"], "region": ["date"]}
+    both = checkpointed(panel.rollup_levels(placed, levels, {"price": "median"}))
+    whole = both.withColumn("price", F.col("price").cast("int"))
+    return tuple(whole.where(F.col("level") == name).select(*keys, "price") for name, keys in levels.items())
 
 
 def centroids(areas: DataFrame) -> DataFrame:

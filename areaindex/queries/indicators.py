@@ -117,6 +117,25 @@ def median_series_region(spark, sf):
     return found.withColumn("median_price", F.col("median_price").cast("int"))
 
 
+@query("median_series_levels", """
+SELECT CASE WHEN grouping(c_nationkey) = 0 THEN 'mid' WHEN grouping(n_regionkey) = 0 THEN 'top' ELSE 'region' END AS level,
+       c_nationkey AS mid_code, n_regionkey AS top_code, strftime(o_orderdate, '%Y-%m') AS period,
+       CAST(floor(quantile_cont(o_totalprice, 0.5)) AS INT) AS median_price, count(*) AS n_prices
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY GROUPING SETS ((c_nationkey, strftime(o_orderdate, '%Y-%m')), (n_regionkey, strftime(o_orderdate, '%Y-%m')),
+                        (strftime(o_orderdate, '%Y-%m')))""")
+def median_series_levels(spark, sf):
+    """Median price and number of prices per month at three levels, from one pass over the prices."""
+    parents = areas(spark, sf).select("mid_code", "top_code").distinct()
+    priced = _mid_feed(spark, sf).join(parents, "mid_code").select(
+        "mid_code", "top_code", clean.period_text("o_orderdate").alias("period"), F.col("o_totalprice").alias("median_price"),
+        F.lit(1).alias("n_prices"),
+    )
+    levels = {"mid": ["mid_code", "period"], "top": ["top_code", "period"], "region": ["period"]}
+    found = panel.rollup_levels(priced, levels, {"median_price": "median", "n_prices": "sum"})
+    return found.withColumn("median_price", F.col("median_price").cast("int"))
+
+
 @query("latest_price_cascade_fill", f"""WITH {AREAS_SQL},
 yearly AS (
   SELECT o_custkey AS area_code, year(o_orderdate) AS year, quantile_cont(o_totalprice, 0.5) AS price

@@ -165,3 +165,22 @@ def test_sample_audit_is_repeatable(spark):
     once = [tuple(r) for r in explore.sample_audit(df, "k", 5, 1, ["id"]).collect()]
     again = [tuple(r) for r in explore.sample_audit(df.repartition(7), "k", 5, 1, ["id"]).collect()]
     assert once == again and len({k for k, _ in once}) == 5 and len(once) == 50
+
+
+def test_rollup_to_several_levels(spark):
+    """One pass equals a rollup per level; an unknown key is not the same as a key that the level lacks."""
+    rows = [("W1", "T1", 1, 4.0), ("W1", "T1", 1, 8.0), ("W2", "T1", 1, None), (None, "T1", 2, 5.0), (None, None, 2, 1.0), ("W3", None, 2, None)]
+    df = spark.createDataFrame(rows, "mid string, top string, year int, price double").withColumn("n", F.lit(1)).withColumn("level", F.lit("clash"))
+    levels = {"mid": ["mid", "year"], "top": ["top", "year"], "all": ["year"], "ever": []}
+    aggs = {"price": "median", "n": "sum", "absent": "mean"}
+    got = panel.rollup_levels(df, levels, aggs)
+    assert got.columns == ["level", "mid", "year", "top", "price", "n"]
+    for name, keys in levels.items():
+        one = panel.rollup(df.drop("level"), keys, aggs) if keys else df.agg(F.median("price").alias("price"), F.sum("n").alias("n"))
+        want = sorted(map(repr, map(tuple, one.collect())))
+        assert sorted(map(repr, map(tuple, got.where(F.col("level") == name).select(*one.columns).collect()))) == want
+    alone = panel.rollup_levels(df, levels, {"price": "median"}).where("level = 'mid'")
+    assert {(r["mid"], r["year"]): r["price"] for r in alone.collect()} == {("W1", 1): 6.0, ("W2", 1): None, (None, 2): 3.0, ("W3", 2): None}
+    assert panel.rollup_levels(df.limit(0), {"mid": ["mid"]}, aggs).count() == 0
+    scans = panel.rollup_levels(df, levels, {"n": "sum"})._jdf.queryExecution().executedPlan().toString().count("Scan")
+    assert scans == 1
