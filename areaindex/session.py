@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """Let joins use a partitioning by some of their keys, as that of tables in buckets.
+
+    Without it a join on (area, year) shuffles tables that are in buckets by
+    area. For keys of which no single value holds many rows; the jobs must run
+    inside the block.
+    """
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    held = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, held)
+
+
 SMALL_ROWS = 1_000_000
 
 

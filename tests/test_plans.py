@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from areaindex.operators import explore
 from areaindex.operators.normalise import SCORE_SPEC
 from areaindex.plans import index, indicators, raw
+from areaindex.plans.rebuild import INPUTS, rebuild
 from areaindex.sources import polygons
 
 SIDE, N = 1000, 36
@@ -226,3 +227,97 @@ def test_dashboard(built):
     assert mids.count() == 9 and mids.where("top_code IS NULL").count() == 0
     best = explore.rank_areas(board, "Final_CI_Score", 5, "area_code").collect()
     assert best[0]["Final_CI_Score"] == max(r["Final_CI_Score"] for r in board.collect())
+
+
+# Columns that each published table must have, the key first.
+PUBLISHED = {
+    "monthly_incidents": ["area_code", "period", "monthly_crime_count", "Burglary", "Robbery"],
+    "annual_incidents": ["area_code", "year", "population", "raw_crime_count", "months_of_data", "annualized_crime_count", "is_full_year"],
+    "air_quality": ["area_code", "year", "no2_mean_concentration", "pm25_mean_concentration"],
+    "green_share": ["area_code", "greenspace_percentage"],
+    "deprivation": ["area_code", "IMD_Score", "Income_Rate", "Employment_Rate", "Health_Score", "IDACI_Rate"],
+    "price_series_area": ["area_code", "date", "median_house_price"],
+    "price_series_mid": ["mid_code", "date", "median_house_price"],
+    "price_series_region": ["date", "median_house_price"],
+    "latest_prices": ["area_code", "latest_median_house_price"],
+    "practices_wide": ["area_code", "year", *[f"gp_{i}_{c}" for i in (1, 2, 3) for c in ("satisfaction", "distance", "gp_name", "org_code")]],
+    "childcare_wide": ["area_code", "year", *[f"childcare_{i}_{c}" for i in (1, 2, 3) for c in indicators.CHILDCARE_FACTS]],
+    "primary_weighted": ["area_code", "year", *[f"primary_{c}_weighted" for c in ("pass_rate", "read_score", "math_score")]],
+    "secondary_weighted": ["area_code", "year", *[f"secondary_{c}_weighted" for c in ("progress_8", "attainment_8")]],
+    "primary_deep_dive": ["area_code", "year", *[f"primary_school_{i}_{c}" for i in (1, 2, 3) for c in (
+        "name", "urn", "distance_km", "pass_rate", "read_score", "math_score", "data_year")]],
+    "secondary_deep_dive": ["area_code", "year", *[f"school_{i}_{c}" for i in (1, 2, 3) for c in (
+        "name", "urn", "nftype", "progress_8", "attainment_8", "data_year")]],
+    "scores": ["area_code", "year", *[f"{name}_score" for name in SCORE_SPEC], *[c for c, _ in SCORE_SPEC.values()]],
+    "composite": ["area_code", "year", "Final_CI_Score"],
+    "dashboard": ["area_code", "year", "display_name", "IMD_Decile"],
+    "mid_level": ["mid_code", "mid_name", "top_code", "Final_CI_Score"],
+    "neighbours": ["area_code", "neighbour"],
+}
+
+
+def test_rebuild_writes_every_table(spark, data, built, tmp_path):
+    places = dict(zip(INPUTS, (data[n] for n in (
+        "areas", "tops", "green", "lookup.csv", "postcodes.csv", "pop", "crime", "air", "imd.csv", "concord.csv", "prices.csv",
+        "practices.csv", "survey", "ks2", "ks4", "care"))))
+    folder = str(tmp_path / "out")
+    with pytest.raises(ValueError, match="survey"):
+        rebuild(spark, {k: v for k, v in places.items() if k != "survey"}, folder)
+    with pytest.raises(FileNotFoundError, match="nowhere.*neither"):
+        rebuild(spark, {**places, "air": "/nowhere", "green": "/neither"} | {"areas": "/nowhere"}, folder)
+    asked = dict(years=(2023, 2024), runs=2, sweeps=2, buckets=4)
+    where = rebuild(spark, places, folder, **asked)
+    read = {name: spark.read.parquet(path) for name, path in where.items()}
+    for name, columns in PUBLISHED.items():
+        assert set(columns) <= set(read[name].columns), name
+        assert not read[name].isEmpty(), name
+    # as the stages called one by one make them
+    same = {"annual_incidents": built["tables"]["crime"], "green_share": built["tables"]["green"], "latest_prices": built["tables"]["prices"],
+            "secondary_deep_dive": built["deep"], "hierarchy": built["lookup"]}
+    for name, want in same.items():
+        assert read[name].exceptAll(want.select(*read[name].columns)).count() == 0 and read[name].count() == want.count(), name
+    common = [c for c in built["whole"].columns if not c.startswith("childcare")]
+    assert read["panel"].select(common).exceptAll(built["whole"].select(common)).count() == 0 and read["panel"].count() == N * 2
+    assert read["composite"].where("Final_CI_Score BETWEEN 0 AND 100").count() == N
+    assert spark.sql("SHOW TABLES LIKE 'panel_*'").isEmpty()
+
+    import shutil  # a rebuild that was cut short: what is there stays, what is not is made anew
+
+    stamp = {p: (tmp_path / "out" / p / "_SUCCESS").stat().st_mtime_ns for p in ("air_quality", "panel")}
+    shutil.rmtree(where["mid_level"])
+    rebuild(spark, places, folder, **asked, resume=True)
+    assert stamp == {p: (tmp_path / "out" / p / "_SUCCESS").stat().st_mtime_ns for p in stamp}
+    assert spark.read.parquet(where["mid_level"]).count() == 9
+
+
+def test_panel_in_buckets_needs_no_shuffle(spark, tmp_path):
+    """Sources in buckets by area meet on (area, year) and on area without an exchange."""
+    from areaindex.operators import panel
+    from areaindex.session import co_partitioned
+    from areaindex.sources.tables import write_bucketed
+
+    codes = spark.range(200).select(F.format_string("E%03d", "id").alias("area_code"))
+    grid = panel.make_grid(codes, range(2018, 2024))
+    frames = {"areas": codes, "static": codes.withColumn("s", F.hash("area_code")),
+              **{f"yearly{i}": grid.where(F.hash("area_code", "year") % 3 != i).withColumn(f"v{i}", F.xxhash64("area_code", "year") % 100) for i in (0, 1, 2)}}
+    tables = {n: write_bucketed(df, f"default.bucket_test_{n}", ["area_code"], 8, str(tmp_path / n)) for n, df in frames.items()}
+    held = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+        def joined(made):
+            sources = [panel.Source(n, df, ("area_code",) if n == "static" else ("area_code", "year")) for n, df in made.items() if n != "areas"]
+            return panel.assemble_panel(panel.make_grid(made["areas"], range(2018, 2024)), sources)
+
+        plain = sorted(map(tuple, joined(frames).collect()), key=repr)
+        with co_partitioned(spark):
+            whole = joined(tables)
+            plan = whole._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, whole.collect()), key=repr) == plain and len(plain) == 1200
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 5
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        for n in frames:
+            spark.sql(f"DROP TABLE default.bucket_test_{n}")
