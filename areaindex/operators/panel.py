@@ -80,6 +80,24 @@ def assemble_panel(
     return panel
 
 
+def join_suffixed(
+    left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("", "_y"), how: str = "left",
+) -> DataFrame:
+    """Join on ``on``; columns that both sides have, in any case, take the suffix of their side.
+
+    A name that a suffix makes and a side already has is an error.
+    """
+    keys = {c.lower() for c in on}
+    names = [[c for c in side.columns if c.lower() not in keys] for side in (left, right)]
+    shared = {c.lower() for c in names[0]} & {c.lower() for c in names[1]}
+    renamed = [{c: c + suffix for c in held if c.lower() in shared} for held, suffix in zip(names, suffixes)]
+    final = [*on, *[new.get(c, c) for held, new in zip(names, renamed) for c in held]]
+    doubled = sorted({c for c in final if [f.lower() for f in final].count(c.lower()) > 1})
+    if doubled:
+        raise ValueError(f"columns named twice: {', '.join(doubled)}")
+    return left.withColumnsRenamed(renamed[0]).join(right.withColumnsRenamed(renamed[1]), list(on), how).select(*[F.col(f"`{c}`") for c in final])
+
+
 def concordance(
     df: DataFrame, lookup: DataFrame, old: str, new: str, required: Sequence[str], keep: str = "min_old"
 ) -> DataFrame:

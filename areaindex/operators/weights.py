@@ -145,6 +145,17 @@ def varimax(loadings: np.ndarray, sweeps: int = 500, tol: float = 1e-10) -> np.n
     return turned
 
 
+def rotate(loadings: DataFrame) -> DataFrame:
+    """Varimax rotation of a frame of loadings (ord, indicator, component, loading): one value per indicator and component."""
+    rows = loadings.select("ord", "indicator", "component", "loading").orderBy("ord", "component").collect()
+    components = sorted({r["component"] for r in rows})
+    names = list(dict.fromkeys((r["ord"], r["indicator"]) for r in rows))
+    value = {(r["ord"], r["component"]): r["loading"] for r in rows}
+    turned = varimax(np.array([[value[o, c] for c in components] for o, _ in names]).reshape(len(names), len(components)))
+    out = [(o, n, c, float(turned[i, j])) for i, (o, n) in enumerate(names) for j, c in enumerate(components)]
+    return loadings.sparkSession.createDataFrame(out, "ord int, indicator string, component int, loading double")
+
+
 def rotated_loadings(spark: SparkSession, result: PcaResult, k: int = 5) -> DataFrame:
     """One row per indicator and rotated component: ord, indicator, component, loading."""
     turned = varimax(result.loadings(k))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from areaindex.functions import clean
 from areaindex.operators import cluster, impute, normalise, robustness, weights
-from areaindex.queries.base import METRICS, METRICS_SQL, area_metrics, query, rounded, table
+from areaindex.queries.base import METRICS, METRICS_SQL, area_metrics, hundredths, query, rounded, table
 from areaindex.session import ensure_checkpoint_dir
 
 # Score -> (indicator, whether a low value is good).
@@ -170,6 +170,19 @@ weights AS (
   FROM strongest JOIN components USING (component))"""
 
 
+@query("rotated_correlations", f"""WITH {_LOADINGS_SQL},
+p AS (SELECT ord, indicator, max(loading) FILTER (WHERE component = 1) AS x, max(loading) FILTER (WHERE component = 2) AS y
+      FROM loadings WHERE component <= 2 GROUP BY 1, 2),
+s AS (SELECT *, x * x - y * y AS u, 2 * x * y AS v FROM p),
+a AS (SELECT atan2(2 * sum(u * v) - 2 * sum(u) * sum(v) / count(*),
+                   sum(u * u - v * v) - (sum(u) ** 2 - sum(v) ** 2) / count(*)) / 4 AS t FROM s)
+SELECT ord, indicator, 1 AS component, round(x * cos(t) + y * sin(t), 6) AS loading FROM s, a
+UNION ALL SELECT ord, indicator, 2, round(y * cos(t) - x * sin(t), 6) FROM s, a""")
+def rotated_correlations(spark, sf):
+    """Varimax of two components, whose best angle has a closed form."""
+    return rounded(weights.rotate(_correlation_loadings(spark, sf).where("component <= 2")), "loading")
+
+
 @query("weights_of_correlations", f"""WITH {_LOADINGS_SQL}
 SELECT component, ord, indicator, loading, round(weight, 6) AS weight, round(component_weight, 6) AS component_weight,
        round(weight * component_weight, 6) AS global_weight FROM weights""")
@@ -371,6 +384,23 @@ def imputed_mean_over_runs(spark, sf):
     return impute.mean_over_runs(impute_chained(spark, sf), ["area_code", "year"], whole=["order_count"])
 
 
+@query("mean_of_runs", """WITH runs AS (
+  SELECT l_suppkey AS area_code, CAST(year(l_shipdate) AS INT) AS year, l_linenumber AS imputation_run, count(*) AS items,
+         CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS BIGINT) AS quantity,
+         CAST(max(CASE WHEN l_tax > 0.04 THEN round(l_extendedprice * 100) END) AS BIGINT) AS dearest FROM lineitem GROUP BY 1, 2, 3)
+SELECT area_code, year, round_even(avg(items), 0) AS items, round(avg(quantity), 6) AS quantity, round(avg(dearest), 6) AS dearest
+FROM runs GROUP BY 1, 2""")
+def mean_of_runs(spark, sf):
+    """Means over runs that are line numbers, so that each is known; NULLs are left out."""
+    runs = table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("area_code"), F.year("l_shipdate").alias("year"), F.col("l_linenumber").alias("imputation_run")
+    ).agg(
+        F.count("*").alias("items"), F.sum(hundredths("l_quantity")).alias("quantity"),
+        F.max(F.when(F.col("l_tax") > 0.04, hundredths("l_extendedprice"))).alias("dearest"),
+    )
+    return rounded(impute.mean_over_runs(runs, ["area_code", "year"], whole=["items"]), "quantity", "dearest")
+
+
 @query("impute_regression", f"""WITH {METRICS_SQL},
 g AS (SELECT area_code, CASE WHEN area_code % 5 <> 1 THEN mean_quantity END AS q, mean_item_price AS x FROM metrics),
 l AS (SELECT regr_slope(q, x) AS b, regr_intercept(q, x) AS a FROM g)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from areaindex.functions import clean
 from areaindex.operators import explore, panel, series
 from areaindex.queries.base import AREAS_SQL, METRICS_SQL, area_metrics, areas, population, query, rounded, table
-from areaindex.session import ensure_checkpoint_dir
+from areaindex.session import co_partitioned, ensure_checkpoint_dir
+from areaindex.sources import tables
 from areaindex.streaming.counts import monthly_counts_stream, read_open_counts, write_counts, write_open_counts
 
 PRIORITIES = {
@@ -201,7 +205,7 @@ def fill_forward_then_year_median(spark, sf):
     return rounded(panel.fill_group_median(carried, ["year"], ["quantity"]), "quantity")
 
 
-@query("panel_assemble", f"""WITH {_SPARSE_SQL},
+_PANEL_SQL = f"""WITH {_SPARSE_SQL},
 sold AS (
   SELECT l_suppkey AS entity, CAST(year(o_orderdate) AS INT) AS year, count(DISTINCT l_orderkey) AS orders
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -213,8 +217,11 @@ SELECT s.entity, s.year, round(quantity, 6) AS gp_1_satisfaction, round(tax, 6)
        round(CASE WHEN quantity IS NULL THEN tax WHEN tax IS NULL THEN quantity ELSE (quantity + tax) / 2 END, 6)
          AS avg_gp_satisfaction
 FROM sparse s LEFT JOIN sold USING (entity, year) LEFT JOIN tax USING (entity, year)
-LEFT JOIN supplier ON s_suppkey = s.entity""")
-def panel_assemble(spark, sf):
+LEFT JOIN supplier ON s_suppkey = s.entity"""
+
+
+def _panel_sources(spark, sf):
+    """(grid, sources) of the panel."""
     items = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
     sold = (
@@ -230,18 +237,61 @@ def panel_assemble(spark, sf):
     )
     sparse = _sparse(spark, sf).withColumnRenamed("quantity", "gp_1_satisfaction")
     keys = ("entity", "year")
-    whole = panel.assemble_panel(sparse.select(*keys), [
+    return sparse.select(*keys), [
         panel.Source("satisfaction", sparse, keys),
         panel.Source("sold", sold, keys),
         panel.Source("tax", tax, keys),
         panel.Source("not there", None, keys),
         panel.Source("balance", static, ("entity",), drop=("s_name",)),
-    ])
+    ]
+
+
+def _summarised(whole):
     return rounded(
         panel.summarise_services(whole), "gp_1_satisfaction", "gp_2_satisfaction", "avg_gp_satisfaction"
     )
 
 
+@query("panel_assemble", _PANEL_SQL)
+def panel_assemble(spark, sf):
+    return _summarised(panel.assemble_panel(*_panel_sources(spark, sf)))
+
+
+@query("panel_in_buckets", _PANEL_SQL)
+def panel_in_buckets(spark, sf):
+    """The panel from sources stored in buckets by entity, joined without a shuffle."""
+    run, folder = uuid.uuid4().hex, ensure_checkpoint_dir(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucketed(name, df):
+        name = f"{name.replace(' ', '_')}_{run}"
+        return tables.write_bucketed(df, f"default.{name}", ["entity"], buckets, f"{folder}/{name}")
+
+    grid, sources = _panel_sources(spark, sf)
+    grid = bucketed("grid", grid)
+    held = [replace(s, df=bucketed(s.name, s.df)) for s in sources if s.df is not None]
+    path = f"{folder}/panel_{run}"
+    with co_partitioned(spark):
+        tables.write_table(panel.assemble_panel(grid, held), path)
+    for name in ("grid", *[s.name for s in held]):
+        spark.sql(f"DROP TABLE default.{name}_{run}")
+    return _summarised(spark.read.parquet(path))
+
+
+@query("suffixed_join", """WITH m AS (
+  SELECT c_nationkey AS mid_code, count(*) AS n, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS balance FROM customer GROUP BY 1)
+SELECT c_nationkey AS mid_code, c_custkey AS area_code, CAST(round(c_acctbal * 100) AS BIGINT) AS balance, m.balance AS balance_mid, n
+FROM customer LEFT JOIN m ON c_nationkey = m.mid_code""")
+def suffixed_join(spark, sf):
+    """Areas beside their mid-level area; a column that both have is told apart by a suffix."""
+    own = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("mid_code"), F.col("c_custkey").alias("area_code"),
+        F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"),
+    )
+    mid = own.groupBy("mid_code").agg(F.count("*").alias("n"), F.sum("balance").alias("balance"))
+    return panel.join_suffixed(own, mid, ["mid_code"], ("", "_mid"))
+
+
 def _resample_sql(unit: str, months: int) -> str:
     return f"""WITH b AS (
   SELECT o_custkey AS area_code, CAST(date_trunc('{unit}', o_orderdate) AS DATE) AS s, count(*) AS n FROM orders GROUP BY 1, 2),

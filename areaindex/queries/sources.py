@@ -90,6 +90,21 @@ def sliced_write(spark, sf):
     )
 
 
+@query("source_attributions", """
+SELECT 's' || s_suppkey AS id, s_name AS name, 'Held by ' || s_name || ' 2024, ' || n_name || ' 2024.' AS attribution,
+       '- **[' || s_name || '](https://example.org/' || s_suppkey || '):** Held by ' || s_name || ' 2024, ' || n_name || ' 2024.' AS line
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def source_attributions(spark, sf):
+    """Registry of sources, listed with the year in what they ask to be said of them."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    registry = table(spark, sf, "supplier").join(nation, "s_nationkey").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"),
+        F.format_string("Held by %s {year}, %s {year}.", "s_name", "n_name").alias("attribution"),
+        F.format_string("https://example.org/%d", "s_suppkey").alias("url"),
+    )
+    return tables.attribution_list(registry, 2024).select("id", "name", "attribution", "line")
+
+
 _SIDE, _X0, _Y0 = "(10 + c_custkey % 7)", "(c_custkey % 40 * 100)", "(c_custkey // 40 * 100)"
 _SQUARES_SQL = f"""
 SELECT c_custkey AS area_code, CAST({_SIDE} * {_SIDE} AS DOUBLE) AS area,

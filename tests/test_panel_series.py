@@ -184,3 +184,14 @@ def test_rollup_to_several_levels(spark):
     assert panel.rollup_levels(df.limit(0), {"mid": ["mid"]}, aggs).count() == 0
     scans = panel.rollup_levels(df, levels, {"n": "sum"})._jdf.queryExecution().executedPlan().toString().count("Scan")
     assert scans == 1
+
+
+def test_suffixes_tell_shared_columns_apart(spark):
+    left = spark.createDataFrame([("a", 1, 2.0), (None, 2, 3.0)], "k string, v int, `own col` double")
+    right = spark.createDataFrame([("a", 7, "x")], "k string, V int, note string")
+    got = panel.join_suffixed(left, right, ["k"], ("_l", "_r"))
+    assert got.columns == ["k", "v_l", "own col", "V_r", "note"]
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", 1, 2.0, 7, "x"), (None, 2, 3.0, None, None)]
+    assert panel.join_suffixed(left, right.limit(0), ["k"]).columns == ["k", "v", "own col", "V_y", "note"]
+    with pytest.raises(ValueError, match="v_y"):
+        panel.join_suffixed(left.withColumn("v_y", F.lit(1)), right.withColumnRenamed("V", "v"), ["k"])
