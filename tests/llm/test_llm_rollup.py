@@ -47,6 +47,56 @@ def test_unfinished_batch_is_done_again(spark, tmp_path):
     assert totals(TokenRollup(spark, folder)) == {("b", "en", "v"): (1, 7)} and [m.split("-", 1)[1] for m in rollup.committed()] == ["one", "two"]
 
 
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    """A writer whose number is taken meanwhile sets its changes against the state that the other left."""
+    folder = str(tmp_path / "r")
+    slow, fast = TokenRollup(spark, folder), TokenRollup(spark, folder)
+    plain, meddled = TokenRollup._attempt, []
+
+    def late(self, attempt, seq, changes):
+        plain(self, attempt, seq, changes)
+        if self is slow and len(meddled) < 2:
+            meddled.append(seq)
+            fast.apply(f"fast{seq}", frame(spark, [(INSERT, 1, "a", "en", "v", 6 + seq)]))
+
+    monkeypatch.setattr(TokenRollup, "_attempt", late)
+    assert slow.apply("slow", frame(spark, [(INSERT, 1, "b", "en", "v", 3)])) is True
+    assert meddled == [0, 1]
+    assert totals(fast) == {("b", "en", "v"): (1, 3)}  # one document, as the last commit has it
+    assert fast.committed() == ["000000000-fast0", "000000001-fast1", "000000002-slow"] and slow.committed() == fast.committed()
+
+
+def test_same_batch_by_two_writers(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "r")
+    one, other = TokenRollup(spark, folder), TokenRollup(spark, folder)
+    rows = frame(spark, [(INSERT, 1, "a", "en", "v", 5)])
+    plain = TokenRollup._attempt
+
+    def late(self, attempt, seq, changes):
+        plain(self, attempt, seq, changes)
+        if self is one:
+            assert other.apply("same", rows) is True
+
+    monkeypatch.setattr(TokenRollup, "_attempt", late)
+    assert one.apply("same", rows) is False
+    assert totals(one) == {("a", "en", "v"): (1, 5)} and len(one.committed()) == 1
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path):
+    """With snapshots every second batch the totals and the state are those without, from fewer folders."""
+    rng = random.Random(9)
+    plain, compact = TokenRollup(spark, str(tmp_path / "p")), TokenRollup(spark, str(tmp_path / "c"), compact_every=2)
+    for batch in range(5):
+        rows = [(rng.choice([INSERT, REVISE, DELETE]), rng.choice([None, *range(12)]), rng.choice(["a", None]), "en", "v", rng.choice([None, 3, 8])) for _ in range(8)]
+        for rollup in (plain, compact):
+            assert rollup.apply(f"b{batch}", frame(spark, rows))
+        assert totals(plain) == totals(compact)
+        live = [sorted(map(repr, map(tuple, r.current().where("live").collect()))) for r in (plain, compact)]
+        assert live[0] == live[1]
+    assert len(compact._read("state", compact.state_schema).inputFiles()) < len(plain._read("state", plain.state_schema).inputFiles())
+    assert compact.compact(4) is False and totals(plain) == totals(compact)
+
+
 def test_edges(spark, tmp_path):
     rollup = TokenRollup(spark, str(tmp_path / "r"))
     assert totals(rollup) == {}
