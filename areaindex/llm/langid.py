@@ -13,6 +13,7 @@ input columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from areaindex.llm.word_crf import CACHE_WORDS, WordCrf, letters_of
 #: Texts of a language to learn from, and the characters read of each: the bounds of the sample.
 SAMPLE_TEXTS, SAMPLE_CHARS = 250, 600
 UNKNOWN = "und"
+_TOKEN = re.compile(r"\S+")
 
 
 def held_out(key: Column) -> Column:
@@ -94,58 +96,103 @@ class Labeller:
                 self.known[tokens[i]] = self.used + n
             self.used += len(real)
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        if not self.model.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        token_lists = [t.lower().split() if t else [] for t in texts]
+    def posteriors(self, token_lists: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, places of its words among its tokens, label shares per word) of the texts that have words."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
         known = self.known
         missing = {t for tokens in token_lists for t in tokens if t not in known}
         if missing:
             self._learn(sorted(missing))
-        lengths, rows, parts = [], [], []
+        rows, places, parts = [], [], []
         for i, tokens in enumerate(token_lists):
             ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-            ids = ids[ids >= 0]
-            if len(ids):
+            real = np.flatnonzero(ids >= 0)
+            if len(real):
                 rows.append(i)
-                lengths.append(len(ids))
-                parts.append(ids)
-        out = [(UNKNOWN, 0.0)] * len(texts)
+                places.append(real)
+                parts.append(ids[real])
         if rows:
-            shares = self.model.posteriors(self.table[np.concatenate(parts)], lengths)
-            for i, p in zip(rows, shares):
-                mean = p.mean(axis=0)
+            shares = self.model.posteriors(self.table[np.concatenate(parts)], [len(p) for p in parts])
+            yield from zip(rows, places, shares)
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, score, number of places where the language of the words changes) of each text."""
+        out = [(UNKNOWN, 0.0, 0)] * len(texts)
+        if self.model.labels:
+            for i, _, p in self.posteriors([t.lower().split() if t else [] for t in texts]):
+                mean, each = p.mean(axis=0), p.argmax(axis=1)
                 best = int(mean.argmax())
-                out[i] = (self.model.labels[best], min(1.0, max(0.0, float(mean[best]))))
+                score = min(1.0, max(0.0, float(mean[best])))
+                out[i] = (self.model.labels[best], score, int((each[1:] != each[:-1]).sum()))
         return out
 
+    def spans(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, float, int]]:
+        """(text, start, end, language, score, words) of every stretch of words of one language, in order."""
+        if not self.model.labels:
+            return
+        found = [[(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(t)] if t else [] for t in texts]
+        for i, places, p in self.posteriors([[token for _, _, token in tokens] for tokens in found]):
+            each, tokens = p.argmax(axis=1), found[i]
+            cuts = [0, *(np.flatnonzero(each[1:] != each[:-1]) + 1).tolist(), len(each)]
+            for first, after in zip(cuts, cuts[1:]):
+                best = int(each[first])
+                score = min(1.0, max(0.0, float(p[first:after, best].mean())))
+                yield i, tokens[places[first]][0], tokens[places[after - 1]][1], self.model.labels[best], score, after - first
+
+
+def _grouped(items: Iterator[tuple], text: int) -> Iterator[list[tuple]]:
+    """Rows in groups of bounded size, by the length of their texts."""
+    held, size = [], 0
+    for row in items:
+        held.append(row)
+        size += len(row[text] or "")
+        if size >= 3_000_000 or len(held) >= 2000:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _name(model: WordCrf) -> str:
+    return "labeller:" + hashlib.sha1(model.weights.tobytes() + model.step.tobytes() + repr(model.labels).encode()).hexdigest()
+
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: WordCrf | None = None) -> DataFrame:
-    """(key, held_out, lang_pred, score) for every row."""
+    """(key, held_out, lang_pred, score, n_switches) for every row; 0 switches in a text without words."""
     model = model or train(training_sample(docs, key, text, lang))
-    name = "labeller:" + hashlib.sha1(model.weights.tobytes() + model.step.tobytes() + repr(model.labels).encode()).hexdigest()
-    kind = docs.select(col(key)).schema[0].dataType.simpleString()
+    name, kind = _name(model), docs.select(col(key)).schema[0].dataType.simpleString()
 
     def rows(items: Iterator[tuple]) -> Iterator[tuple]:
         labeller = per_process(name, lambda: Labeller(model))
-        held, size = [], 0
+        for held in _grouped(items, 2):
+            for (k, fold, _), found in zip(held, labeller.label([r[2] for r in held])):
+                yield k, fold, *found
+
+    return map_rows(
+        docs.select(col(key), held_out(col(key)), col(text).cast("string")),
+        f"`{key}` {kind}, held_out boolean, lang_pred string, score double, n_switches long", rows,
+    )
 
-        def flush():
-            for (k, fold, _), (label, score) in zip(held, labeller.label([r[2] for r in held])):
-                yield k, fold, label, score
 
-        for row in items:
-            held.append(row)
-            size += len(row[2] or "")
-            if size >= 3_000_000 or len(held) >= 2000:
-                yield from flush()
-                held, size = [], 0
-        yield from flush()
+def word_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: WordCrf | None = None) -> DataFrame:
+    """(key, start, end, lang, score, n_words): the stretches of words of one language in every text.
+
+    Places are code points of the text, the end exclusive. Every word gets its
+    most likely label given the whole text; tokens without a letter have none
+    and do not end a stretch. A text without words, or NULL, has no rows; of a
+    repeated row every copy has its own.
+    """
+    model = model or train(training_sample(docs, key, text, lang))
+    name, kind = _name(model), docs.select(col(key)).schema[0].dataType.simpleString()
+
+    def rows(items: Iterator[tuple]) -> Iterator[tuple]:
+        labeller = per_process(name, lambda: Labeller(model))
+        for held in _grouped(items, 1):
+            for i, *span in labeller.spans([r[1] for r in held]):
+                yield held[i][0], *span
 
     return map_rows(
-        docs.select(col(key), held_out(col(key)), col(text).cast("string")),
-        f"`{key}` {kind}, held_out boolean, lang_pred string, score double", rows,
+        docs.select(col(key), col(text).cast("string")),
+        f"`{key}` {kind}, `start` long, `end` long, lang string, score double, n_words long", rows,
     )

@@ -71,6 +71,32 @@ def test_code_switched_words(spark, make_docs):
     assert all(model.step[i, i] > model.step[i, j] for i in range(3) for j in range(3) if i != j)
 
 
+def test_stretches_of_languages(spark, make_docs):
+    """Stretches follow the text that was put together, cover its words in order, and agree with the number of switches."""
+    docs, rng = make_docs(corpus()), random.Random(4)
+    model = langid.train(langid.training_sample(docs))
+    parts = [(lang, text(lang, n, rng)) for lang, n in (("de", 25), ("en", 25), ("es", 25), ("de", 25))]
+    mixed = " 42 -- \n".join(t.upper() for _, t in parts)
+    rows = [(1, mixed, None, "s"), (2, None, None, "s"), (3, "", None, "s"), (4, "12 ..", None, "s"), (None, "the house", None, "s"),
+            (5, "the books " * 20_000, None, "s"), (6, "the and", None, "s"), (6, "the and", None, "s")]
+    got = langid.word_languages(make_docs(rows), model=model).collect()
+    held = {k: sorted((r.start, r.end, r.lang, r.n_words) for r in got if r.doc_id == k) for k in (None, 1, 2, 3, 4, 5, 6)}
+    assert not (held[2] or held[3] or held[4]) and held[None] == [(0, 9, "en", 2)] and held[6] == [(0, 7, "en", 2)] * 2
+    assert held[5] == [(0, len("the books " * 20_000) - 1, "en", 40_000)]
+    assert sum(n for *_, n in held[1]) == 100 and all(a[1] <= b[0] and a[2] != b[2] for a, b in zip(held[1], held[1][1:]))
+    assert all(mixed[a:b] == mixed[a:b].strip() for a, b, *_ in held[1]) and all(0 < r.score <= 1 for r in got)
+    truth, right = [], 0
+    for lang, t in parts:
+        start = len(" 42 -- \n".join([p for _, p in parts][:len(truth)])) + (9 if truth else 0)
+        truth.append((start, start + len(t), lang))
+    for start, end, lang in truth:
+        right += sum(max(0, min(b, end) - max(a, start)) for a, b, label, _ in held[1] if label == lang)
+    assert right >= 0.95 * sum(end - start for start, end, _ in truth)
+    switches = {r.doc_id: r.n_switches for r in langid.identify(make_docs(rows), model=model).collect()}
+    assert switches[1] == len(held[1]) - 1 and switches[2] == switches[4] == switches[5] == 0
+    assert langid.word_languages(make_docs([])).count() == 0
+
+
 def test_edges(spark, make_docs):
     rows = [*corpus(120), (9001, None, "en", "s"), (9002, "", "en", "s"), (9003, "123 !? 7", None, "s"), (None, "the house and the street", None, None),
             (9004, "the books " * 30_000, "en", None), (9005, "漢字", None, None), (5, "the and", "en", "s"), (5, "the and", "en", "s")]
