@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -314,6 +315,10 @@ def added_spans(model: BiLstmCrf, texts: list[str], bases: list[list[tuple]], mi
     return out
 
 
+#: Whole rows that a task masking texts holds as Python values at a time, and the characters decoded together.
+AT_ONCE, GROUP_CHARS = 200, 1 << 19
+
+
 def text_spans(items: Iterator[tuple], model: BiLstmCrf, at: int, group_chars: int = 1 << 21) -> Iterator[tuple[tuple, list, list]]:
     """(row, base spans, added spans) of rows whose text is column ``at``, decoded in groups of bounded size."""
     rows, texts, size = [], [], 0
@@ -370,8 +375,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", model: BiLs
     at = names.index(text)
 
     def rows(items: Iterator[tuple]) -> Iterator[tuple]:
-        for row, base, added in text_spans(items, model, at):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
+        for row, base, added in text_spans(items, model, at, GROUP_CHARS):
             spans = base + added
             yield row if not spans else (*row[:at], masked(row[at], spans), *row[at + 1 :])
 
-    return map_rows(docs, docs.schema, rows)
+    return map_rows(docs, docs.schema, rows, per_batch=AT_ONCE, at_once=AT_ONCE)
