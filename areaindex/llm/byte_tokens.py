@@ -27,7 +27,7 @@ _PIECE = re.compile(
 )
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary, by Latin-1 code point."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = (b for b in range(256) if b not in plain)
@@ -42,7 +42,7 @@ class BytePieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.characters = _byte_characters()
+        self.characters = byte_characters()
         self.known: dict[str, bytes] = {}
 
     def _learn(self, piece: str) -> bytes:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from areaindex.session import BROADCAST_BYTES, ensure_checkpoint_dir
+from areaindex.session import BROADCAST_BYTES, ensure_checkpoint_dir, small_batches
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,11 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
-    Cuts the lineage: later stages read files that outlive executors.
+    Cuts the lineage: later stages read files that outlive executors. Python
+    workers get small batches meanwhile.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

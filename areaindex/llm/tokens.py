@@ -1,8 +1,11 @@
 """Token ids of whole texts, with a cache of word pieces.
 
 Pieces never cross white space and most words of a corpus repeat, so encoding
-each word once and looking it up is several times faster than running the merges
-on every text. Texts with a
+each word once, by the tokenizer's own model without its split, and looking it up
+is several times faster than running the merges on every text. The cache has two
+generations: when the newer one is full it becomes the older, and what was in
+the older and not met since is dropped; so words in use stay and those met once
+go. Texts with a
 character outside the range where splitting is plain go through the tokenizer
 as they are; the ids are the same either way.
 """
@@ -10,13 +13,16 @@ as they are; the ids are the same either way.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
+from areaindex.llm.byte_tokens import byte_characters
 from areaindex.llm.common import per_process
 
-#: Words kept before the cache starts anew; bounds a worker's memory.
-CACHE_WORDS = 600_000
+#: Words kept in both generations, and the longest that is kept; both bound a worker's memory.
+CACHE_WORDS = 300_000
+LONGEST_WORD = 64
 # Characters for which the fast path holds, and the pieces that
 # the tokenizer's own split gives on them, in lower case.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-~¡-ÿ]")
@@ -24,7 +30,6 @@ _PIECE = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]"
     "|[^\\s0-9a-zª²³µ¹º¼-¾ß-öø-ÿ]+"
 )
-_WORD_END = "</w>"
 
 
 class WordPieces:
@@ -34,24 +39,28 @@ class WordPieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(_WORD_END)
+        self.model = self.tokenizer.model
+        self.characters = byte_characters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in one call; every piece of them ends in one id with the end mark."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        pieces = np.cumsum([len(_PIECE.findall(w)) for w in words])
-        if len(stops) != pieces[-1]:
-            raise ValueError("the tokenizer does not mark word ends")
-        packed, start = ids.astype("<u4").tobytes(), 0
-        for word, stop in zip(words, stops[pieces - 1].tolist()):
-            self.known[word] = packed[4 * start : 4 * stop]
-            start = stop
+    def _learn(self, word: str) -> bytes:
+        ids = []
+        for piece in _PIECE.findall(word):
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+            ids += [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _recall(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the newer generation lacks; from then on it has them, as far as there is room."""
+        older, half = self.older, CACHE_WORDS // 2
+        fresh = {w: older.get(w) or self._learn(w) for w in words}
+        if len(self.known) + len(fresh) > half:
+            self.older, self.known = self.known, {}
+        for w, ids in fresh.items():
+            if len(w) <= LONGEST_WORD and len(self.known) < half:
+                self.known[w] = ids
+        return fresh
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -62,9 +71,7 @@ class WordPieces:
         words = text.lower().split()
         found = list(map(self.known.get, words))
         if None in found:
-            missing = list({w for w, ids in zip(words, found) if ids is None})
-            self._learn(missing)
-            fresh = self.known
+            fresh = self._recall({w for w, ids in zip(words, found) if ids is None})
             found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
         return b"".join(found)
 

@@ -52,6 +52,29 @@ def co_partitioned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(conf, held)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 2 * 1024 * 1024
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the Arrow batches of the jobs inside the block by bytes.
+
+    By default a batch is 64 MB, which the executor and its worker both hold in
+    several forms, and a worker keeps much of it for later tasks. A bound that
+    the session sets itself stays.
+    """
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(conf, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(conf)
+
+
 SMALL_ROWS = 1_000_000
 
 

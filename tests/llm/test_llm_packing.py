@@ -2,12 +2,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from areaindex.llm import packing, tokens
+from areaindex.llm.common import written
 from areaindex.llm.packing import Limits, best_fit
 from areaindex.llm.queries import vocabulary
+from areaindex.session import BATCH_BYTES
 
 PATH = vocabulary("word_bpe_49k.json")
 
@@ -28,6 +31,47 @@ def test_cache_starts_anew(monkeypatch):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_equal_the_tokenizer_on_every_plain_character():
+    encoder, rng = tokens.WordPieces(PATH), random.Random(2)
+    plain = [c for c in map(chr, range(256)) if not tokens._UNUSUAL.search(c)]
+    texts = [a + b for a in plain for b in ("", "a", "7", "é", "'s", "!", " ")] + ["".join(rng.choices(plain, k=40)) for _ in range(2000)]
+    for text in texts:
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, repr(text)
+
+
+def test_words_in_use_outlast_those_met_once(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    encoder, learnt = tokens.WordPieces(PATH), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda word: learnt.append(word) or learn(word))
+    for i in range(200):
+        encoder.encode(f"often also rare{i} {'l' * 100}{i}")
+        assert len(encoder.known) + len(encoder.older) <= 40
+        assert not any(len(w) > tokens.LONGEST_WORD for w in encoder.known)
+    assert learnt.count("often") == learnt.count("also") == 1
+
+
+def test_workers_get_small_batches_while_a_table_is_written(spark):
+    conf, rows = "spark.sql.execution.arrow.maxBytesPerBatch", 4000
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, rows, 1, 1).withColumn("text", F.repeat(F.lit("word "), 1000))
+    before = spark.conf.get(conf)
+    held = written(docs.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r.n for r in held) == rows and max(r.bytes for r in held) <= 1.1 * BATCH_BYTES
+    assert spark.conf.get(conf) == before and conf not in spark.conf.getAll
+    spark.conf.set(conf, "200000")
+    try:
+        own = written(docs.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+        assert max(r.bytes for r in own) <= 220_000 and spark.conf.get(conf).startswith("200000")
+    finally:
+        spark.conf.unset(conf)
+
+
 @pytest.mark.parametrize("choice", ["norm", "dot"])
 def test_every_capacity_holds(choice):
     rng = np.random.default_rng(3)
