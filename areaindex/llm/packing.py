@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.llm.common import col, map_rows, written
-from areaindex.llm.tokens import word_pieces
+from areaindex.llm.tokens import word_table
 
 GROUP = 4096
+#: Characters and rows of the texts that are encoded at once.
+TEXT_CHARS, TEXT_ROWS = 1_000_000, 10_000
 #: Sequences filled below this share are packed again in the second round.
 REOPEN = 0.97
 
@@ -86,6 +88,20 @@ def best_fit(lengths: Sequence[int], limits: Limits = Limits()) -> tuple[np.ndar
     return sequence, offset
 
 
+def _batches(items: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """(key, text) rows in runs of bounded text; a longer text ends its run."""
+    held: list[tuple] = []
+    chars = 0
+    for item in items:
+        held.append(item)
+        chars += len(item[1] or "")
+        if chars >= TEXT_CHARS or len(held) >= TEXT_ROWS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 def token_pieces(
     docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", limit: int = 2048, end_id: int = 0
 ) -> DataFrame:
@@ -94,12 +110,13 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(items: Iterator[tuple]) -> Iterator[tuple]:
-        encoder = word_pieces(vocabulary)
-        for k, t in items:
-            ids = encoder.encode(t) + end
-            for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                part = ids[at : at + 4 * limit]
-                yield k, piece, at // 4, len(part) // 4, part
+        encoder = word_table(vocabulary)
+        for held in _batches(items):
+            for (k, _), ids in zip(held, encoder.encode([t for _, t in held])):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), 4 * limit)):
+                    part = ids[at : at + 4 * limit]
+                    yield k, piece, at // 4, len(part) // 4, part
 
     return map_rows(
         docs.select(col(key), col(text).cast("string")),

@@ -72,6 +72,52 @@ def test_workers_get_small_batches_while_a_table_is_written(spark):
         spark.conf.unset(conf)
 
 
+def test_a_table_of_words_gives_the_ids_of_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 30)
+    table, rng = tokens.WordTable(PATH), random.Random(4)
+    whole = table.pieces.tokenizer
+    parts = ["it's", "WE'LL", "''d", "9", "½", " ", "\n", "\t", "naïve", "Straße", "É,", "漢字", "<|endoftext|>", "!?'s", "\x1f", "x" * 70, "µ", "ª²"]
+    for _ in range(60):
+        texts = [None, "", " \r "] + ["".join(rng.choices([*parts, " ", f" w{rng.randint(0, 60)}"], k=rng.randint(0, 12))) for _ in range(20)]
+        rng.shuffle(texts)
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in table.encode(texts)] == want
+        assert len(table.words) == len(table.ids) == len(table.met) <= 30
+    assert table.encode([]) == [] and table.encode([None, ""]) == [b"", b""]
+
+
+def test_a_table_learns_each_piece_once_a_call_and_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 40)
+    table, learnt = tokens.WordTable(PATH), []
+    ids = table.pieces.ids
+    monkeypatch.setattr(table.pieces, "ids", lambda piece: learnt.append(piece) or ids(piece))
+    table.encode(["pear pear, pear. (pear)", "PEAR pear,", "pear!"])
+    assert sorted(learnt) == sorted(["pear", ",", ".", "(", ")", "!"])
+    for i in range(200):
+        table.encode([f"often also rarely{'abcdefghij'[i % 10] * (i // 10 + 1)}", "often " + "l" * 100])
+        assert not any(len(w) > tokens.LONGEST_WORD for w in table.words.to_pylist())
+    assert learnt.count("often") == learnt.count("also") == 1
+
+
+def test_texts_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_CHARS", 10)
+    monkeypatch.setattr(packing, "TEXT_ROWS", 3)
+    rows = [(1, "abcde"), (2, None), (3, "fghij"), (4, ""), (5, None), (6, "x"), (7, "y" * 50), (8, "z")]
+    runs = list(packing._batches(iter(rows)))
+    assert [[k for k, _ in run] for run in runs] == [[1, 2, 3], [4, 5, 6], [7], [8]] and sum(runs, []) == rows
+    assert list(packing._batches(iter([]))) == []
+
+
+def test_workers_encode_by_the_table_of_words(spark, make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "map_rows", lambda df, schema, rows, per_batch: seen.append(rows))
+    packing.token_pieces(make_docs([]), PATH)
+    calls, encode = [], tokens.WordTable.encode
+    monkeypatch.setattr(tokens.WordTable, "encode", lambda table, texts: calls.append(len(texts)) or encode(table, texts))
+    got = list(seen[0](iter([(1, "one two"), (None, None), (2, "two")])))
+    assert calls == [3] and [(k, n) for k, _, _, n, _ in got] == [(1, 3), (None, 1), (2, 2)]
+
+
 @pytest.mark.parametrize("choice", ["norm", "dot"])
 def test_every_capacity_holds(choice):
     rng = np.random.default_rng(3)
